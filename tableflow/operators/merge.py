@@ -21,13 +21,13 @@ from tableflow.operators.windows import latest_per_key
 
 BATCH = "batch_id"
 
-# How each run table merges: the rule and the key.
+# How each run table merges: the rule, the key, and the column that tells which row came first.
 RULES = {
-    "pipeline_runs": ("insert", ["run_id"]),
-    "task_runs": ("insert", ["run_id", "task_name", "attempt"]),
-    "task_cache": ("insert", ["task_name", "fingerprint"]),
-    "task_fingerprints": ("latest", ["task_name"]),
-    "task_lineage": ("replace", ["task_name"]),
+    "pipeline_runs": ("insert", ["run_id"], "started_at"),
+    "task_runs": ("insert", ["run_id", "task_name", "attempt"], "started_at"),
+    "task_cache": ("insert", ["task_name", "fingerprint"], "created_at"),
+    "task_fingerprints": ("latest", ["task_name"], "updated_at"),
+    "task_lineage": ("replace", ["task_name"], None),
 }
 
 
@@ -100,11 +100,11 @@ def join_shared_run(runs: DataFrame, worker_runs: DataFrame) -> DataFrame:
 
 def merge_table(name: str, target: DataFrame, delta: DataFrame) -> DataFrame:
     """The merged content of one run table."""
-    rule, keys = RULES[name]
+    rule, keys, when = RULES[name]
     if rule == "insert":
-        return insert_if_absent(target, delta, keys, _order(delta, keys))
+        return insert_if_absent(target, delta, keys, _order(delta, keys, when))
     if rule == "latest":
-        return upsert_latest(target, delta, keys, ["updated_at", "fingerprint"])
+        return upsert_latest(target, delta, keys, [when, "fingerprint"])
     return replace_by_key(target, delta, keys)
 
 
@@ -129,20 +129,28 @@ def pending(spark: SparkSession, folder: str) -> list[str]:
     return [b for b in snap.list_names(spark, folder) if snap.exists(spark, f"{folder}/{b}/_SUCCESS")]
 
 
-def absorb_into(spark: SparkSession, name: str, table: str, delta: DataFrame, note: str) -> int | None:
+def absorb_into(
+    spark: SparkSession, name: str, table: str, delta: DataFrame, note: str, tries: int = 5
+) -> int | None:
     """Merge a delta into a stored run table; an empty change makes no snapshot.
 
-    Insert-only tables add just the new rows. The others publish a new
-    generation, which is refused if somebody else committed meanwhile.
+    Insert-only tables add just the new rows, the others publish a new
+    generation. If somebody else commits meanwhile, the merge starts over.
     """
-    base = snap.latest(spark, table)
-    target = snap.read_as_of(spark, table, base)
-    rule, keys = RULES[name]
-    if rule == "insert":
-        fresh = new_rows(target, delta, keys, _order(delta, keys))
-        return snap.commit(spark, table, fresh, "merge", note, expect=base)
-    merged = merge_table(name, target, delta)
-    return snap.commit(spark, table, merged, "merge", note, mode="replace", expect=base)
+    rule, keys, when = RULES[name]
+    while True:
+        base = snap.latest(spark, table)
+        target = snap.read_as_of(spark, table, base)
+        if rule == "insert":
+            mode, change = "append", new_rows(target, delta, keys, _order(delta, keys, when))
+        else:
+            mode, change = "replace", merge_table(name, target, delta)
+        try:
+            return snap.commit(spark, table, change, "merge", note, mode, expect=base)
+        except snap.CommitConflict:
+            tries -= 1
+            if not tries:
+                raise
 
 
 def compact(spark: SparkSession, name: str, table: str, folder: str) -> list[str]:
@@ -158,7 +166,7 @@ def compact(spark: SparkSession, name: str, table: str, folder: str) -> list[str
     return batches
 
 
-def _order(delta: DataFrame, keys: Sequence[str]) -> list[str]:
-    """Oldest batch first, then the row itself, so that the choice never depends on task order."""
-    rest = [c for c in delta.columns if c not in keys and c != BATCH]
-    return ([BATCH] if BATCH in delta.columns else []) + rest
+def _order(delta: DataFrame, keys: Sequence[str], when: str) -> list[str]:
+    """Oldest batch first, then the earliest row; the other columns settle ties."""
+    first = [BATCH, when] if BATCH in delta.columns else [when]
+    return first + [c for c in delta.columns if c not in keys and c not in first]

@@ -42,9 +42,11 @@ def rolling_mean(
         return df.withColumn(name, trailing_mean(part, order, value, n))
 
     shares = [i / splits for i in range(1, splits)]
-    # a scalar subquery: one row with a fixed number of cut points
-    cuts = df.agg(F.percentile_approx(order, shares)).scalar()
-    ranged = df.withColumn("_range", F.size(F.filter(cuts, lambda cut: cut < F.col(order))))
+    # One row with a fixed number of cut points, as text so that any type survives the trip.
+    cuts = df.agg(F.percentile_approx(order, shares).cast("array<string>")).first()[0] or []
+    kind = df.schema[order].dataType.simpleString()
+    bounds = F.array(*[F.lit(cut) for cut in cuts]).cast(f"array<{kind}>")
+    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut < F.col(order))))
     last = Window.partitionBy(part, "_range").orderBy(F.desc(order))
     tails = (
         ranged.select(part, "_range", order, value)
