@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tableflow.functions import as_date, day_start, exact_sum, hour_of, matches, modulo, money, round2
 from tableflow.operators.clean import clean_positive, equals
-from tableflow.operators.joins import with_zone
-from tableflow.session import broadcast_if_small
+from tableflow.operators.joins import join_unique
+from tableflow.session import is_small
 
 # The statuses that count as a failure.
 FAILURES = ["failed", "upstream_failed", "oom"]
@@ -63,27 +63,20 @@ def borough_day(trips: DataFrame, zones: DataFrame, max_zones: int = 200_000) ->
     shuffled before the aggregate. Otherwise trips are summed per zone and
     day first, so that a busy zone joins as one row per day.
     """
-    zone = zones.select("location_id", "borough")
-    dim = broadcast_if_small(zone, max_zones)
+    zone = zones.select(F.col("location_id").alias("pu_location_id"), "borough")
     day = day_start(F.col("pickup_ts")).alias("day")
-    parts = [n_rows().alias("trips"), exact_sum(F.col("fare_amount")).alias("revenue")]
-    if dim is not zone:
-        found = with_borough(trips, dim)
-        return found.groupBy("borough", day).agg(
-            n_rows().alias("trips"), money(exact_sum(F.col("fare_amount"))).alias("revenue")
-        )
-    cells = trips.groupBy("pu_location_id", day).agg(*parts)
+    count, revenue = n_rows().alias("trips"), exact_sum(F.col("fare_amount"))
+    if is_small(zone, max_zones):
+        found = trips.join(F.broadcast(zone), "pu_location_id")
+        return found.groupBy("borough", day).agg(count, money(revenue).alias("revenue"))
+    cells = trips.groupBy("pu_location_id", day).agg(count, revenue.alias("revenue"))
     return (
-        with_borough(cells, zone)
+        cells.join(zone, "pu_location_id")
         .groupBy("borough", "day")
         .agg(F.sum("trips").alias("trips"), money(F.sum("revenue")).alias("revenue"))
     )
 
 
-def with_borough(df: DataFrame, dim: DataFrame) -> DataFrame:
-    return df.join(dim, df.pu_location_id == dim.location_id, "inner").drop("location_id")
-
-
 def daily_totals(trips: DataFrame) -> DataFrame:
     """Day totals, grouped by whatever is not aggregated."""
     return trips.sparkSession.sql(
@@ -228,7 +221,7 @@ def paged(edges: DataFrame, page: int) -> DataFrame:
         .drop("degree")
     )
     spread = F.pmod(F.xxhash64("upstream_task_name"), F.coalesce("pages", F.lit(1)))
-    return edges.join(broadcast_if_small(hubs), "task_name", "left").withColumn("page", spread).drop("pages")
+    return join_unique(edges, hubs, ["task_name"], "left").withColumn("page", spread).drop("pages")
 
 
 def partition_count(df: DataFrame, col: str) -> DataFrame:

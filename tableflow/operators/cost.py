@@ -18,6 +18,7 @@ USD_PER_REQUEST = 0.20 / 1_000_000
 SCENARIOS = {"hyperscale": 1.09, "industry avg": 1.54}
 STANDING_VCPU = 4
 STANDING_LOAD = 0.15
+RUNS_PER_YEAR = 365
 
 
 def with_tier(runs: DataFrame) -> DataFrame:
@@ -50,6 +51,8 @@ def standing_kwh_per_year(pue: Column) -> Column:
 def cost_rollup(runs: DataFrame) -> DataFrame:
     """Energy and price per task, day and scenario, beside a node that is always on.
 
+    ``multiple`` compares a year of that node with a year of such days.
+
     Energy and price are linear in tier × duration, so memory-milliseconds are
     summed once per task and day, exactly, before the scenarios widen the rows.
     """
@@ -71,5 +74,5 @@ def cost_rollup(runs: DataFrame) -> DataFrame:
         kwh.alias("kwh"),
         usd.alias("usd"),
         standing.alias("standing_kwh"),
-        F.try_divide(standing, kwh).alias("multiple"),
+        F.try_divide(standing, kwh * RUNS_PER_YEAR).alias("multiple"),
     )

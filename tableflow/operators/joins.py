@@ -1,7 +1,7 @@
 """Joins.
 
-The side that is looked up always has one row per key, so a hot key sits on
-one side only and adaptive execution can split it.
+The side that is looked up has one row per key, so a hot key can sit on one
+side only. ``join_unique`` is the way through which every such join goes.
 """
 
 from __future__ import annotations
@@ -11,18 +11,51 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.session import broadcast_if_small
+from tableflow.session import BROADCAST_ROWS, HOT_ROWS, is_small
+from tableflow.sources.sink import materialize
+
+
+def join_unique(
+    df: DataFrame,
+    unique: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+    n_unique: int | None = None,
+) -> DataFrame:
+    """Join ``df`` to a side with one row per key (inner, left, left_semi or left_anti).
+
+    A side counted to be small is broadcast and ``df`` is not shuffled.
+    Otherwise both sides shuffle, and the keys that hold more than
+    ``hot_rows`` rows of ``df`` take another way: there are few of them (at
+    most rows / ``hot_rows``), so their rows of ``unique`` are broadcast and
+    no task gathers a hot key. ``n_unique`` saves the count when it is known.
+    """
+    keys = list(keys)
+    small = n_unique <= max_rows if n_unique is not None else is_small(unique, max_rows)
+    if small:
+        return df.join(F.broadcast(unique), keys, how)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot, seen = materialize(counts.filter(F.col("_n") > hot_rows).select(*keys))
+    if not seen["rows"]:
+        return df.join(unique, keys, how)
+    hot = F.broadcast(hot)
+    hot_side = F.broadcast(unique.join(hot, keys, "left_semi"))
+    hot_part = df.join(hot, keys, "left_semi").join(hot_side, keys, how)
+    # A NULL key is no match for any hot key and stays in the cold part.
+    cold_part = df.join(hot, keys, "left_anti").join(unique, keys, how)
+    return hot_part.unionByName(cold_part)
 
 
 def with_zone(trips: DataFrame, zones: DataFrame) -> DataFrame:
     """Trips with their zone; a trip without one drops. ``zones`` is unique per id."""
-    dim = broadcast_if_small(zones)
-    return trips.join(dim, trips.pu_location_id == dim.location_id, "inner").drop("location_id")
+    return join_unique(trips, zones.withColumnRenamed("location_id", "pu_location_id"), ["pu_location_id"], "inner")
 
 
 def keep_matching(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``df`` that have a match, without the columns of ``dim``."""
-    return df.join(dim.select(*on).distinct(), list(on), "left_semi")
+    return join_unique(df, dim.select(*on).distinct(), on, "left_semi")
 
 
 def left_rollup(runs: DataFrame, tasks: DataFrame, key: str, aggs: Sequence) -> DataFrame:
@@ -36,12 +69,15 @@ def left_rollup(runs: DataFrame, tasks: DataFrame, key: str, aggs: Sequence) ->
 def unseen(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``delta`` whose key is not in ``target``.
 
-    The target is first cut to the keys of the delta. When the delta is
-    small its keys are broadcast and the target is not shuffled at all.
+    With few keys in the delta (counted) the target is cut to them by a
+    broadcast and is not shuffled. Otherwise its keys are made distinct,
+    within each task first, and shuffled once.
     """
     keys = list(keys)
-    seen = target.select(*keys).join(delta.select(*keys).distinct(), keys, "left_semi").distinct()
-    return delta.join(seen, keys, "left_anti")
+    wanted, known = delta_keys(delta, keys), target.select(*keys)
+    if is_small(wanted):
+        known = known.join(F.broadcast(wanted), keys, "left_semi")
+    return join_unique(delta, known.distinct(), keys, "left_anti")
 
 
 def anti_insert(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,7 +90,7 @@ def delta_keys(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def replace_rows(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop the target rows of every key in the delta, then add the delta."""
-    kept = target.join(delta_keys(delta, keys), list(keys), "left_anti")
+    kept = join_unique(target, delta_keys(delta, keys), keys, "left_anti")
     return kept.select(*target.columns).unionByName(delta)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.operators.aggregates import FAILURES
+from tableflow.operators.joins import join_unique
 from tableflow.session import new_path, write_counted
 from tableflow.sources.sink import materialize
 
@@ -64,10 +65,10 @@ def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, D
     start = start.select("task_name", F.coalesce("open", F.lit(0)).alias("open"))
     wait = Rounds(spark, new_path(spark, "peel"), start.schema)
     seen = wait.add(start, free=F.col("open") == 0)
-    while seen["free"]:
+    while 0 < seen["free"] < seen["rows"]:
         gone = wait.last().filter("open = 0").select(F.col("task_name").alias("upstream_task_name"))
         paid = (
-            edges.join(gone, "upstream_task_name", "left_semi")
+            join_unique(edges, gone, ["upstream_task_name"], "left_semi", n_unique=seen["free"])
             .groupBy("task_name")
             .agg(F.count(F.lit(1)).alias("paid"))
         )
@@ -75,7 +76,7 @@ def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, D
         rest = rest.select("task_name", (F.col("open") - F.coalesce("paid", F.lit(0))).alias("open"))
         seen = wait.add(rest, free=F.col("open") == 0)
     taken = wait.read().filter("open = 0").select("task_name", F.col("round").alias("level"))
-    return taken, wait.last().select("task_name")
+    return taken, wait.last().filter("open > 0").select("task_name")
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -100,13 +101,15 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     edges, _ = materialize(edges.distinct())
     first = sources.select("task_name").distinct()
     seen = Rounds(spark, new_path(spark, "below"), first.schema)
-    frontier = first
+    frontier, size = first, None
     while True:
         ups = frontier.select(F.col("task_name").alias("upstream_task_name"))
-        below = edges.join(ups, "upstream_task_name", "left_semi").select("task_name").distinct()
+        below = join_unique(edges, ups, ["upstream_task_name"], "left_semi", n_unique=size)
+        below = below.select("task_name").distinct()
         if seen.count:
             below = below.join(seen.read().select("task_name"), "task_name", "left_anti")
-        if seen.add(below)["rows"] == 0:
+        size = seen.add(below)["rows"]
+        if size == 0:
             break
         frontier = seen.last()
     return seen.read().select("task_name", F.col("round").alias("distance"))

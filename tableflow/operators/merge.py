@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tableflow.operators import snapshots as snap
 from tableflow.operators.history import TABLES
-from tableflow.operators.joins import delta_keys, replace_rows, unseen
+from tableflow.operators.joins import delta_keys, join_unique, replace_rows, unseen
 from tableflow.operators.windows import latest_per_key
+from tableflow.session import is_small
 
 BATCH = "batch_id"
 
@@ -57,7 +58,7 @@ def last_batch(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     one row per key, so a key with very many rows is never gathered.
     """
     newest = delta.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
-    return delta.join(newest, [*keys, BATCH], "left_semi")
+    return join_unique(delta, newest, [*keys, BATCH], "left_semi")
 
 
 def replace_by_key(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,14 +72,18 @@ def upsert_latest(
 ) -> DataFrame:
     """One row per key, the greatest in ``order`` wins, whatever the batch order was.
 
-    Target rows the delta does not touch pass through without a shuffle when
-    the delta is small.
+    With few keys in the delta (counted) the target rows they do not touch
+    pass through by a broadcast, unshuffled. Otherwise both sides shuffle
+    once, after each task has kept its own best row per key.
     """
     keys = list(keys)
-    touched = delta_keys(delta, keys)
+    touched, rows = delta_keys(delta, keys), delta.select(*target.columns)
+    if not is_small(touched):
+        return latest_per_key(target.unionByName(rows), keys, order)
+    touched = F.broadcast(touched)
+    rivals = target.join(touched, keys, "left_semi").unionByName(rows)
     kept = target.join(touched, keys, "left_anti").select(*target.columns)
-    rivals = target.join(touched, keys, "left_semi").unionByName(delta.select(*target.columns))
-    return kept.unionByName(latest_per_key(rivals, keys, order).select(*target.columns))
+    return kept.unionByName(latest_per_key(rivals, keys, order))
 
 
 def merge_conflicts(task_runs: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.functions import chain_hash
 from tableflow.operators.aggregates import paged
-from tableflow.operators.joins import lookup_state
+from tableflow.operators.joins import join_unique, lookup_state
 from tableflow.operators.lineage import Rounds, levels
-from tableflow.session import new_path
+from tableflow.operators.snapshots import list_names
+from tableflow.session import drop_path, new_path
 from tableflow.sources.sink import LARGE_CACHE_BYTES
 
 # Stands for NULL inside a hashed row.
@@ -47,6 +49,7 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000
     upstream_task_name. Tasks are resolved level by level, each edge is read
     in one level only. The upstreams of a hub with more than ``page`` of them
     are hashed page by page and the page hashes then take their place.
+    Tasks on or below a cycle have no level and no fingerprint.
     """
     spark = defs.sparkSession
     edges = edges.distinct()
@@ -60,26 +63,23 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000
     edges_at = spark.read.schema(edge_schema).parquet(f"{base}/edges")
 
     done = Rounds(spark, f"{base}/resolved", "task_name string, fingerprint string")
-    top = defs_at.agg(F.max("level")).first()[0] or 0
+    top, total = defs_at.agg(F.max("level")).first()[0] or 0, 0
     for level in range(1, top + 1):
         here = defs_at.filter(F.col("level") == level).drop("level")
-        if level == 1:
-            lists = here.select("task_name", F.array().cast("array<string>").alias("upstreams"))
-        else:
+        ready = here.withColumn("upstreams", F.array().cast("array<string>"))
+        if level > 1:
             known = done.read().select(
                 F.col("task_name").alias("upstream_task_name"), F.col("fingerprint").alias("up_fp")
             )
-            named = (
-                edges_at.filter(F.col("level") == level)
-                .join(known, "upstream_task_name")
-                .select(
-                    "task_name", "page", F.concat("upstream_task_name", F.lit("="), "up_fp").alias("up")
-                )
+            mine = edges_at.filter(F.col("level") == level).drop("level")
+            named = join_unique(mine, known, ["upstream_task_name"], "inner", n_unique=total)
+            up = F.concat("upstream_task_name", F.lit("="), "up_fp").alias("up")
+            lists = _upstream_parts(named.select("task_name", "page", up))
+            ready = here.join(lists, "task_name", "left").withColumn(
+                "upstreams", F.coalesce("upstreams", F.array().cast("array<string>"))
             )
-            lists = _upstream_parts(named)
-        resolved = definition_fingerprint(here.join(lists, "task_name"))
-        done.add(resolved.select("task_name", "fingerprint"))
-    return done.read()
+        total += done.add(definition_fingerprint(ready).select("task_name", "fingerprint"))["rows"]
+    return done.read().drop("round")
 
 
 def _upstream_parts(named: DataFrame) -> DataFrame:
@@ -146,8 +146,30 @@ def refresh(
         return compute(source)
     redo = changes.filter(F.col("state").isin("added", "changed")).select(part)
     keep = changes.filter(F.col("state") == "same").select(part)
-    fresh = compute(source.join(redo, part, "left_semi"))
-    return target.join(keep, part, "left_semi").select(*fresh.columns).unionByName(fresh)
+    fresh = compute(join_unique(source, redo, [part], "left_semi"))
+    return join_unique(target, keep, [part], "left_semi").select(*fresh.columns).unionByName(fresh)
+
+
+def refresh_stored(
+    path: str,
+    source: DataFrame,
+    part: str,
+    changes: DataFrame,
+    compute: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Refresh a table stored in one folder per ``part``: the others are not read or written.
+
+    Dynamic overwrite swaps the folders of recomputed partitions. It never
+    removes one, so folders of removed partitions are deleted after it.
+    """
+    redo = changes.filter(F.col("state").isin("added", "changed")).select(part)
+    fresh = compute(join_unique(source, redo, [part], "left_semi"))
+    writer = fresh.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    gone = {str(r[0]) for r in changes.filter("state = 'removed'").select(part).collect()}
+    for name in list_names(source.sparkSession, path):
+        if name.startswith(f"{part}=") and unquote(name.split("=", 1)[1]) in gone:
+            drop_path(source.sparkSession, f"{path}/{name}")
 
 
 def ready_to_run(defs: DataFrame, edges: DataFrame, stored: DataFrame) -> DataFrame:
@@ -163,8 +185,7 @@ def ready_to_run(defs: DataFrame, edges: DataFrame, stored: DataFrame) -> DataFr
         .select("upstream_task_name")
     )
     held = (
-        edges.distinct()
-        .join(late, "upstream_task_name")
+        join_unique(edges.distinct(), late, ["upstream_task_name"], "left_semi")
         .groupBy("task_name")
         .agg(F.count(F.lit(1)).alias("blockers"), F.min("upstream_task_name").alias("first_blocker"))
     )

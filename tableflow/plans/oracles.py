@@ -415,6 +415,9 @@ ORACLES: dict[str, str] = {
     "refresh_result": f"""WITH {PRINT_ROWS}
         SELECT flag, l_linenumber, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(tax) AS BIGINT) AS tax
         FROM new_rows GROUP BY 1, 2""",
+    "refresh_stored": f"""WITH {PRINT_ROWS}
+        SELECT flag, l_linenumber, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(tax) AS BIGINT) AS tax
+        FROM new_rows GROUP BY 1, 2""",
     "refresh_preview": f"WITH {PREVIEW} SELECT * FROM preview",
     "ready_to_run": f"""WITH {DEFS}, {NAMED_EDGES}, late AS (
           SELECT d.task_name FROM defs d LEFT JOIN stored s ON s.task_name = d.task_name
@@ -530,6 +533,6 @@ ORACLES: dict[str, str] = {
           FROM daily CROSS JOIN scenarios)
         SELECT task_name, day, scenario, runs, round(kwh * 1e9::DOUBLE, 3) AS kwh_e9,
                round(usd * 1e9::DOUBLE, 3) AS usd_e9, round(standing, 4) AS standing_kwh,
-               round(standing / kwh, 0) AS multiple
+               round(standing / (kwh * 365), 2) AS multiple
         FROM costed""",
 }

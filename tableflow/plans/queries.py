@@ -285,7 +285,7 @@ def merge_replace_key(spark, sf_dir):
 
 def merge_upsert_latest(spark, sf_dir):
     base, delta = fx.run_slices(spark, sf_dir)
-    one = windows.latest_per_key(base, RUN_KEY, ["started_at"])
+    one, _ = materialize(windows.latest_per_key(base, RUN_KEY, ["started_at"]))
     return merge.upsert_latest(one, delta, RUN_KEY, ["started_at"])
 
 
@@ -367,6 +367,15 @@ def refresh_result(spark, sf_dir):
     return refresh.refresh(target, fx.changed_rows(spark, sf_dir), "flag", changes, _flag_totals)
 
 
+def refresh_stored(spark, sf_dir):
+    """The same refresh on a stored table: only the folders of changed flags are written."""
+    path = new_path(spark, "flags")
+    _flag_totals(fx.fingerprint_rows(spark, sf_dir)).write.partitionBy("flag").parquet(path)
+    changes, _ = materialize(fp_changed_partitions(spark, sf_dir))
+    refresh.refresh_stored(path, fx.changed_rows(spark, sf_dir), "flag", changes, _flag_totals)
+    return read_table(spark, path)
+
+
 def refresh_preview(spark, sf_dir):
     return refresh.refresh_preview(
         fx.part_defs(spark, sf_dir), fx.stored_prints(spark, sf_dir), fx.cached_results(spark, sf_dir)
@@ -391,7 +400,7 @@ def fp_definitions(spark, sf_dir):
 
 def fp_propagated(spark, sf_dir):
     defs = fx.part_defs(spark, sf_dir).select("task_name", "source", "config")
-    return refresh.propagate_fingerprints(defs, fx.named_edges(spark, sf_dir)).select("task_name", "fingerprint")
+    return refresh.propagate_fingerprints(defs, fx.named_edges(spark, sf_dir))
 
 
 # ---- snapshots -------------------------------------------------------------------
@@ -539,7 +548,7 @@ def cost_rollup(spark, sf_dir):
         F.round(F.col("kwh") * 1e9, 3).alias("kwh_e9"),
         F.round(F.col("usd") * 1e9, 3).alias("usd_e9"),
         F.round("standing_kwh", 4).alias("standing_kwh"),
-        F.round("multiple", 0).alias("multiple"),
+        F.round("multiple", 2).alias("multiple"),
     )
 
 
@@ -573,7 +582,7 @@ QUERIES: dict[str, Query] = {
             history_closed, history_unclosed,
             merge_insert_absent, merge_anti_insert, merge_replace_key, merge_upsert_latest,
             merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted,
-            fp_table, fp_changed_partitions, refresh_result, refresh_preview, ready_to_run, cache_report,
+            fp_table, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
             fp_definitions, fp_propagated,
             snap_log, snap_as_of, snap_diff, snap_add_column, snap_concurrent,
             pii_profile, pii_scan, pii_triage, pii_documents, non_null_counts,

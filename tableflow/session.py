@@ -65,12 +65,11 @@ def write_counted(df: DataFrame, path: str, **counts) -> dict[str, int]:
     return watch.get
 
 
-def broadcast_if_small(dim: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``dim`` for broadcast only after counting that it is small.
+# Rows a broadcast side may have, and rows of one key that a single task takes in stride.
+BROADCAST_ROWS = 200_000
+HOT_ROWS = 5_000_000
 
-    Beyond the bound the frame comes back unmarked and the join shuffles,
-    where adaptive execution splits hot keys.
-    """
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count up to the bound; reading stops there."""
+    return df.limit(max_rows + 1).count() <= max_rows

@@ -83,15 +83,21 @@ def import_arrow(spark: SparkSession, table: pa.Table, schema: T.StructType | No
     return spark.createDataFrame(table, schema) if schema else spark.createDataFrame(table)
 
 
-def rows_to_json(df: DataFrame, order: str, keys: list[str] | None = None) -> DataFrame:
+def rows_to_json(
+    df: DataFrame, order: str, keys: list[str] | None = None, max_rows: int = 100_000
+) -> DataFrame:
     """Rows of an aggregate as one JSON array per key, in the order of a column.
 
-    For report rows (one per day and the like): an array cell must fit a task.
+    For report rows (one per day and the like). An array has to fit a cell,
+    so a longer one is refused before any list is built, not cut off.
     """
-    values = [c for c in df.columns if c not in (keys or [])]
+    keys = keys or []
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > max_rows:
+        raise ValueError(f"more than {max_rows} rows in one array: write a table instead")
+    values = [c for c in df.columns if c not in keys]
     row = F.struct(order, *[c for c in values if c != order])
-    names = ", ".join(f"'{c}', r.{c}" for c in values)
-    rows = F.sort_array(F.collect_list(row))
-    packed = df.groupBy(*(keys or [])).agg(rows.alias("rows"))
+    names = ", ".join(f"'{c}', r.`{c}`" for c in values)
+    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     ordered = F.expr(f"to_json(transform(rows, r -> named_struct({names})))")
     return packed.withColumn("rows_json", ordered).drop("rows")
