@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.session import BROADCAST_ROWS, HOT_ROWS, is_small
+from tableflow.session import BROADCAST_ROWS, HOT_ROWS, count_up_to
 from tableflow.sources.sink import materialize
 
 
@@ -30,11 +30,12 @@ def join_unique(
     Otherwise both sides shuffle, and the keys that hold more than
     ``hot_rows`` rows of ``df`` take another way: there are few of them (at
     most rows / ``hot_rows``), so their rows of ``unique`` are broadcast and
-    no task gathers a hot key. ``n_unique`` saves the count when it is known.
+    no task gathers a hot key. ``n_unique`` saves the count when a bound is known.
     """
     keys = list(keys)
-    small = n_unique <= max_rows if n_unique is not None else is_small(unique, max_rows)
-    if small:
+    if n_unique is None:
+        n_unique = count_up_to(unique, max_rows)
+    if n_unique <= max_rows:
         return df.join(F.broadcast(unique), keys, how)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot, seen = materialize(counts.filter(F.col("_n") > hot_rows).select(*keys))
@@ -75,9 +76,11 @@ def unseen(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFram
     """
     keys = list(keys)
     wanted, known = delta_keys(delta, keys), target.select(*keys)
-    if is_small(wanted):
-        known = known.join(F.broadcast(wanted), keys, "left_semi")
-    return join_unique(delta, known.distinct(), keys, "left_anti")
+    n = count_up_to(wanted)
+    if n > BROADCAST_ROWS:
+        return join_unique(delta, known.distinct(), keys, "left_anti")
+    known = known.join(F.broadcast(wanted), keys, "left_semi").distinct()
+    return join_unique(delta, known, keys, "left_anti", n_unique=n)
 
 
 def anti_insert(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,9 +91,11 @@ def delta_keys(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     return delta.select(*keys).distinct()
 
 
-def replace_rows(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+def replace_rows(
+    target: DataFrame, delta: DataFrame, keys: Sequence[str], n_keys: int | None = None
+) -> DataFrame:
     """Drop the target rows of every key in the delta, then add the delta."""
-    kept = join_unique(target, delta_keys(delta, keys), keys, "left_anti")
+    kept = join_unique(target, delta_keys(delta, keys), keys, "left_anti", n_unique=n_keys)
     return kept.select(*target.columns).unionByName(delta)
 
 

@@ -18,7 +18,7 @@ from tableflow.operators import snapshots as snap
 from tableflow.operators.history import TABLES
 from tableflow.operators.joins import delta_keys, join_unique, replace_rows, unseen
 from tableflow.operators.windows import latest_per_key
-from tableflow.session import is_small
+from tableflow.session import count_up_to, is_small
 
 BATCH = "batch_id"
 
@@ -51,20 +51,18 @@ def insert_if_absent(
     return target.unionByName(new_rows(target, delta, keys, order))
 
 
-def last_batch(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Only the rows of the newest batch of each key.
+def replace_by_key(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of a key are replaced by those of its newest batch.
 
-    The newest batch per key is a small combining aggregate, joined back as
-    one row per key, so a key with very many rows is never gathered.
+    The newest batch per key is a combining aggregate, joined back as one row
+    per key, so a key with very many rows is never gathered.
     """
+    if BATCH not in delta.columns:
+        return replace_rows(target, delta.select(*target.columns), keys)
     newest = delta.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
-    return join_unique(delta, newest, [*keys, BATCH], "left_semi")
-
-
-def replace_by_key(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows of a key are replaced by those of its newest batch."""
-    fresh = last_batch(delta, keys) if BATCH in delta.columns else delta
-    return replace_rows(target, fresh.select(*target.columns), keys)
+    n = count_up_to(newest)
+    fresh = join_unique(delta, newest, [*keys, BATCH], "left_semi", n_unique=n)
+    return replace_rows(target, fresh.select(*target.columns), keys, n_keys=n)
 
 
 def upsert_latest(

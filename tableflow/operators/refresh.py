@@ -21,17 +21,25 @@ NULL_MARK = "\\N"
 
 
 def row_hash(cols: Sequence[str]) -> Column:
-    """48 bits of the MD5 of a row, as a number that can be added up."""
+    """48 bits of the MD5 of a row, as a bigint."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in cols]
     digest = F.md5(F.concat_ws("\x1f", *cells))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(15,0)")
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
 
 
 def table_fingerprint(df: DataFrame, part: str, cols: Sequence[str]) -> DataFrame:
-    """Row count and order-independent content hash of every partition."""
-    return df.groupBy(part).agg(
+    """Row count and order-independent content hash of every partition.
+
+    The hash is the sum over the row hashes. Their upper and lower 24 bits
+    add up in two bigints, which cannot overflow below 10^11 rows.
+    """
+    hashed = df.select(part, row_hash(cols).alias("h"))
+    high = F.sum(F.shiftright("h", 24)).cast("decimal(20,0)")
+    low = F.sum(F.col("h").bitwiseAND(F.lit(2**24 - 1))).cast("decimal(20,0)")
+    total = high * F.lit(2**24).cast("decimal(8,0)") + low
+    return hashed.groupBy(part).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(row_hash(cols)).cast("decimal(38,0)").cast("string").alias("fingerprint"),
+        total.cast("decimal(38,0)").cast("string").alias("fingerprint"),
     )
 
 

@@ -52,8 +52,7 @@ def commit(
     """
     part = uuid.uuid4().hex
     n = write_counted(df, f"{table}/data/{part}")["rows"]
-    entries = _entries(spark, table)
-    if n == 0 and (mode == "append" or not _parts(entries)):
+    if n == 0 and (mode == "append" or not _parts(_entries(spark, table))):
         drop_path(spark, f"{table}/data/{part}")
         return None
     entry = {"author": author, "commit_message": message, "mode": mode, "part": part, "n_rows": n}
@@ -145,7 +144,8 @@ def _entries(spark: SparkSession, table: str) -> list:
     """The commit log: one small row per commit."""
     if not list_names(spark, f"{table}/log"):
         return []
-    return spark.read.schema(LOG).json(f"{table}/log/*.json").orderBy("snapshot_id").collect()
+    log = spark.read.schema(LOG).json(f"{table}/log/*.json").collect()
+    return sorted(log, key=lambda e: e.snapshot_id)
 
 
 def _parts(entries: list) -> list[str]:
@@ -173,11 +173,12 @@ def _publish(spark, table, entry, schema, expect, time) -> int:
     """Write the log entry under the next free number."""
     when = time or datetime.now(timezone.utc).replace(tzinfo=None)
     while True:
-        number = latest(spark, table) + 1
+        entries = _entries(spark, table)
+        number = entries[-1].snapshot_id + 1 if entries else 1
         if expect is not None and number != expect + 1:
             raise CommitConflict(f"{table} is at {number - 1}, expected {expect}")
-        if number > 1:
-            known = table_schema(spark, table)
+        if entries:
+            known = _schema(entries)
             extra = [f for f in schema.fields if f.name not in known.names]
             schema = T.StructType(known.fields + extra)
         row = {

@@ -70,6 +70,10 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 5_000_000
 
 
+def count_up_to(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> int:
+    """Rows of ``df``, or ``max_rows + 1`` for any larger number; reading stops there."""
+    return df.limit(max_rows + 1).count()
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count up to the bound; reading stops there."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return count_up_to(df, max_rows) <= max_rows

@@ -76,7 +76,7 @@ def test_unseen_large_and_small_way(spark, monkeypatch):
     target = spark.createDataFrame([(i % 5,) for i in range(100)], "k int")
     delta = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, v string")
     few = sorted(joins.unseen(target, delta, ["k"]).collect())
-    monkeypatch.setattr(joins, "is_small", lambda df, max_rows=0: False)
+    monkeypatch.setattr(joins, "count_up_to", lambda df, max_rows=0: 10**9)
     assert sorted(joins.unseen(target, delta, ["k"]).collect()) == few
     assert [r.k for r in few] == [5, 6, 7, 8, 9]
 

@@ -78,3 +78,10 @@ def test_extract_and_describe(spark):
     rows = read_table(spark, path, ["id"])
     assert rows.count() == 10 and rows.agg(F.min("id")).first()[0] >= 50
     assert [tuple(r) for r in describe_table(rows).collect()] == [("id", "bigint", 1)]
+
+
+def test_given_schemas_are_those_of_the_files(spark, small):
+    from tableflow.plans.fixtures import SCHEMAS, table
+
+    for name in SCHEMAS:
+        assert table(spark, small, name).schema == spark.read.parquet(f"{small}/{name}.parquet").schema
