@@ -11,8 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.functions import as_date, day_start, exact_sum, hour_of, matches, modulo, money, round2
-from tableflow.operators.clean import clean_positive, equals
+from tableflow.functions import (
+    as_date, day_start, exact_sum, hour_of, inexact_sum, join_sums, matches, mean, modulo, money_sum, round2, total,
+)
+from tableflow.operators.clean import clean_positive, equals, maybe_equals
 from tableflow.operators.joins import join_unique
 from tableflow.session import is_small
 
@@ -29,11 +31,9 @@ def daily_fares(trips: DataFrame) -> DataFrame:
     """Trips, fares, tips and mean total per day."""
     return trips.groupBy("trip_date").agg(
         n_rows().alias("trip_count"),
-        money(exact_sum(F.col("fare_amount"))).alias("total_fare"),
-        money(exact_sum(F.col("tip_amount"))).alias("total_tip"),
-        round2(exact_sum(F.col("total_amount")).cast("double") / F.count("total_amount")).alias(
-            "avg_total"
-        ),
+        money_sum(F.col("fare_amount")).alias("total_fare"),
+        money_sum(F.col("tip_amount")).alias("total_tip"),
+        round2(mean(F.col("total_amount"))).alias("avg_total"),
     )
 
 
@@ -42,13 +42,13 @@ def daily_revenue(trips: DataFrame) -> DataFrame:
     return (
         trips.filter(F.col("fare_amount") > 0)
         .groupBy(as_date(F.col("pickup_ts")).alias("trip_date"), "payment_type")
-        .agg(exact_sum(F.col("total_amount")).cast("double").alias("revenue"), n_rows().alias("trip_count"))
+        .agg(total(F.col("total_amount")).alias("revenue"), n_rows().alias("trip_count"))
     )
 
 
 def by_payment(trips: DataFrame) -> DataFrame:
     return trips.groupBy("payment_type").agg(
-        n_rows().alias("trip_count"), money(exact_sum(F.col("fare_amount"))).alias("total_fare")
+        n_rows().alias("trip_count"), money_sum(F.col("fare_amount")).alias("total_fare")
     )
 
 
@@ -65,41 +65,35 @@ def borough_day(trips: DataFrame, zones: DataFrame, max_zones: int = 200_000) ->
     """
     zone = zones.select(F.col("location_id").alias("pu_location_id"), "borough")
     day = day_start(F.col("pickup_ts")).alias("day")
-    count, revenue = n_rows().alias("trips"), exact_sum(F.col("fare_amount"))
+    count, fare = n_rows().alias("trips"), F.col("fare_amount")
     if is_small(zone, max_zones):
         found = trips.join(F.broadcast(zone), "pu_location_id")
-        return found.groupBy("borough", day).agg(count, money(revenue).alias("revenue"))
-    cells = trips.groupBy("pu_location_id", day).agg(count, revenue.alias("revenue"))
+        return found.groupBy("borough", day).agg(count, money_sum(fare).alias("revenue"))
+    cells = trips.groupBy("pu_location_id", day).agg(
+        count, exact_sum(fare).alias("exact"), inexact_sum(fare).alias("inexact")
+    )
     return (
         cells.join(zone, "pu_location_id")
         .groupBy("borough", "day")
-        .agg(F.sum("trips").alias("trips"), money(F.sum("revenue")).alias("revenue"))
+        .agg(
+            F.sum("trips").alias("trips"),
+            join_sums(F.sum("exact").cast("decimal(38,6)"), F.sum("inexact"), 2).alias("revenue"),
+        )
     )
 
 
 def daily_totals(trips: DataFrame) -> DataFrame:
-    """Day totals, grouped by whatever is not aggregated."""
-    return trips.sparkSession.sql(
-        """
-        SELECT trip_date, count(*) AS trip_count, {total} AS total_fare
-        FROM {trips} GROUP BY ALL
-        """.replace(
-            "{total}",
-            "cast(round(cast(sum(floor(fare_amount)) AS decimal(38,6)) + cast(sum(floor((fare_amount"
-            " - floor(fare_amount)) * 1000000 + 0.5)) AS decimal(24,0)) * 0.000001BD, 2) AS double)",
-        ),
-        trips=trips.withColumn("trip_date", as_date(F.col("pickup_ts"))),
+    """Day totals. The one column that is not aggregated is the key."""
+    return trips.groupBy(as_date(F.col("pickup_ts")).alias("trip_date")).agg(
+        n_rows().alias("trip_count"), money_sum(F.col("fare_amount")).alias("total_fare")
     )
 
 
 def payment_daily(trips: DataFrame, code: int | None = None) -> DataFrame:
-    """Trips and revenue per day for one payment type, or per type when none is given."""
-    dated = clean_positive(trips, ["fare_amount"]).withColumn("trip_date", as_date(F.col("pickup_ts")))
-    keys = ["trip_date"] if code is not None else ["payment_type", "trip_date"]
-    if code is not None:
-        dated = equals(dated, "payment_type", code)
-    return dated.groupBy(*keys).agg(
-        n_rows().alias("trip_count"), money(exact_sum(F.col("fare_amount"))).alias("total_revenue")
+    """Trips and revenue per payment type and day, for one type when a code is given."""
+    paid = maybe_equals(clean_positive(trips, ["fare_amount"]), "payment_type", code)
+    return paid.groupBy("payment_type", as_date(F.col("pickup_ts")).alias("trip_date")).agg(
+        n_rows().alias("trip_count"), money_sum(F.col("fare_amount")).alias("total_revenue")
     )
 
 
@@ -108,13 +102,13 @@ def totals(df: DataFrame, count: str, value: str, keys: Sequence[str] = ()) -> D
     return df.groupBy(*keys).agg(
         n_rows().alias("n_rows"),
         F.sum(count).cast("bigint").alias("total_trips"),
-        money(exact_sum(F.col(value))).alias("total_revenue"),
+        money_sum(F.col(value)).alias("total_revenue"),
     )
 
 
 def borough_totals(daily: DataFrame) -> DataFrame:
     """Borough × day to borough, rounded once at the end."""
-    return daily.groupBy("borough").agg(money(exact_sum(F.col("revenue"))).alias("revenue"))
+    return daily.groupBy("borough").agg(money_sum(F.col("revenue")).alias("revenue"))
 
 
 def first_max(value: str, key: str) -> Column:
@@ -146,7 +140,7 @@ def key_stats(df: DataFrame, key: str, *more: Column) -> DataFrame:
     """Runs, mean and longest duration, and last end per key, with further aggregates."""
     return df.groupBy(key).agg(
         n_rows().alias("runs"),
-        (exact_sum(F.col("duration_ms")).cast("double") / F.count("duration_ms")).alias("avg_duration_ms"),
+        mean(F.col("duration_ms")).alias("avg_duration_ms"),
         F.max("duration_ms").alias("max_duration_ms"),
         F.max("ended_at").alias("last_run_at"),
         *more,
@@ -158,7 +152,7 @@ def measures(trips: DataFrame, value: str) -> DataFrame:
     return trips.agg(
         tally(F.col("payment_type") == 1).alias("card_trips"),
         tally(F.col("payment_type") == 2).alias("cash_trips"),
-        (exact_sum(F.col(value)).cast("double") / F.count(value)).alias("mean_value"),
+        mean(F.col(value)).alias("mean_value"),
     )
 
 

@@ -121,15 +121,25 @@ def batch_id() -> str:
 
 
 def write_delta(rows: DataFrame, folder: str) -> str:
-    """Add one batch to the pending folder. Batches never share a file, so no lock is needed."""
+    """Add one batch to the pending folder and return its name.
+
+    Batches never share a file, so no lock is needed. The entry in ``ready``
+    comes last: readers follow these entries and never see half a batch.
+    """
     name = batch_id()
-    rows.withColumn(BATCH, F.lit(name)).write.parquet(f"{folder}/{name}")
+    rows.withColumn(BATCH, F.lit(name)).write.parquet(f"{folder}/data/{name}")
+    snap.create_once(rows.sparkSession, f"{folder}/ready", f"{name}.json", {BATCH: name})
     return name
 
 
 def pending(spark: SparkSession, folder: str) -> list[str]:
     """Names of the complete batches that wait in a folder."""
-    return [b for b in snap.list_names(spark, folder) if snap.exists(spark, f"{folder}/{b}/_SUCCESS")]
+    return [entry.removesuffix(".json") for entry in snap.list_names(spark, f"{folder}/ready")]
+
+
+def read_deltas(spark: SparkSession, name: str, folder: str, batches: Sequence[str]) -> DataFrame:
+    """The rows of some batches, with their batch name."""
+    return spark.read.schema(f"{TABLES[name]}, {BATCH} string").parquet(*[f"{folder}/data/{b}" for b in batches])
 
 
 def absorb_into(
@@ -161,11 +171,11 @@ def compact(spark: SparkSession, name: str, table: str, folder: str) -> list[str
     batches = pending(spark, folder)
     if not batches:
         return []
-    schema = f"{TABLES[name]}, {BATCH} string"
-    delta = spark.read.schema(schema).parquet(*[f"{folder}/{b}" for b in batches])
+    delta = read_deltas(spark, name, folder, batches)
     absorb_into(spark, name, table, delta, f"compact {len(batches)} deltas")
     for b in batches:
-        snap.drop_path(spark, f"{folder}/{b}")
+        snap.drop_path(spark, f"{folder}/ready/{b}.json")
+        snap.drop_path(spark, f"{folder}/data/{b}")
     return batches
 
 

@@ -19,6 +19,9 @@ from tableflow.sources.sink import LARGE_CACHE_BYTES
 # Stands for NULL inside a hashed row.
 NULL_MARK = "\\N"
 
+# Fixed value: the folder name of a NULL partition.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
 
 def row_hash(cols: Sequence[str]) -> Column:
     """48 bits of the MD5 of a row, as a bigint."""
@@ -124,19 +127,26 @@ def refresh_preview(defs: DataFrame, stored: DataFrame, cache: DataFrame) -> Dat
 
 def changed_partitions(old_fp: DataFrame, new_fp: DataFrame, part: str) -> DataFrame:
     """Each partition as added, changed, removed or same."""
-    old = old_fp.select(part, F.col("n_rows").alias("old_rows"), F.col("fingerprint").alias("old_fp"))
-    new = new_fp.select(part, F.col("n_rows").alias("new_rows"), F.col("fingerprint").alias("new_fp"))
+    old = old_fp.select(F.col(part).alias("_old"), F.col("n_rows").alias("old_rows"), F.col("fingerprint").alias("old_fp"))
+    new = new_fp.select(F.col(part).alias("_new"), F.col("n_rows").alias("new_rows"), F.col("fingerprint").alias("new_fp"))
     same = (F.col("old_fp") == F.col("new_fp")) & (F.col("old_rows") == F.col("new_rows"))
-    return old.join(new, part, "full").select(
-        part,
-        F.when(F.col("old_fp").isNull(), "added")
-        .when(F.col("new_fp").isNull(), "removed")
+    return old.join(new, F.col("_old").eqNullSafe(F.col("_new")), "full").select(
+        F.coalesce("_old", "_new").alias(part),
+        F.when(F.col("old_rows").isNull(), "added")
+        .when(F.col("new_rows").isNull(), "removed")
         .when(same, "same")
         .otherwise("changed")
         .alias("state"),
     )
 
 
+def only(df: DataFrame, changes: DataFrame, part: str, *states: str) -> DataFrame:
+    """Rows of the partitions in one of these states; a NULL partition counts as one."""
+    key = F.coalesce(F.col(part).cast("string"), F.lit(NULL_MARK))
+    wanted = changes.filter(F.col("state").isin(*states)).select(key.alias("_part"))
+    return join_unique(df.withColumn("_part", key), wanted, ["_part"], "left_semi").drop("_part")
+
+
 def refresh(
     target: DataFrame,
     source: DataFrame,
@@ -152,10 +162,8 @@ def refresh(
     """
     if force:
         return compute(source)
-    redo = changes.filter(F.col("state").isin("added", "changed")).select(part)
-    keep = changes.filter(F.col("state") == "same").select(part)
-    fresh = compute(join_unique(source, redo, [part], "left_semi"))
-    return join_unique(target, keep, [part], "left_semi").select(*fresh.columns).unionByName(fresh)
+    fresh = compute(only(source, changes, part, "added", "changed"))
+    return only(target, changes, part, "same").select(*fresh.columns).unionByName(fresh)
 
 
 def refresh_stored(
@@ -170,11 +178,11 @@ def refresh_stored(
     Dynamic overwrite swaps the folders of recomputed partitions. It never
     removes one, so folders of removed partitions are deleted after it.
     """
-    redo = changes.filter(F.col("state").isin("added", "changed")).select(part)
-    fresh = compute(join_unique(source, redo, [part], "left_semi"))
+    fresh = compute(only(source, changes, part, "added", "changed"))
     writer = fresh.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    gone = {str(r[0]) for r in changes.filter("state = 'removed'").select(part).collect()}
+    removed = changes.filter("state = 'removed'").select(F.col(part).cast("string")).collect()
+    gone = {NULL_FOLDER if r[0] is None else r[0] for r in removed}  # partition names, not rows
     for name in list_names(source.sparkSession, path):
         if name.startswith(f"{part}=") and unquote(name.split("=", 1)[1]) in gone:
             drop_path(source.sparkSession, f"{path}/{name}")

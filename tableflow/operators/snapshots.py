@@ -187,11 +187,11 @@ def _publish(spark, table, entry, schema, expect, time) -> int:
             **entry,
             "table_schema": schema.json(),
         }
-        if _create_once(spark, f"{table}/log", f"{number:012d}.json", row):
+        if create_once(spark, f"{table}/log", f"{number:012d}.json", row):
             return number
 
 
-def _create_once(spark: SparkSession, folder: str, name: str, row: dict) -> bool:
+def create_once(spark: SparkSession, folder: str, name: str, row: dict) -> bool:
     """Create a file with its whole content, or report that the name is taken."""
     text = json.dumps(row)
     jvm = spark._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.functions import as_date, label_of, slug
+from tableflow.functions import as_date, label_of, money_sum, slug, total
 from tableflow.operators import aggregates as agg
 from tableflow.operators.clean import clean_positive, drop_null, exclude_values, in_range, pipe, project
 from tableflow.operators.joins import with_zone
@@ -123,12 +123,17 @@ def payment_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.payment_daily(chosen)
 
 
+def card_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card report alone."""
+    return agg.payment_daily(fx.order_trips(spark, sf_dir), 1)
+
+
 def payment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and best day of the card and the cash report."""
     daily = payment_days(spark, sf_dir)
     return daily.groupBy("payment_type").agg(
         F.sum("trip_count").cast("bigint").alias("total_trips"),
-        agg.money(agg.exact_sum(F.col("total_revenue"))).alias("total_revenue"),
+        money_sum(F.col("total_revenue")).alias("total_revenue"),
         agg.first_max("total_revenue", "trip_date").alias("best_day"),
     )
 
@@ -157,12 +162,12 @@ def borough_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_borough = borough_days(spark, sf_dir).groupBy("borough").agg(
         agg.n_rows().alias("n"),
         F.sum("trips").alias("trips"),
-        agg.exact_sum(F.col("revenue")).cast("double").alias("revenue"),
+        total(F.col("revenue")).alias("revenue"),
     )
     return per_borough.agg(
         F.sum("n").cast("bigint").alias("day_borough_rows"),
         F.sum("trips").cast("bigint").alias("total_trips"),
-        agg.money(agg.exact_sum(F.col("revenue"))).alias("total_revenue"),
+        money_sum(F.col("revenue")).alias("total_revenue"),
         agg.first_max("revenue", "borough").alias("top_borough_by_revenue"),
     )
 

@@ -248,6 +248,7 @@ ORACLES: dict[str, str] = {
     "z6_totals": f"""WITH {BY_PAYMENT}
         SELECT count(*) AS payment_types, {cents('total_fare')} AS total_fare FROM pay""",
     "z8_payment_days": f"WITH {PAYMENT_DAYS} SELECT * FROM daily",
+    "z8_card_days": f"WITH {PAYMENT_DAYS} SELECT * FROM daily WHERE payment_type = 1",
     "z8_payment_reports": f"""WITH {PAYMENT_DAYS}
         SELECT payment_type, CAST(sum(trip_count) AS BIGINT) AS total_trips,
                {cents('total_revenue')} AS total_revenue,
@@ -430,6 +431,8 @@ ORACLES: dict[str, str] = {
         SELECT task_name, fingerprint, CAST(sum(n_rows) AS BIGINT) AS n_rows,
                CAST(sum(size_bytes) AS BIGINT) AS size_bytes, sum(size_bytes) > 50 * 1024 * 1024 AS large
         FROM cache GROUP BY 1, 2""",
+    "hash_chain": """SELECT p_partkey, sha256(p_name || chr(0) || p_brand || chr(0) || CAST(p_size AS VARCHAR) || chr(0))
+               AS hash FROM part""",
     "fp_definitions": f"""WITH {DEFS}
         SELECT task_name, sha256(source || chr(0) || config || chr(0) || 'a=' || source || chr(0)
                || 'size=' || CAST(p_size AS VARCHAR) || chr(0)) AS fingerprint FROM defs""",

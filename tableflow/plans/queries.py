@@ -9,8 +9,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.functions import array_bucket, array_join, array_map, decode_rows, encode_rows
-from tableflow.functions import contains_any, elapsed_ms, label_of, open_end, slug
+from tableflow.functions import (
+    array_bucket, array_join, array_map, chain_hash, contains_any, decode_rows, elapsed_ms, encode_rows, label_of,
+    money_sum, open_end, slug,
+)
 from tableflow.operators import aggregates as agg
 from tableflow.operators import clean, cost, history, joins, lineage, merge, quality, refresh, windows
 from tableflow.operators import snapshots as snap
@@ -81,7 +83,7 @@ def io_union(spark, sf_dir):
     return both.groupBy("l_linenumber").agg(
         agg.n_rows().alias("n"),
         F.count("l_tax").alias("with_tax"),
-        agg.money(agg.exact_sum(F.col("l_extendedprice"))).alias("price"),
+        money_sum(F.col("l_extendedprice")).alias("price"),
     )
 
 
@@ -392,6 +394,12 @@ def cache_report(spark, sf_dir):
     return refresh.cache_report(fx.cached_results(spark, sf_dir))
 
 
+def hash_chain(spark, sf_dir):
+    """SHA-256 over the columns of every part."""
+    parts = fx.table(spark, sf_dir, "part")
+    return parts.select("p_partkey", chain_hash(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("hash"))
+
+
 def fp_definitions(spark, sf_dir):
     ups = F.array(F.concat(F.lit("size="), F.col("p_size").cast("string")), F.concat(F.lit("a="), "source"))
     defs = fx.part_defs(spark, sf_dir).select("task_name", "source", "config", ups.alias("upstreams"))
@@ -565,6 +573,7 @@ QUERIES: dict[str, Query] = {
     "z5_daily_totals": jobs.day_totals,
     "z6_totals": jobs.payment_totals,
     "z8_payment_days": jobs.payment_days,
+    "z8_card_days": jobs.card_days,
     "z8_payment_reports": jobs.payment_reports,
     "z9_measures": jobs.three_measures,
     "z10_borough_day": jobs.borough_days,
@@ -583,7 +592,7 @@ QUERIES: dict[str, Query] = {
             merge_insert_absent, merge_anti_insert, merge_replace_key, merge_upsert_latest,
             merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted,
             fp_table, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
-            fp_definitions, fp_propagated,
+            hash_chain, fp_definitions, fp_propagated,
             snap_log, snap_as_of, snap_diff, snap_add_column, snap_concurrent,
             pii_profile, pii_scan, pii_triage, pii_documents, non_null_counts,
             lineage_levels, lineage_roots, lineage_descendants, lineage_failure, lineage_cycles,

@@ -4,34 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableflow.operators.history import TABLES
-from tableflow.operators.merge import BATCH, absorb_into
+from tableflow.operators import snapshots as snap
+from tableflow.operators.merge import BATCH, absorb_into, read_deltas
 
 
 def absorb_stream(
     spark: SparkSession,
     name: str,
-    delta_dir: str,
+    folder: str,
     table: str,
     checkpoint: str,
-    files_per_batch: int = 1000,
-    schema: str | None = None,
+    batches_per_trigger: int = 1000,
 ) -> None:
     """Merge all pending deltas of one run table, then stop.
 
-    The checkpoint remembers the files already read. A batch that is replayed
-    after a failure merges to the same table, since every merge is idempotent,
-    so each delta counts once.
+    The stream follows the small ``ready`` entries, so a delta is merged whole
+    or not yet. The checkpoint remembers the entries already merged. Entries
+    replayed after a failure merge to the same table, since every merge is
+    idempotent, so each delta counts once. A delta that was compacted in the
+    meantime is in the table already.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        absorb_into(batch.sparkSession, name, table, batch, f"stream batch {number}")
+    def merge(entries: DataFrame, number: int) -> None:
+        session = entries.sparkSession
+        names = sorted(row[0] for row in entries.select(BATCH).collect())  # at most batches_per_trigger
+        names = [n for n in names if snap.exists(session, f"{folder}/data/{n}")]
+        if names:
+            delta = read_deltas(session, name, folder, names)
+            absorb_into(session, name, table, delta, f"stream batch {number}")
 
     query = (
-        spark.readStream.schema(f"{schema or TABLES[name]}, {BATCH} string")
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(delta_dir)
+        spark.readStream.schema(f"{BATCH} string")
+        .option("maxFilesPerTrigger", batches_per_trigger)
+        .json(f"{folder}/ready")
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from decimal import Decimal
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tableflow.functions import (
     array_bucket, array_join, array_map, chain_hash, contains_any, day_start, elapsed_ms, exact_sum,
-    label_of, matches, memory_tier, money, slug,
+    label_of, matches, memory_tier, money_sum, slug, total,
 )
 
 
@@ -29,7 +30,17 @@ def test_exact_sum_is_exact_in_any_order(spark):
 def test_exact_sum_skips_nulls_and_of_nothing_is_null(spark):
     df = spark.createDataFrame([(1.5,), (None,)], "v double")
     assert df.agg(exact_sum(F.col("v")).alias("s")).first().s == Decimal("1.5")
-    assert df.filter("v > 9").agg(money(exact_sum(F.col("v"))).alias("s")).first().s is None
+    assert df.filter("v > 9").agg(money_sum(F.col("v")).alias("s")).first().s is None
+
+
+def test_sums_keep_large_infinite_and_nan_values(spark):
+    def sums(*values):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        return df.agg(money_sum(F.col("v")).alias("m"), total(F.col("v")).alias("t")).first()
+
+    assert sums(1.25, 3e12)[0] == 3e12 + 1.25 and sums(-4e10)[1] == -4e10
+    assert sums(1.0, float("inf"))[0] == float("inf")
+    assert math.isnan(sums(1.0, float("nan"))[0]) and math.isnan(sums(float("nan"))[1])
 
 
 def test_regex_end_is_the_end_of_the_text(spark):

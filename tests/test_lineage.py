@@ -146,3 +146,27 @@ def test_fingerprint_ignores_order_and_sees_copies_and_nulls(spark):
     base = fp([("x", "y"), ("z", None)])
     assert fp([("z", None), ("x", "y")]) == base
     assert len({base, fp([("x", "y"), ("z", "")]), fp([("x", "y"), ("z", None), ("z", None)]), fp([("x", "y"), (None, "z")])}) == 4
+
+
+def test_refresh_keeps_and_drops_null_partitions(spark):
+    from tableflow.session import new_path
+
+    def table(*rows):
+        return spark.createDataFrame(list(rows), "p string, v int")
+
+    def prints(df):
+        return refresh.table_fingerprint(df, "p", ["v"])
+
+    def total(rows):
+        return rows.groupBy("p").agg(F.sum("v").alias("s"))
+
+    v1, v2, v3 = table((None, 1), ("a b", 2)), table((None, 1), ("a b", 3)), table(("c", 4))
+    path = new_path(spark, "parts")
+    total(v1).write.partitionBy("p").parquet(path)
+    for old, new in ((v1, v2), (v2, v3)):
+        changes = refresh.changed_partitions(prints(old), prints(new), "p")
+        got = refresh.refresh(total(old), new, "p", changes, total)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in total(new).collect()}
+        refresh.refresh_stored(path, new, "p", changes, total)
+        stored = spark.read.schema("s bigint, p string").parquet(path).select("p", "s").collect()
+        assert {tuple(r) for r in stored} == {tuple(r) for r in total(new).collect()}

@@ -159,3 +159,26 @@ def test_history_counts_oom_as_a_failure(spark):
 def test_latest_status_is_the_later_one(spark):
     tasks = frame(spark, "task_runs", [task_run("r1", "a", "failed"), task_run("r2", "a", "success", 5)])
     assert [r.status for r in history.latest_status(tasks).collect()] == ["success"]
+
+
+@pytest.mark.parametrize("per_trigger", [1, 1000])
+def test_stream_replaces_lineage_by_whole_batches(spark, per_trigger):
+    def rows(*pairs):
+        return frame(spark, "task_lineage", list(pairs)).repartition(3)
+
+    table, folder = new_path(spark, "lineage"), new_path(spark, "pending")
+    snap.commit(spark, table, rows(("a", "x"), ("b", "y")), "x", "base")
+    merge.write_delta(rows(("a", "p"), ("a", "q"), ("a", "r"), ("a", "s")), folder)
+    merge.write_delta(rows(("a", "t"), ("a", "u"), ("c", "v")), folder)
+    absorb_stream(spark, "task_lineage", folder, table, new_path(spark, "stream"), per_trigger)
+    got = {tuple(r) for r in snap.read_as_of(spark, table).collect()}
+    assert got == {("a", "t"), ("a", "u"), ("b", "y"), ("c", "v")}
+
+
+def test_stream_keeps_the_newest_fingerprint(spark):
+    table, folder = new_path(spark, "prints"), new_path(spark, "pending")
+    snap.commit(spark, table, frame(spark, "task_fingerprints", [("a", "f1", at(5))]), "x", "base")
+    for print_, minute in (("f2", 9), ("f0", 1), ("f9", 7)):
+        merge.write_delta(frame(spark, "task_fingerprints", [("a", print_, at(minute))]), folder)
+    absorb_stream(spark, "task_fingerprints", folder, table, new_path(spark, "stream"), 1)
+    assert [r.fingerprint for r in snap.read_as_of(spark, table).collect()] == ["f2"]
