@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableflow.functions import all_of
 from tableflow.session import BROADCAST_ROWS, HOT_ROWS, count_up_to
 from tableflow.sources.sink import materialize
 
@@ -44,9 +45,12 @@ def join_unique(
     hot = F.broadcast(hot)
     hot_side = F.broadcast(unique.join(hot, keys, "left_semi"))
     hot_part = df.join(hot, keys, "left_semi").join(hot_side, keys, how)
-    # A NULL key is no match for any hot key and stays in the cold part.
-    cold_part = df.join(hot, keys, "left_anti").join(unique, keys, how)
-    return hot_part.unionByName(cold_part)
+    known = all_of([F.col(k).isNotNull() for k in keys])
+    cold_part = df.filter(known).join(hot, keys, "left_anti").join(unique, keys, how)
+    both = hot_part.unionByName(cold_part)
+    if how in ("left", "left_anti"):  # a NULL key matches nothing, so such rows need no join
+        both = both.unionByName(df.filter(~known), allowMissingColumns=True)
+    return both
 
 
 def with_zone(trips: DataFrame, zones: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableflow.session import HOT_ROWS
+from tableflow.sources.sink import materialize
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` columns per key. A NULL sorts lowest.
@@ -24,29 +28,46 @@ def trailing_mean(part: str | Sequence, order: str, value: str, n: int) -> Colum
 
 
 def rolling_mean(
-    df: DataFrame, part: str, order: str, value: str, n: int, name: str, splits: int | None = None
+    df: DataFrame, part: str, order: str, value: str, n: int, name: str, max_group: int | None = HOT_ROWS
 ) -> DataFrame:
     """Mean of the last ``n`` rows (fewer at the start) within each group.
 
     ``order`` must be unique in a group, and a number, date or timestamp.
-    The table is cut at quantiles of ``order`` into ``splits`` ranges (as many
-    as shuffle partitions by default), so that no task holds more than about
-    one range of a group. The rows just before each range come from the small
-    table of range tails, which makes the result equal to one long window.
-
-    ``splits=1`` is the plain window, for groups of known small size.
+    Groups of more than ``max_group`` rows, of which there are few, are cut
+    into ranges of ``order`` so that no task holds a whole one; all others
+    take a plain window. ``max_group=None`` skips the count, for groups known
+    to be small.
     """
-    if splits is None:
-        splits = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if splits <= 1 or n <= 1:
+    if max_group is None or n <= 1:
         return df.withColumn(name, trailing_mean(part, order, value, n))
+    sizes = df.groupBy(F.col(part).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    hot, seen = materialize(sizes.filter(F.col("_n") > max_group))
+    if not seen["rows"]:
+        return df.withColumn(name, trailing_mean(part, order, value, n))
+    splits = math.ceil(hot.agg(F.sum("_n")).first()[0] / max_group) + 1
+    is_hot = F.col(part).eqNullSafe(F.col("_part"))
+    small = df.join(F.broadcast(hot), is_hot, "left_anti")
+    large = df.join(F.broadcast(hot), is_hot, "left_semi")
+    plain = small.withColumn(name, trailing_mean(part, order, value, n))
+    return plain.unionByName(_ranged_mean(large, part, order, value, n, name, splits))
+
 
+def _ranged_mean(
+    df: DataFrame, part: str, order: str, value: str, n: int, name: str, splits: int
+) -> DataFrame:
+    """The same mean with every group cut at quantiles of ``order``.
+
+    The rows just before a range come from the small table of range tails,
+    which makes the result equal to one long window.
+    """
     shares = [i / splits for i in range(1, splits)]
     # One row with a fixed number of cut points, as text so that any type survives the trip.
-    cuts = df.agg(F.percentile_approx(order, shares).cast("array<string>")).first()[0] or []
+    points = F.percentile_approx(order, shares, max(10_000, 10 * splits))
+    cuts = df.agg(points.cast("array<string>")).first()[0] or []
     kind = df.schema[order].dataType.simpleString()
     bounds = F.array(*[F.lit(cut) for cut in cuts]).cast(f"array<{kind}>")
     ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut < F.col(order))))
+
     last = Window.partitionBy(part, "_range").orderBy(F.desc(order))
     tails = (
         ranged.select(part, "_range", order, value)

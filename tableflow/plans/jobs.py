@@ -77,10 +77,10 @@ def rolling_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily revenue, written once, then its mean over three rows and a label.
 
     A payment type has one row per calendar day here, so a plain window is
-    safe (``splits=1``).
+    safe (``max_group=None``).
     """
     daily, _ = materialize(agg.daily_revenue(fx.order_trips(spark, sf_dir)))
-    rolled = rolling_mean(daily, "payment_type", "trip_date", "revenue", 3, "revenue_3d_avg", splits=1)
+    rolled = rolling_mean(daily, "payment_type", "trip_date", "revenue", 3, "revenue_3d_avg", max_group=None)
     return rolled.withColumn("payment_type_label", label_of(F.col("payment_type"), PAYMENT_LABELS))
 
 

@@ -30,19 +30,18 @@ def build_session(app: str = "tableflow", cores: int | str = "*", **conf) -> Spa
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for cuts and scratch tables.
+    """This application's folder inside the shared one for cuts and scratch tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    may fall back to a folder of this machine.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Only a
+    local session may fall back to a folder of this machine.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tableflow-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
+        named = tempfile.mkdtemp(prefix="tableflow-")
+        spark.conf.set(CHECKPOINT_CONF, named)
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +49,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_work(spark: SparkSession) -> None:
+    """Delete what this application left in the shared folder, once its results are used."""
+    drop_path(spark, work_root(spark))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder this library wrote, on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

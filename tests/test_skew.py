@@ -14,7 +14,7 @@ def facts(spark):
     """A third of the rows share one key; some keys have no match, some are NULL."""
     rng = random.Random(7)
     rows = [(1 if rng.random() < 0.34 else rng.randrange(2, 60), i) for i in range(3000)]
-    rows += [(None, 9000), (None, 9001)]
+    rows += [(None, i) for i in range(9000, 9600)]
     return spark.createDataFrame(rows, "k int, v int").cache()
 
 
@@ -33,12 +33,12 @@ def test_hot_key_does_not_meet_a_shuffled_dimension(spark, facts):
     assert text.count("strategy=broadcast") >= 3
 
 
-@pytest.mark.parametrize("splits", [1, 2, 5, 40])
+@pytest.mark.parametrize("max_group", [None, 3, 20, 100, 1000])
 @pytest.mark.parametrize("n", [1, 2, 3, 7])
-def test_rolling_mean_equals_brute_force(spark, splits, n):
-    rng = random.Random(splits * 10 + n)
+def test_rolling_mean_equals_brute_force(spark, max_group, n):
+    rng = random.Random((max_group or 0) * 10 + n)
     rows, want = [], {}
-    for part, size in (("hot", 200), ("mid", 30), ("one", 1), ("late", 8)):
+    for part, size in (("hot", 200), ("mid", 30), ("one", 1), ("late", 8), (None, 40)):
         start = 5000 if part == "late" else 0
         order = sorted(rng.sample(range(start, start + 1000), size))
         values = [float(rng.randrange(100)) for _ in order]
@@ -48,11 +48,20 @@ def test_rolling_mean_equals_brute_force(spark, splits, n):
             want[part, o] = round(sum(last) / len(last), 9)
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "part string, o int, v double")
-    got = windows.rolling_mean(df, "part", "o", "v", n, "m", splits=splits).collect()
+    got = windows.rolling_mean(df, "part", "o", "v", n, "m", max_group=max_group).collect()
     assert {(r.part, r.o): round(r.m, 9) for r in got} == want
     assert len(got) == len(rows)
 
 
+def test_rolling_mean_over_timestamps_is_cut_alike(spark, small):
+    from tableflow.plans import fixtures as fx
+
+    events = fx.table(spark, small, "events").select("event_type", "ts", "value")
+    plain = windows.rolling_mean(events, "event_type", "ts", "value", 4, "m", max_group=None)
+    cut = windows.rolling_mean(events, "event_type", "ts", "value", 4, "m", max_group=50)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.select(*plain.columns).collect()))
+
+
 def test_zone_day_totals_do_not_depend_on_the_way(spark, small):
     from tableflow.plans import fixtures as fx
 
