@@ -134,5 +134,5 @@ def duplicate_names(defs: DataFrame) -> DataFrame:
 
 def resume_set(preview: DataFrame, edges: DataFrame) -> DataFrame:
     """Tasks a resumed run has to run: those not skipped, and all below them."""
-    again = preview.filter(F.col("next_run") != "skip (unchanged)").select("task_name")
+    again = preview.filter(~F.col("next_run").startswith("skip")).select("task_name")
     return again.unionByName(descendants(edges, again).select("task_name")).distinct()

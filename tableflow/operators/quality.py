@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,15 @@ VALUE_PATTERNS = {
 NAME_HINTS = ["email", "phone", "ssn", "social", "name", "address", "dob", "birth", "card", "account"]
 CONFIRM_SHARE = 0.5
 
+# The verdicts; {n} is a number of columns.
+VERDICT_CONFIRMED = (
+    "{n} column(s) match a sensitive-data pattern -- treat this file as restricted before sharing it anywhere"
+)
+VERDICT_HINT = (
+    "no confirmed pattern matches, but {n} column name(s) hint at something sensitive -- worth a manual look"
+)
+VERDICT_CLEAN = "no sensitive-looking columns found by these checks (not a guarantee)"
+
 
 def profile(df: DataFrame) -> DataFrame:
     """Columns with types and the row count of the table."""
@@ -65,25 +74,9 @@ def triage_report(df: DataFrame, findings: DataFrame) -> DataFrame:
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     sure, maybe = F.size("confirmed"), F.size("worth_a_look")
     verdict = (
-        F.when(
-            sure > 0,
-            F.concat(
-                sure.cast("string"),
-                F.lit(
-                    " column(s) match a sensitive-data pattern -- "
-                    "treat this file as restricted before sharing it anywhere"
-                ),
-            ),
-        )
-        .when(
-            maybe > 0,
-            F.concat(
-                F.lit("no confirmed pattern matches, but "),
-                maybe.cast("string"),
-                F.lit(" column name(s) hint at something sensitive -- worth a manual look"),
-            ),
-        )
-        .otherwise("no sensitive-looking columns found by these checks (not a guarantee)")
+        F.when(sure > 0, _filled(VERDICT_CONFIRMED, sure))
+        .when(maybe > 0, _filled(VERDICT_HINT, maybe))
+        .otherwise(VERDICT_CLEAN)
     )
     return names.select(
         rows.alias("n_rows"),
@@ -94,7 +87,11 @@ def triage_report(df: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def _in_order(cond):
+def _filled(text: str, n: Column) -> Column:
+    return F.replace(F.lit(text), F.lit("{n}"), n.cast("string"))
+
+
+def _in_order(cond: Column) -> Column:
     """Names of the matching columns, in table order."""
     picked = F.collect_list(F.when(cond, F.struct("position", "column_name")))
     return F.transform(F.sort_array(picked), lambda c: c.column_name)

@@ -19,6 +19,12 @@ from tableflow.sources.sink import LARGE_CACHE_BYTES
 # Stands for NULL inside a hashed row.
 NULL_MARK = "\\N"
 
+# What a preview says about a task.
+SKIP = "skip (unchanged)"
+NOT_CACHED = "run (not cached)"
+CHANGED = "run (changed)"
+NO_STATE = "run (no prior state)"
+
 # Fixed value: the folder name of a NULL partition.
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
@@ -117,10 +123,10 @@ def refresh_preview(defs: DataFrame, stored: DataFrame, cache: DataFrame) -> Dat
     same = F.coalesce(F.col("stored_fingerprint") == F.col("fingerprint"), F.lit(False))
     return state.select(
         "task_name",
-        F.when(F.lit(stored.isEmpty()), "run (no prior state)")
-        .when(F.col("cacheable") & same & F.col("is_cached"), "skip (unchanged)")
-        .when(~F.col("cacheable"), "run (not cached)")
-        .otherwise("run (changed)")
+        F.when(F.lit(stored.isEmpty()), NO_STATE)
+        .when(F.col("cacheable") & same & F.col("is_cached"), SKIP)
+        .when(~F.col("cacheable"), NOT_CACHED)
+        .otherwise(CHANGED)
         .alias("next_run"),
     )
 

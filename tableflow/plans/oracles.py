@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tableflow.operators.quality import NAME_HINTS, VALUE_PATTERNS
+
 # ---- views -------------------------------------------------------------------------
 
 TRIPS = """trips AS (
@@ -153,14 +155,7 @@ MANIFEST = f"""{TRIPS}, {ZONES}, manifest AS (
   FROM trips JOIN zones ON pu_location_id = location_id
   WHERE borough NOT IN ('AFRICA', 'ASIA') GROUP BY borough)"""
 
-PATTERNS = {
-    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
-    "phone_number": r"^\+?1?[-. (]*\d{3}[-. )]*\d{3}[-. ]*\d{4}$",
-    "ssn_like": r"^\d{3}-\d{2}-\d{4}$",
-    "credit_card_like": r"^\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}$",
-    "ip_address": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
-}
-HINTS = "email|phone|ssn|social|name|address|dob|birth|card|account"
+HINTS = "|".join(NAME_HINTS)
 
 
 def scan_sql(source: str, columns: dict[str, int]) -> str:
@@ -169,7 +164,7 @@ def scan_sql(source: str, columns: dict[str, int]) -> str:
         f"SELECT '{c}' AS column_name, {i} AS position, '{label}' AS pattern, count({c}) AS n,"
         f" count(*) FILTER (WHERE regexp_matches({c}, '{pattern}')) AS m FROM {source}"
         for c, i in columns.items()
-        for label, pattern in PATTERNS.items()
+        for label, pattern in VALUE_PATTERNS.items()
     )
     return f"""counts AS ({counts}),
       hits AS (SELECT *, m / n >= 0.5 AS hit FROM counts WHERE n > 0),
