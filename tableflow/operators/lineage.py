@@ -55,30 +55,33 @@ def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, D
     """Take off the nodes without open upstreams, round by round.
 
     Answers the nodes with the round they went in, and the nodes that never
-    went. The waiting table shrinks every round; each edge counts down its
-    task once, by a combining aggregate.
+    went. A task waits with its number of open upstreams, and each edge counts
+    it down once. Both meet in one combining aggregate, the only shuffle of a
+    round, and the waiting table shrinks every time.
     """
     spark = edges.sparkSession
     edges, _ = materialize(edges.distinct())
-    need = edges.groupBy("task_name").agg(F.count(F.lit(1)).alias("open"))
-    start = node_set(edges, nodes).join(need, "task_name", "left")
-    start = start.select("task_name", F.coalesce("open", F.lit(0)).alias("open"))
+    zero, one = F.lit(0).cast("bigint").alias("open"), F.lit(1).cast("bigint").alias("open")
+    start = edges.select("task_name", one).union(edges.select("upstream_task_name", zero))
+    if nodes is not None:
+        start = start.union(nodes.select("task_name", zero))
+    start = _sum_open(start)
     wait = Rounds(spark, new_path(spark, "peel"), start.schema)
     seen = wait.add(start, free=F.col("open") == 0)
     while 0 < seen["free"] < seen["rows"]:
         gone = wait.last().filter("open = 0").select(F.col("task_name").alias("upstream_task_name"))
-        paid = (
-            join_unique(edges, gone, ["upstream_task_name"], "left_semi", n_unique=seen["free"])
-            .groupBy("task_name")
-            .agg(F.count(F.lit(1)).alias("paid"))
-        )
-        rest = wait.last().filter("open > 0").join(paid, "task_name", "left")
-        rest = rest.select("task_name", (F.col("open") - F.coalesce("paid", F.lit(0))).alias("open"))
+        paid = join_unique(edges, gone, ["upstream_task_name"], "left_semi", n_unique=seen["free"])
+        paid = paid.select("task_name", (-one).alias("open"))
+        rest = _sum_open(wait.last().filter("open > 0").unionByName(paid))
         seen = wait.add(rest, free=F.col("open") == 0)
     taken = wait.read().filter("open = 0").select("task_name", F.col("round").alias("level"))
     return taken, wait.last().filter("open > 0").select("task_name")
 
 
+def _sum_open(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("task_name").agg(F.sum("open").alias("open"))
+
+
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Longest-path depth of every node: the wave in which it can start, from 1.
 

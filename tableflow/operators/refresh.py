@@ -74,7 +74,8 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000
     base = new_path(spark, "fingerprints")
     placed = defs.join(depth, "task_name")
     placed.write.partitionBy("level").parquet(f"{base}/defs")
-    paged(edges, page).join(depth, "task_name").write.partitionBy("level").parquet(f"{base}/edges")
+    placed_edges = join_unique(paged(edges, page), depth, ["task_name"], "inner")
+    placed_edges.select("task_name", "upstream_task_name", "page", "level").write.partitionBy("level").parquet(f"{base}/edges")
     defs_at = spark.read.schema(placed.schema).parquet(f"{base}/defs")
     edge_schema = "task_name string, upstream_task_name string, page bigint, level int"
     edges_at = spark.read.schema(edge_schema).parquet(f"{base}/edges")
@@ -146,10 +147,20 @@ def changed_partitions(old_fp: DataFrame, new_fp: DataFrame, part: str) -> DataF
     )
 
 
-def only(df: DataFrame, changes: DataFrame, part: str, *states: str) -> DataFrame:
-    """Rows of the partitions in one of these states; a NULL partition counts as one."""
+def only(df: DataFrame, changes: DataFrame, part: str, *states: str, max_names: int = 1000) -> DataFrame:
+    """Rows of the partitions in one of these states; a NULL partition counts as one.
+
+    Up to ``max_names`` partitions become a literal filter, so that the scan of
+    a partitioned table skips the other folders. More are joined.
+    """
+    wanted = changes.filter(F.col("state").isin(*states)).select(F.col(part).cast("string").alias("_part"))
+    names = [row[0] for row in wanted.limit(max_names + 1).collect()]
+    if len(names) <= max_names:
+        kind = df.schema[part].dataType
+        known = F.col(part).isin([F.lit(n).cast(kind) for n in names if n is not None] or [F.lit(None).cast(kind)])
+        return df.filter(known | F.col(part).isNull() if None in names else known)
     key = F.coalesce(F.col(part).cast("string"), F.lit(NULL_MARK))
-    wanted = changes.filter(F.col("state").isin(*states)).select(key.alias("_part"))
+    wanted = wanted.select(F.coalesce("_part", F.lit(NULL_MARK)).alias("_part"))
     return join_unique(df.withColumn("_part", key), wanted, ["_part"], "left_semi").drop("_part")
 
 

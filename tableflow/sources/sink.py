@@ -35,13 +35,16 @@ def export_extract(df: DataFrame, where: Column, n: int, key: str, path: str) ->
     return write_table(sample_rows(df.filter(where), n, key), path)
 
 
-def write_partitions(df: DataFrame, col: str, path: str) -> str:
+def write_partitions(df: DataFrame, col: str, path: str, rebalance: bool = False) -> str:
     """One folder per value of ``col``, in one pass.
 
-    The rebalance hint lets adaptive execution split a value that holds much
-    of the data over several tasks and merge small values into one file each.
+    For a few values nothing is shuffled: each task writes its rows of each
+    value, so a value with much of the data is spread over all tasks. For many
+    values set ``rebalance``: adaptive execution then merges small values into
+    one file each and splits large ones.
     """
-    df.hint("rebalance", col).write.mode("overwrite").partitionBy(col).parquet(path)
+    out = df.hint("rebalance", col) if rebalance else df
+    out.write.mode("overwrite").partitionBy(col).parquet(path)
     return path
 
 

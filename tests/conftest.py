@@ -18,7 +18,8 @@ def spark(tmp_path_factory):
         **{
             "spark__checkpoint__dir": str(tmp_path_factory.mktemp("work")),
             "spark__sql__warehouse__dir": str(tmp_path_factory.mktemp("warehouse")),
-            "spark__sql__shuffle__partitions": "4",
+            "spark__sql__shuffle__partitions": "2",
+            "spark__default__parallelism": "2",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

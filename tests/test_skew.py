@@ -98,3 +98,14 @@ def test_upsert_large_and_small_way(spark, monkeypatch):
         monkeypatch.setattr(merge, "is_small", lambda df, max_rows=0, way=way: way)
         got = merge.upsert_latest(target, delta, ["k"], ["t", "v"]).collect()
         assert {r.k: r.v for r in got} == want and len(got) == len(want)
+
+
+def test_size_check_sees_rows_and_bytes(spark, monkeypatch):
+    from tableflow import session
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS t", "array(repeat('y', 50)) AS a", "map(1, 'z') AS m")
+    assert session.count_up_to(df) == 100
+    assert session.count_up_to(df, 99) == 100 and not session.is_small(df, 99)
+    assert session.count_up_to(df.limit(0)) == 0
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
+    assert not session.is_small(df) and session.is_small(df.select("id"))

@@ -36,9 +36,10 @@ def test_csv_keeps_the_text_n_a(spark):
         read_any(spark, "/x/y.unknown")
 
 
-def test_partitions_and_manifest(spark):
+@pytest.mark.parametrize("rebalance", [False, True])
+def test_partitions_and_manifest(spark, rebalance):
     df = spark.range(900).withColumn("city", F.when(F.col("id") < 300, "a").otherwise("b"))
-    path = write_partitions(df, "city", new_path(spark, "cities"))
+    path = write_partitions(df, "city", new_path(spark, "cities"), rebalance)
     got = {(r.city, r.rows, r.path) for r in partition_manifest(spark, path, "city").collect()}
     assert got == {("a", 300, "city=a"), ("b", 600, "city=b")}
 
