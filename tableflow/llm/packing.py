@@ -126,7 +126,7 @@ def pack(
     tokenizer: str,
     end_id: int = 1,
     window: int = 2048,
-    packet: int = 64,
+    packet: int = 16,
     targets: dict[str | None, float] | None = None,
     doc_id: str = "doc_id",
     text: str = "text",

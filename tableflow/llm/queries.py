@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tableflow.llm import binary, packing, pieces
+from tableflow.llm import binary, exact, packing, pieces, urls
 from tableflow.session import new_path
 
 
@@ -13,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_host_reputation(spark, sf_dir):
+    """All pages judged; the number in a page's path names the document whose labels it carries."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.expr("try_cast(nullif(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]+)', 1), '') AS bigint)")
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    outcomes = pages.select("page_id", number.alias("doc_id")).where("doc_id IS NOT NULL").join(labels, "doc_id")
+    return urls.judge(pages, outcomes.select("page_id", bad.alias("bad")))
+
+
 def op4_token_files(spark, sf_dir):
     """Ids of all documents, written in frames and read back."""
     path = new_path(spark, "token-files")
@@ -21,6 +31,11 @@ def op4_token_files(spark, sf_dir):
     return binary.read_files(manifest)
 
 
+def op5_radix_dedup(spark, sf_dir):
+    """All documents with the row that stays of their group of equal texts."""
+    return exact.groups(table(spark, sf_dir, "documents")).drop("row_no")
+
+
 def op7_pieces(spark, sf_dir):
     """SentencePiece round trip of all documents."""
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -32,7 +47,9 @@ def op8_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_host_reputation": op3_host_reputation,
     "op4_token_files": op4_token_files,
+    "op5_radix_dedup": op5_radix_dedup,
     "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
 }
