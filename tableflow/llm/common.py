@@ -55,8 +55,8 @@ def fold(doc_id: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(-1))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, pa.Array]]:
-    """Cut a batch into runs of rows with about ``SLICE_BYTES`` of text: first row, end row, the texts.
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
+    """Cut a batch into runs of rows with at most ``most`` bytes of text, or one row: first row, end row, the texts.
 
     NULL texts come out empty.
     """
@@ -64,7 +64,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8))
     start, held = 0, 0
     for row, size in enumerate(sizes):
-        if row > start and held + size > SLICE_BYTES:
+        if row > start and held + size > most:
             yield start, row, texts.slice(start, row - start)
             start, held = row, 0
         held += int(size)

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import binary, exact, packing, pieces, urls
+from tableflow.llm import binary, digest, exact, language, packing, pieces, urls
+from tableflow.llm.common import fold
 from tableflow.session import new_path
 
 
@@ -14,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark, sf_dir):
+    """Language of all documents, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(fold("doc_id", 5) != 0))
+    return language.identify(docs, model, fold("doc_id", 5) == 0)
+
+
 def op3_host_reputation(spark, sf_dir):
     """All pages judged; the number in a page's path names the document whose labels it carries."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -46,10 +54,17 @@ def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
+def op9_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and their edited texts."""
+    return digest.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language": op1_language,
     "op3_host_reputation": op3_host_reputation,
     "op4_token_files": op4_token_files,
     "op5_radix_dedup": op5_radix_dedup,
     "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
 }
