@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import binary, digest, exact, language, packing, pieces, urls
+from tableflow.llm import binary, digest, exact, language, packing, pieces, toxicity, urls
 from tableflow.llm.common import fold
 from tableflow.session import new_path
 
@@ -44,6 +44,12 @@ def op5_radix_dedup(spark, sf_dir):
     return exact.groups(table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op6_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learned from two thirds of the labels."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), *toxicity.default_folds())
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_pieces(spark, sf_dir):
     """SentencePiece round trip of all documents."""
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_host_reputation": op3_host_reputation,
     "op4_token_files": op4_token_files,
     "op5_radix_dedup": op5_radix_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
