@@ -17,13 +17,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from tableflow.llm.common import ragged, utf8
 
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 800_000
 
 #: White space beyond the six ASCII characters that the cutting rules know.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
@@ -34,19 +35,22 @@ class ChunkTable:
 
     ``cuts``: bytes, and a mask of those with a next one in their text, to a mask
     of the bytes before which a chunk ends.
-    ``encode``: chunks to lists of ids, by the library. ``whole``: texts to
-    lists of ids, by the library. ``odd``: texts to encode whole.
+    ``encode``: chunks to all their ids in a row and the number of ids of each,
+    by the library. ``whole``: texts to lists of ids, by the library. ``odd``:
+    texts to encode whole. ``fold``: whether the library lower-cases, so that
+    chunks may be told apart without regard to ASCII case.
     """
 
     def __init__(
         self,
         cuts: Callable[[np.ndarray, np.ndarray], np.ndarray],
-        encode: Callable[[list[str]], list[list[int]]],
+        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
         whole: Callable[[list[str]], list[list[int]]],
         odd: re.Pattern,
+        fold: bool = False,
         table_chunks: int = TABLE_CHUNKS,
     ):
-        self.cuts, self.encode, self.whole, self.odd, self.limit = cuts, encode, whole, odd, table_chunks
+        self.cuts, self.encode, self.whole, self.odd, self.fold, self.limit = cuts, encode, whole, odd, fold, table_chunks
         self.clear()
 
     def clear(self) -> None:
@@ -60,13 +64,11 @@ class ChunkTable:
             self.clear()
         new = [c for c in chunks if c not in self.place]
         if new:
-            ids = self.encode([c.decode("utf-8") for c in new])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+            flat, lengths = self.encode([c.decode("utf-8") for c in new])
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.ids = np.concatenate([self.ids, flat])
+            self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-        return np.fromiter((self.place[c] for c in chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids before each text (and after the last)."""
@@ -77,6 +79,8 @@ class ChunkTable:
         if len(data):
             edge[:-1] |= self.cuts(data, ~edge[1:])
         places = np.flatnonzero(edge)
+        if self.fold:
+            data = np.where((data >= 65) & (data <= 90), data | 32, data)
         if len(places) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         chunks = pa.Array.from_buffers(
@@ -134,35 +138,77 @@ def cuts_at_markers(data: np.ndarray, inner: np.ndarray) -> np.ndarray:
     return cut
 
 
-_TABLES: dict[str, object] = {}
+def flat_ids(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and the number of ids of each."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of chunks from a file of the tokenizers library whose words are split before they are merged.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    Most chunks are one plain word. The library takes many of them in one call,
+    and the ids of each are told apart by the ids that begin a word (a blank
+    comes first) or end one (the vocabulary marks it), one per plain word. All
+    other chunks, and any call whose marks do not add up, are told apart by the
+    library's word numbers, which take it twice as long.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.fold = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
+        self.suffix = self.library.model.end_of_word_suffix
+        pieces = sorted(self.library.get_vocab().items(), key=lambda x: x[1])
+        self.marks = np.zeros(pieces[-1][1] + 1, bool)
+        for piece, i in pieces:
+            self.marks[i] = piece.endswith(self.suffix) if self.suffix else piece.startswith("Ġ")
+
+    def _plain(self, chunk: str) -> bool:
+        if self.suffix:
+            return chunk.strip(" ").lower().isalpha()
+        return chunk[0] == " " and chunk[1:].isalpha()
+
+    def _words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.library.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.asarray(got.ids, np.uint32)
+        places = np.flatnonzero(self.marks[ids])
+        if len(places) != len(chunks) or not len(ids) or places[0 if not self.suffix else -1] != (len(ids) - 1 if self.suffix else 0):
+            return self._any(chunks)
+        lengths = np.diff(places, prepend=-1) if self.suffix else np.diff(places, append=len(ids))
+        return ids, lengths
+
+    def _any(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.library.encode_batch([chunks], is_pretokenized=True, add_special_tokens=False)[0]
+        return np.asarray(got.ids, np.uint32), np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(chunks))
+
+    def __call__(self, chunks: list[str], step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter(map(self._plain, chunks), bool, len(chunks))
+        lengths, parts = np.zeros(len(chunks), np.int64), []
+        for kind, encode in ((True, self._words), (False, self._any)):
+            rows = np.flatnonzero(plain == kind)
+            for i in range(0, len(rows), step):
+                own = rows[i : i + step]
+                ids, lengths[own] = encode([chunks[k] for k in own.tolist()])
+                parts.append(ids)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return ragged(np.concatenate(parts), starts, lengths), lengths
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+_TABLES: dict[str, ChunkTable] = {}
 
 
 def word_table(path: str) -> ChunkTable:
-    """The table of this worker for a file of the tokenizers library whose words are split before they are merged."""
+    """This worker's table for a tokenizer file."""
     if path not in _TABLES:
-        tokenizer = _library(path)
-
-        def encode(chunks: list[str]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for i in range(0, len(chunks), 2000):
-                part = chunks[i : i + 2000]
-                got = tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
-                ends = np.searchsorted(np.asarray(got.word_ids, np.int64), np.arange(len(part) + 1))
-                ids = got.ids
-                out += [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            return out
-
-        def whole(texts: list[str]) -> list[list[int]]:
-            return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _TABLES[path] = ChunkTable(cuts_at_words, encode, whole, ODD_SPACE)
+        encoder = WordEncoder(path)
+        _TABLES[path] = ChunkTable(cuts_at_words, encoder, encoder.whole, ODD_SPACE, encoder.fold)
     return _TABLES[path]

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tableflow.session import new_path
 
@@ -44,7 +45,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` whose function may use this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -52,7 +52,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         keyed = state.withColumn("digit", F.substring("rest", 1, digit))
         best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))
         found = keyed.groupBy("parent", "digit").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
-        several = cut(found.where("n > 1"), "radix-groups")
+        several = cut(found.where("n > 1"), "radix-groups").hint("merge")
         joined = keyed.join(several, ["parent", "digit"], "left")
         ended = F.col("n").isNull() | (F.octet_length("rest") <= digit)
         level = joined.select(

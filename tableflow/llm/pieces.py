@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tableflow.llm.chunks import ChunkTable, cuts_at_markers
+from tableflow.llm.chunks import ChunkTable, cuts_at_markers, flat_ids
 from tableflow.llm.common import in_arrow, text_slices
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -38,7 +38,7 @@ class PieceCodec:
         lead = len(self.model.encode("\n"))
         self.table = ChunkTable(
             cuts_at_markers,
-            lambda chunks: [ids[lead:] for ids in self.model.encode(["\n" + c for c in chunks], num_threads=1)],
+            lambda chunks: flat_ids([ids[lead:] for ids in self.model.encode(["\n" + c for c in chunks], num_threads=1)]),
             lambda texts: self.model.encode([t[1:] for t in texts], num_threads=1),
             re.compile("[▁\x00]"),
         )

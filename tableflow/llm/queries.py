@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import binary, digest, exact, language, packing, pieces, toxicity, urls
+from tableflow.llm import binary, digest, exact, language, neardup, packing, pieces, pii, toxicity, urls
 from tableflow.llm.common import fold
 from tableflow.session import new_path
 
@@ -22,6 +22,12 @@ def op1_language(spark, sf_dir):
     return language.identify(docs, model, fold("doc_id", 5) == 0)
 
 
+def op2_personal_data(spark, sf_dir):
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op3_host_reputation(spark, sf_dir):
     """All pages judged; the number in a page's path names the document whose labels it carries."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -65,8 +71,14 @@ def op9_fingerprints(spark, sf_dir):
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark, sf_dir):
+    """All documents with their class of near duplicates."""
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("row_no")
+
+
 QUERIES = {
     "op1_language": op1_language,
+    "op2_personal_data": op2_personal_data,
     "op3_host_reputation": op3_host_reputation,
     "op4_token_files": op4_token_files,
     "op5_radix_dedup": op5_radix_dedup,
@@ -74,4 +86,5 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_order_minhash": op10_order_minhash,
 }
