@@ -31,8 +31,9 @@ def _level(name: str, groups: str, parent: str) -> str:
 {name}_in AS (SELECT g.*, prior FROM ({groups}) g, {parent}),
 {name}_s AS (
   SELECT coalesce((1 - rho) / rho, 1.0) AS strength FROM (
-    SELECT least(greatest((sum((bad - n * prior) * (bad - n * prior) / n) - sum(prior * (1 - prior)))
-           / CASE WHEN sum((n - 1) * prior * (1 - prior)) > 0 THEN sum((n - 1) * prior * (1 - prior)) END, 0.001), 0.999) AS rho
+    SELECT CASE WHEN sum((n - 1) * prior * (1 - prior)) > 0 THEN
+      least(greatest((sum((bad - n * prior) * (bad - n * prior) / n) - sum(prior * (1 - prior)))
+                     / sum((n - 1) * prior * (1 - prior)), 0.001), 0.999) END AS rho
     FROM {name}_in WHERE n > 0)),
 {name} AS (SELECT *, bad + strength * prior AS a, n - bad + strength * (1 - prior) AS b FROM {name}_in, {name}_s)"""
 

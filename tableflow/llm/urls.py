@@ -66,7 +66,7 @@ def _posterior(groups: DataFrame) -> DataFrame:
     """Beta parameters ``a`` and ``b`` of every group (n, bad, prior), under a prior strength fitted to all of them."""
     n, bad, p = F.col("n"), F.col("bad"), F.col("prior")
     spread, within, between = F.sum((bad - n * p) * (bad - n * p) / n), F.sum(p * (1 - p)), F.sum((n - 1) * p * (1 - p))
-    rho = F.least(F.greatest((spread - within) / F.when(between > 0, between), F.lit(0.001)), F.lit(0.999))
+    rho = F.when(between > 0, F.least(F.greatest((spread - within) / between, F.lit(0.001)), F.lit(0.999)))
     strength = groups.where("n > 0").agg(F.coalesce((1 - rho) / rho, F.lit(1.0)).alias("s")).first().s
     return groups.withColumns({"a": bad + strength * p, "b": n - bad + strength * (1 - p)})
 
