@@ -4,8 +4,9 @@ import pytest
 from oracle import both, connect
 
 import __spark_entry__ as entry
+from tableflow.plans.oracles import ORACLES as SQL
+from tableflow.plans.queries import QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
