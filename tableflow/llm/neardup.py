@@ -19,9 +19,12 @@ third, and goes through the same rounds, until nothing is left.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import cut, in_arrow, mix, text_slices, word_hashes
@@ -101,7 +104,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
         return 1.0
     if min(len(a), len(b)) < K:
         return 0.0
-    a, b = _in_a_row(a), _in_a_row(b)
+    a, b = _in_a_row(a.astype(np.uint64)), _in_a_row(b.astype(np.uint64))
     needed = int(np.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9))
     band = len(a) + len(b) - 2 * needed  # k-mers that may be skipped in both together
     if min(len(a), len(b)) < needed:
@@ -146,74 +149,95 @@ def _rejoin(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         reach *= 8
 
 
-def _sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, and the words of every text as 64-bit hashes (``words``), their digest and their number."""
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(
+        F.monotonically_increasing_id().alias("row_no"), docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")
+    )
+
+
+def _sketched(numbered: DataFrame) -> DataFrame:
+    """Per row: row_no, doc_id, a digest of its words, and its sketches (none without words)."""
 
     def run(batches):
         for batch in batches:
             for start, end, texts in text_slices(batch):
                 words, ends = word_hashes(texts)
-                held = words.astype("<u8")
+                some = np.flatnonzero(np.diff(ends))
+                found = sketches(words, np.append(ends[some], ends[-1])) + SEEDS if len(some) else np.zeros((0, SKETCHES), np.uint64)
+                held = words.astype("<u8").tobytes()
+                places = np.searchsorted(some, np.arange(len(ends))) * SKETCHES
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_no").slice(start, end - start),
                         batch.column("doc_id").slice(start, end - start),
-                        pa.array([held[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                        pa.array([hashlib.sha256(held[8 * a : 8 * b]).digest() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(mix(found).ravel().view(np.int64))),
                     ],
-                    ["row_no", "doc_id", "words"],
+                    ["row_no", "doc_id", "digest", "sketches"],
                 )
 
-    named = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")
-    )
-    return in_arrow(named, run, "row_no long, doc_id long, words binary")
+    return in_arrow(numbered, run, "row_no long, doc_id long, digest binary, sketches array<long>")
 
 
-def _with_sketches(reps: DataFrame) -> DataFrame:
-    """One row per text and sketch: rep, bucket."""
+def _words_table(numbered: DataFrame, reps: DataFrame) -> str:
+    """Store the words of the given rows (rep) as 32-bit hashes, bucketed by rep so that later joins move pairs only."""
+    spark = numbered.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                raw = part.column("words")
-                words = np.frombuffer(b"".join(x.as_buffer() for x in raw), "<u8")
-                ends = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in raw])])
-                found = sketches(words, ends)
-                rep = np.repeat(part.column("rep").to_numpy(), SKETCHES)
-                bucket = mix(found + SEEDS)
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(bucket.ravel().view(np.int64))], ["rep", "bucket"])
+            for start, end, texts in text_slices(batch):
+                words, ends = word_hashes(texts)
+                held = (words >> np.uint64(32)).astype("<u4").tobytes()
+                packed = pa.array([held[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(start, end - start), packed], ["rep", "words"])
 
-    return in_arrow(reps.select("rep", "words"), run, "rep long, bucket long")
+    wanted = numbered.select(F.col("row_no").alias("rep"), "text").join(reps.hint("merge"), "rep", "left_semi")
+    name = f"omh_words_{uuid.uuid4().hex}"
+    in_arrow(wanted, run, "rep long, words binary").repartition(n, "rep").write.bucketBy(n, "rep").sortBy("rep").saveAsTable(name)
+    return name
 
 
 def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with ``similar``: whether their alignment reaches the similarity."""
+    """Pairs (rep, pivot) with ``similar``: whether their alignment reaches the similarity."""
 
     def run(batches):
         for batch in batches:
             rows = zip(batch.column("left"), batch.column("right"))
             similar = [
-                aligned_similarity(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), similarity) >= similarity
-                for x, y in rows
+                aligned_similarity(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), similarity) > 0 for x, y in rows
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("pivot"), pa.array(similar, pa.bool_())], ["rep", "pivot", "similar"])
+
+    # A pivot may stand in very many pairs: its words are stored first, so that the join can split such a key.
+    pivots = pairs.select(F.col("pivot").alias("rep")).distinct().join(words, "rep")
+    pivots = cut(pivots.select(F.col("rep").alias("pivot"), F.col("words").alias("right")), "omh-pivot-words")
+    own = pairs.hint("merge").join(words.withColumnRenamed("words", "left"), "rep")
+    joined = own.join(pivots.hint("merge"), "pivot").select("rep", "pivot", "left", "right")
+    return in_arrow(joined, run, "rep long, pivot long, similar boolean")
 
-    left = words.select(F.col("rep").alias("a"), F.col("words").alias("left")).hint("merge")
-    right = words.select(F.col("rep").alias("b"), F.col("words").alias("right")).hint("merge")
-    joined = pairs.join(left, "a").join(right, "b")
-    return in_arrow(joined.select("a", "b", "left", "right"), run, "a long, b long, similar boolean")
 
+def links(texts: DataFrame, numbered: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b), a above b, between rows that share a sketch.
 
-def links(words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b), a above b, between texts (rep, words) that share a sketch."""
-    spark = words.sparkSession
-    sketched = cut(_with_sketches(words), "omh-sketches")
+    ``texts``: rep and sketches of the rows to link; ``numbered``: row_no and
+    text of all rows.
+    """
+    spark = texts.sparkSession
+    sketched = cut(texts.select("rep", F.explode("sketches").alias("bucket")), "omh-sketches")
     sizes = cut(sketched.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "omh-sizes")
     shared = cut(sketched.join(sizes.hint("merge"), "bucket"), "omh-shared")
     # A text that shares sketches with many others lies in the middle of its group and is a good pivot.
     middle = cut(shared.groupBy("rep").agg(F.sum("n").alias("c")), "omh-middle")
     members = cut(shared.join(middle.hint("merge"), "rep").select("bucket", "rep", "c"), "omh-members")
+    name = _words_table(numbered, middle.select("rep"))
+    try:
+        return _links(spark, members, shared, spark.table(name), similarity)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _links(spark: SparkSession, members: DataFrame, shared: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     found, level = [], 0
     order = Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("rep"), "rep")
     while True:
@@ -223,12 +247,11 @@ def links(words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         while first < PIVOTS:
             some = pivots.where(F.col("place").between(first, 2 * first - 1)).select("bucket", "pivot")
             joined = left.join(some.hint("merge"), "bucket").where("rep <> pivot")
-            joined = joined.select("bucket", "rep", F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
-            joined = cut(joined, "omh-joined")
-            tried = cut(_aligned(joined.select("a", "b").distinct(), words, similarity), "omh-aligned")
-            good = tried.where("similar").select("a", "b")
-            found.append(good)
-            done = cut(joined.join(good.hint("merge"), ["a", "b"]).select("bucket", "rep").distinct(), "omh-done")
+            joined = cut(joined.select("bucket", "rep", "pivot"), "omh-joined")
+            pairs = cut(joined.select("rep", "pivot").distinct(), "omh-pairs")
+            good = cut(_aligned(pairs, words, similarity).where("similar").select("rep", "pivot"), "omh-similar")
+            found.append(good.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")))
+            done = cut(joined.join(good.hint("merge"), ["rep", "pivot"]).select("bucket", "rep").distinct(), "omh-done")
             left = cut(left.join(done.hint("merge"), ["bucket", "rep"], "left_anti"), "omh-left")
             first *= 2
         # All pairs of a bucket with at most PIVOTS members are tried by now; pivots have met all others.
@@ -247,7 +270,7 @@ def links(words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    return whole.distinct()
+    return cut(whole.distinct(), "omh-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,14 +308,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     columns play no part.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = _sequences(docs, doc_id, text).select("row_no", "doc_id", "words", F.unhex(F.sha2("words", 256)).alias("digest"))
-    rows = cut(rows, "omh-words")
+    numbered = _numbered(docs, doc_id, text)
+    rows = cut(_sketched(numbered), "omh-rows")
     first = F.min(F.struct(key.alias("key"), "row_no")).alias("first")
     equal = cut(rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")), "omh-equal")
     equal = equal.select("digest", "n", F.col("first.key").alias("key"), F.col("first.row_no").alias("rep"))
-    words = rows.join(equal.select("digest", "rep").hint("merge"), "digest").where("row_no = rep AND octet_length(words) > 0")
-    words = cut(words.select("rep", "words"), "omh-reps")
-    found = cut(links(words, similarity), "omh-links")
+    texts = rows.select(F.col("row_no").alias("rep"), "sketches").join(equal.select("rep").hint("merge"), "rep", "left_semi")
+    found = links(texts, numbered, similarity)
     degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     members = equal.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     members = cut(members.withColumn("root", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("n_links", F.lit(0))), "omh-roots")
