@@ -10,11 +10,13 @@ in one alignment, ``matched / (a + b - matched)``, as in the Jaccard measure.
 
 Texts with equal words are one class from the start, and one of them stands for
 all. Texts with the same sketch form a bucket. Its members are aligned with a
-pivot from the middle of the group, those not similar to it with the next
-pivots, in rounds of 1, 2, 4 and 8 of them. So a bucket of n similar texts
-costs about n alignments, and all pairs of a bucket of up to 16 are tried if
-need be. What is left of a larger bucket is split by a second sketch, then a
-third, and goes through the same rounds, until nothing is left.
+pivot from the middle of the group, those not similar to it with the next two
+pivots. So a bucket of n similar texts costs about n alignments, and all pairs
+of a bucket of up to four are tried if need be. What is left of a larger bucket
+is split by every second sketch that its members share, and goes through the
+same rounds once more. A link between two texts of a large bucket can be missed
+if none of the pivots of all their buckets is similar to both; see the README
+for what that came to.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from tableflow.llm.common import cut, in_arrow, mix, text_slices, word_hashes
 from tableflow.session import new_path, write_counted
 
 K, TUPLE, SKETCHES = 5, 3, 16
-PIVOTS, DEEPEST = 16, 2
+PIVOTS, DEEPEST = 4, 1
 SIMILARITY = 0.8
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
@@ -258,11 +260,12 @@ def _links(spark: SparkSession, members: DataFrame, shared: DataFrame, words: Da
         tried_all = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIVOTS).select("bucket"), "omh-large")
         rest = left.join(tried_all.hint("merge"), "bucket")
         rest = cut(rest.join(pivots.select("bucket", F.col("pivot").alias("rep")).hint("merge"), ["bucket", "rep"], "left_anti"), "omh-rest")
-        if level < DEEPEST:
-            # What is left of a large bucket is split by the other sketches that its members share.
-            more = shared.select("rep", F.col("bucket").alias("other"))
-            rest = rest.join(more.hint("merge"), "rep").where("bucket <> other")
-            rest = rest.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"), F.lit(level)).alias("bucket"), "rep", "c").distinct()
+        if level == DEEPEST:
+            break
+        # What is left of a large bucket is split by the other sketches that its members share.
+        more = shared.select("rep", F.col("bucket").alias("other"))
+        rest = rest.join(more.hint("merge"), "rep").where("bucket <> other")
+        rest = rest.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"), F.lit(level)).alias("bucket"), "rep", "c").distinct()
         path = new_path(spark, "omh-next")
         if not write_counted(rest, path)["rows"]:
             break
