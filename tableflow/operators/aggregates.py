@@ -112,8 +112,8 @@ def borough_totals(daily: DataFrame) -> DataFrame:
 
 
 def first_max(value: str, key: str) -> Column:
-    """Key of the greatest value; of equal values the smallest key, as the first in key order."""
-    return F.min_by(key, F.struct(-F.col(value), F.col(key)))
+    """Key of the greatest value; of equal values the smallest key, as the first in key order. NULL is no value."""
+    return F.min_by(key, F.when(F.col(value).isNotNull(), F.struct(-F.col(value), F.col(key))))
 
 
 def best_row(df: DataFrame, key: str, value: str, by: Sequence[str] = ()) -> DataFrame:

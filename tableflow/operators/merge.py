@@ -18,7 +18,7 @@ from tableflow.operators import snapshots as snap
 from tableflow.operators.history import TABLES
 from tableflow.operators.joins import delta_keys, join_unique, replace_rows, unseen
 from tableflow.operators.windows import latest_per_key
-from tableflow.session import count_up_to, is_small
+from tableflow.session import count_up_to
 
 BATCH = "batch_id"
 
@@ -68,17 +68,13 @@ def replace_by_key(target: DataFrame, delta: DataFrame, keys: Sequence[str]) ->
 def upsert_latest(
     target: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """One row per key, the greatest in ``order`` wins, whatever the batch order was.
+    """Of every key in the delta the row greatest in ``order`` wins, whatever the batch order was.
 
-    With few keys in the delta (counted) the target rows they do not touch
-    pass through by a broadcast, unshuffled. Otherwise both sides shuffle
-    once, after each task has kept its own best row per key.
+    Target rows of keys that the delta does not touch stay as they are, however
+    large the delta is.
     """
     keys = list(keys)
     touched, rows = delta_keys(delta, keys), delta.select(*target.columns)
-    if not is_small(touched):
-        return latest_per_key(target.unionByName(rows), keys, order)
-    touched = F.broadcast(touched)
     rivals = target.join(touched, keys, "left_semi").unionByName(rows)
     kept = target.join(touched, keys, "left_anti").select(*target.columns)
     return kept.unionByName(latest_per_key(rivals, keys, order))

@@ -182,3 +182,17 @@ def test_stream_keeps_the_newest_fingerprint(spark):
         merge.write_delta(frame(spark, "task_fingerprints", [("a", print_, at(minute))]), folder)
     absorb_stream(spark, "task_fingerprints", folder, table, new_path(spark, "stream"), 1)
     assert [r.fingerprint for r in snap.read_as_of(spark, table).collect()] == ["f2"]
+
+
+def test_upsert_leaves_rows_of_untouched_keys_alone(spark):
+    target = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "k string, t int")
+    delta = spark.createDataFrame([("b", 2)], "k string, t int")
+    rows = merge.upsert_latest(target, delta, ["k"], ["t"]).collect()
+    assert sorted(map(tuple, rows)) == [("a", 1), ("a", 1), ("b", 2)]
+
+
+def test_best_row_ignores_null_values(spark):
+    from tableflow.operators.aggregates import best_row
+
+    rows = spark.createDataFrame([("a", None), ("b", 5.0), ("c", 4.0)], "key string, value double")
+    assert [tuple(r) for r in best_row(rows, "key", "value").collect()] == [("b", 5.0)]

@@ -90,14 +90,12 @@ def test_unseen_large_and_small_way(spark, monkeypatch):
     assert [r.k for r in few] == [5, 6, 7, 8, 9]
 
 
-def test_upsert_large_and_small_way(spark, monkeypatch):
+def test_upsert_keeps_one_row_per_key(spark):
     target = spark.createDataFrame([(i, 5, "old") for i in range(6)], "k int, t int, v string")
     delta = spark.createDataFrame([(1, 9, "new"), (1, 7, "mid"), (2, 1, "late"), (8, 1, "add")], target.schema)
     want = {0: "old", 1: "new", 2: "old", 3: "old", 4: "old", 5: "old", 8: "add"}
-    for way in (False, True):
-        monkeypatch.setattr(merge, "is_small", lambda df, max_rows=0, way=way: way)
-        got = merge.upsert_latest(target, delta, ["k"], ["t", "v"]).collect()
-        assert {r.k: r.v for r in got} == want and len(got) == len(want)
+    got = merge.upsert_latest(target, delta, ["k"], ["t", "v"]).collect()
+    assert {r.k: r.v for r in got} == want and len(got) == len(want)
 
 
 def test_size_check_sees_rows_and_bytes(spark, monkeypatch):
