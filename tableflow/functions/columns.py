@@ -32,50 +32,21 @@ def round2(value: Column) -> Column:
     return F.round(value, 2)
 
 
-# Above this a double has no six exact decimals left (2^53 / 10^6).
-EXACT_BELOW = 9e9
-
-
-def exact_sum(value: Column) -> Column:
-    """Sum of money-like doubles, exact to six decimals, as ``decimal(38,6)``.
-
-    Adding doubles gives a result that depends on the order of the tasks, and
-    a decimal cast builds an object per row. Two bigint sums (whole units and
-    millionths) are exact in any order and stay in generated code. Values too
-    large for it, infinite or NaN are left to ``inexact_sum``.
-    """
-    fit = F.when(F.abs(value) < EXACT_BELOW, value)
-    whole = F.floor(fit)
-    millionths = F.floor((fit - whole) * 1_000_000 + 0.5)
-    return (
-        F.sum(whole).cast("decimal(38,6)")
-        + F.sum(millionths).cast("decimal(24,0)") * F.lit("0.000001").cast("decimal(6,6)")
-    ).cast("decimal(38,6)")
-
-
-def inexact_sum(value: Column) -> Column:
-    """Plain sum of the values ``exact_sum`` leaves out; NULL when there are none."""
-    return F.sum(F.when(~(F.abs(value) < EXACT_BELOW), value))
-
-
-def join_sums(exact: Column, inexact: Column, digits: int = 6) -> Column:
-    """One rounded double from both sums."""
-    rough = F.round(inexact + F.coalesce(exact.cast("double"), F.lit(0.0)), digits)
-    return F.when(inexact.isNull(), F.round(exact, digits).cast("double")).otherwise(rough)
-
-
 def total(value: Column) -> Column:
-    """Sum as a double, to six decimals."""
-    return join_sums(exact_sum(value), inexact_sum(value))
+    return F.sum(value)
 
 
 def mean(value: Column) -> Column:
-    return total(value) / F.count(value)
+    return F.avg(value)
+
+
+def cents(amount: Column) -> Column:
+    """A computed amount rounded to cents. Noise below a millionth goes first, so that half a cent goes up in any task order."""
+    return F.round(F.round(amount, 6), 2)
 
 
 def money_sum(value: Column) -> Column:
-    """Sum as a double, rounded to cents."""
-    return join_sums(exact_sum(value), inexact_sum(value), 2)
+    return cents(F.sum(value))
 
 
 def matches(value: Column, pattern: str) -> Column:

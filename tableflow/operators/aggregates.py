@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.functions import (
-    as_date, day_start, exact_sum, hour_of, inexact_sum, join_sums, matches, mean, modulo, money_sum, round2, total,
+    as_date, cents, day_start, hour_of, matches, mean, modulo, money_sum, total,
 )
 from tableflow.operators.clean import clean_positive, equals, maybe_equals
-from tableflow.operators.joins import join_unique
 from tableflow.session import is_small
 
 # The statuses that count as a failure.
@@ -33,7 +32,7 @@ def daily_fares(trips: DataFrame) -> DataFrame:
         n_rows().alias("trip_count"),
         money_sum(F.col("fare_amount")).alias("total_fare"),
         money_sum(F.col("tip_amount")).alias("total_tip"),
-        round2(mean(F.col("total_amount"))).alias("avg_total"),
+        cents(mean(F.col("total_amount"))).alias("avg_total"),
     )
 
 
@@ -69,15 +68,13 @@ def borough_day(trips: DataFrame, zones: DataFrame, max_zones: int = 200_000) ->
     if is_small(zone, max_zones):
         found = trips.join(F.broadcast(zone), "pu_location_id")
         return found.groupBy("borough", day).agg(count, money_sum(fare).alias("revenue"))
-    cells = trips.groupBy("pu_location_id", day).agg(
-        count, exact_sum(fare).alias("exact"), inexact_sum(fare).alias("inexact")
-    )
+    cells = trips.groupBy("pu_location_id", day).agg(count, total(fare).alias("fare"))
     return (
         cells.join(zone, "pu_location_id")
         .groupBy("borough", "day")
         .agg(
             F.sum("trips").alias("trips"),
-            join_sums(F.sum("exact").cast("decimal(38,6)"), F.sum("inexact"), 2).alias("revenue"),
+            money_sum(F.col("fare")).alias("revenue"),
         )
     )
 
@@ -192,30 +189,9 @@ def match_ratios(df: DataFrame, patterns: Mapping[str, str], cols: Sequence[str]
     return df.agg(*aggs).select(F.inline(F.array(*found)))
 
 
-def upstream_list(edges: DataFrame, page: int = 10_000) -> DataFrame:
-    """Sorted upstream names of each task.
-
-    A task has one row (page 0) up to ``page`` upstreams. A hub with more is
-    spread over further pages by hash, so no cell holds an unbounded list.
-    """
-    return (
-        paged(edges.distinct(), page)
-        .groupBy("task_name", "page")
-        .agg(F.sort_array(F.collect_list("upstream_task_name")).alias("depends_on"))
-    )
-
-
-def paged(edges: DataFrame, page: int) -> DataFrame:
-    """Edges with a page number: 0 for all tasks but hubs."""
-    hubs = (
-        edges.groupBy("task_name")
-        .agg(n_rows().alias("degree"))
-        .filter(F.col("degree") > page)
-        .withColumn("pages", F.ceil(F.col("degree") / page))
-        .drop("degree")
-    )
-    spread = F.pmod(F.xxhash64("upstream_task_name"), F.coalesce("pages", F.lit(1)))
-    return join_unique(edges, hubs, ["task_name"], "left").withColumn("page", spread).drop("pages")
+def upstream_list(edges: DataFrame) -> DataFrame:
+    """One sorted list of upstream names for each task; it holds no more names than there are tasks."""
+    return edges.distinct().groupBy("task_name").agg(F.sort_array(F.collect_list("upstream_task_name")).alias("depends_on"))
 
 
 def partition_count(df: DataFrame, col: str) -> DataFrame:

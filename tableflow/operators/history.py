@@ -103,6 +103,5 @@ def task_adjacency(lineage: DataFrame, nodes: DataFrame | None = None) -> DataFr
     none = F.array().cast("array<string>")
     return every.distinct().join(lists, "task_name", "left").select(
         "task_name",
-        F.coalesce("page", F.lit(0)).alias("page"),
         F.coalesce(F.col("depends_on").cast("array<string>"), none).alias("depends_on"),
     )

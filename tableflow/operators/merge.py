@@ -149,7 +149,7 @@ def absorb_into(
     rule, keys, when = RULES[name]
     while True:
         base = snap.latest(spark, table)
-        target = snap.read_as_of(spark, table, base)
+        target = snap.read_as_of(spark, table, base) if base else spark.createDataFrame([], TABLES[name])
         if rule == "insert":
             mode, change = "append", new_rows(target, delta, keys, _order(delta, keys, when))
         else:

@@ -62,7 +62,7 @@ def scan_sensitive(df: DataFrame) -> DataFrame:
 
 
 def triage_report(df: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: confirmed columns, columns worth a look, and the verdict."""
+    """One row: confirmed columns, columns worth a look, the patterns found with their ratios, and the verdict."""
     by_column = findings.groupBy("column_name", "position").agg(
         F.count("pattern").alias("n"),
         F.sort_array(F.collect_list(F.struct("pattern", "ratio"))).alias("found"),
@@ -70,6 +70,7 @@ def triage_report(df: DataFrame, findings: DataFrame) -> DataFrame:
     names = by_column.agg(
         _in_order(F.col("n") > 0).alias("confirmed"),
         _in_order(F.col("n") == 0).alias("worth_a_look"),
+        F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("position", "column_name", "found")))).alias("detail"),
     )
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     sure, maybe = F.size("confirmed"), F.size("worth_a_look")
@@ -83,6 +84,7 @@ def triage_report(df: DataFrame, findings: DataFrame) -> DataFrame:
         F.lit(len(df.columns)).alias("columns_scanned"),
         "confirmed",
         "worth_a_look",
+        F.transform("detail", lambda d: F.struct(d.column_name.alias("column_name"), d.found.alias("found"))).alias("detail"),
         verdict.alias("verdict"),
     )
 

@@ -9,16 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableflow.functions import chain_hash
-from tableflow.operators.aggregates import paged
 from tableflow.operators.joins import join_unique, lookup_state
 from tableflow.operators.lineage import Rounds, levels
 from tableflow.operators.snapshots import list_names
 from tableflow.session import drop_path, new_path
 from tableflow.sources.sink import LARGE_CACHE_BYTES
 
-# Stands for NULL inside a hashed row.
-NULL_MARK = "\\N"
-
 # What a preview says about a task.
 SKIP = "skip (unchanged)"
 NOT_CACHED = "run (not cached)"
@@ -30,9 +26,10 @@ NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def row_hash(cols: Sequence[str]) -> Column:
-    """48 bits of the MD5 of a row, as a bigint."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in cols]
-    digest = F.md5(F.concat_ws("\x1f", *cells))
+    """48 bits of the MD5 of a row, as a bigint. Each cell has its length before it, NULL has none."""
+    texts = [F.col(c).cast("string") for c in cols]
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.md5(F.concat(*cells))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
 
 
@@ -59,14 +56,12 @@ def definition_fingerprint(defs: DataFrame) -> DataFrame:
     return defs.withColumn("fingerprint", F.sha2(F.concat(head, F.array_join(ups, "")), 256))
 
 
-def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000) -> DataFrame:
+def propagate_fingerprints(defs: DataFrame, edges: DataFrame) -> DataFrame:
     """Fingerprint of every task, where a change upstream changes everything below.
 
     ``defs`` has task_name, source and config; ``edges`` has task_name and
     upstream_task_name. Tasks are resolved level by level, each edge is read
-    in one level only. The upstreams of a hub with more than ``page`` of them
-    are hashed page by page and the page hashes then take their place.
-    Tasks on or below a cycle have no level and no fingerprint.
+    in one level only. Tasks on or below a cycle have no level and no fingerprint.
     """
     spark = defs.sparkSession
     edges = edges.distinct()
@@ -74,10 +69,10 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000
     base = new_path(spark, "fingerprints")
     placed = defs.join(depth, "task_name")
     placed.write.partitionBy("level").parquet(f"{base}/defs")
-    placed_edges = join_unique(paged(edges, page), depth, ["task_name"], "inner")
-    placed_edges.select("task_name", "upstream_task_name", "page", "level").write.partitionBy("level").parquet(f"{base}/edges")
+    placed_edges = join_unique(edges, depth, ["task_name"], "inner")
+    placed_edges.select("task_name", "upstream_task_name", "level").write.partitionBy("level").parquet(f"{base}/edges")
     defs_at = spark.read.schema(placed.schema).parquet(f"{base}/defs")
-    edge_schema = "task_name string, upstream_task_name string, page bigint, level int"
+    edge_schema = "task_name string, upstream_task_name string, level int"
     edges_at = spark.read.schema(edge_schema).parquet(f"{base}/edges")
 
     done = Rounds(spark, f"{base}/resolved", "task_name string, fingerprint string")
@@ -91,8 +86,8 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000
             )
             mine = edges_at.filter(F.col("level") == level).drop("level")
             named = join_unique(mine, known, ["upstream_task_name"], "inner", n_unique=total)
-            up = F.concat("upstream_task_name", F.lit("="), "up_fp").alias("up")
-            lists = _upstream_parts(named.select("task_name", "page", up))
+            up = F.concat("upstream_task_name", F.lit("="), "up_fp")
+            lists = named.groupBy("task_name").agg(F.sort_array(F.collect_list(up)).alias("upstreams"))
             ready = here.join(lists, "task_name", "left").withColumn(
                 "upstreams", F.coalesce("upstreams", F.array().cast("array<string>"))
             )
@@ -100,20 +95,6 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame, page: int = 10_000
     return done.read().drop("round")
 
 
-def _upstream_parts(named: DataFrame) -> DataFrame:
-    """Sorted ``name=fingerprint`` list per task; for hubs the hash of each page."""
-    pages = named.groupBy("task_name", "page").agg(F.sort_array(F.collect_list("up")).alias("ups"))
-    return pages.groupBy("task_name").agg(
-        F.when(F.count(F.lit(1)) == 1, F.first("ups"))
-        .otherwise(
-            F.collect_list(
-                F.concat(F.col("page").cast("string"), F.lit("="), F.sha2(F.array_join("ups", "\0"), 256))
-            )
-        )
-        .alias("upstreams")
-    )
-
-
 def refresh_preview(defs: DataFrame, stored: DataFrame, cache: DataFrame) -> DataFrame:
     """What the next run would do with every task.
 
@@ -159,9 +140,7 @@ def only(df: DataFrame, changes: DataFrame, part: str, *states: str, max_names:
         kind = df.schema[part].dataType
         known = F.col(part).isin([F.lit(n).cast(kind) for n in names if n is not None] or [F.lit(None).cast(kind)])
         return df.filter(known | F.col(part).isNull() if None in names else known)
-    key = F.coalesce(F.col(part).cast("string"), F.lit(NULL_MARK))
-    wanted = wanted.select(F.coalesce("_part", F.lit(NULL_MARK)).alias("_part"))
-    return join_unique(df.withColumn("_part", key), wanted, ["_part"], "left_semi").drop("_part")
+    return df.join(wanted.distinct(), F.col(part).cast("string").eqNullSafe(F.col("_part")), "left_semi")
 
 
 def refresh(
@@ -193,16 +172,23 @@ def refresh_stored(
     """Refresh a table stored in one folder per ``part``: the others are not read or written.
 
     Dynamic overwrite swaps the folders of recomputed partitions. It never
-    removes one, so folders of removed partitions are deleted after it.
+    removes one, so the folders of removed partitions, and of changed ones
+    whose new result has no rows, are deleted after it. Spark keeps the empty
+    text in the folder of NULL, so an empty partition value is refused.
     """
+    spark = source.sparkSession
+    touched = changes.filter("state IN ('changed', 'removed')").select(F.col(part).cast("string")).collect()
+    if any(r[0] == "" for r in touched) or not changes.filter(F.col(part).cast("string") == "").isEmpty():
+        raise ValueError(f"{part} holds an empty text, which has no folder of its own")
+    names = {NULL_FOLDER if r[0] is None else r[0] for r in touched}  # partition names, not rows
+    folders = [n for n in list_names(spark, path) if n.startswith(f"{part}=") and unquote(n.split("=", 1)[1]) in names]
+    before = {n: list_names(spark, f"{path}/{n}") for n in folders}
     fresh = compute(only(source, changes, part, "added", "changed"))
     writer = fresh.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    removed = changes.filter("state = 'removed'").select(F.col(part).cast("string")).collect()
-    gone = {NULL_FOLDER if r[0] is None else r[0] for r in removed}  # partition names, not rows
-    for name in list_names(source.sparkSession, path):
-        if name.startswith(f"{part}=") and unquote(name.split("=", 1)[1]) in gone:
-            drop_path(source.sparkSession, f"{path}/{name}")
+    for name, files in before.items():
+        if list_names(spark, f"{path}/{name}") == files:  # nothing new came
+            drop_path(spark, f"{path}/{name}")
 
 
 def ready_to_run(defs: DataFrame, edges: DataFrame, stored: DataFrame) -> DataFrame:

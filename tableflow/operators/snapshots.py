@@ -90,10 +90,13 @@ def read_as_of(spark: SparkSession, table: str, snapshot_id: int | None = None)
     return _read_parts(spark, table, _parts(entries), _schema(entries))
 
 
-def find_snapshot(spark: SparkSession, table: str, message: str) -> int | None:
+def find_snapshot(spark: SparkSession, table: str, message: str) -> int:
     """First snapshot with this message."""
     hits = snapshots(spark, table).filter(F.col("commit_message") == message)
-    return hits.agg(F.min("snapshot_id")).first()[0]
+    found = hits.agg(F.min("snapshot_id")).first()[0]
+    if found is None:
+        raise ValueError(f"no snapshot with the message {message!r} in {table}")
+    return found
 
 
 def table_schema(spark: SparkSession, table: str) -> T.StructType:
@@ -114,9 +117,14 @@ def snapshot_diff(spark: SparkSession, table: str, a: int, b: int) -> DataFrame:
     shared = set(old) & set(new)
     left = _read_parts(spark, table, [p for p in old if p not in shared], schema)
     right = _read_parts(spark, table, [p for p in new if p not in shared], schema)
+    return rows_diff(left, right)
+
+
+def rows_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that ``right`` adds to or lacks from ``left``, with their number of copies: one aggregate over all columns."""
     signed = left.withColumn("_n", F.lit(-1)).unionByName(right.withColumn("_n", F.lit(1)))
     return (
-        signed.groupBy(*schema.names)
+        signed.groupBy(*left.columns)
         .agg(F.sum("_n").alias("_n"))
         .filter("_n <> 0")
         .withColumn("change", F.when(F.col("_n") > 0, "added").otherwise("removed"))

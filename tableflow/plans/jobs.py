@@ -81,7 +81,8 @@ def rolling_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     daily, _ = materialize(agg.daily_revenue(fx.order_trips(spark, sf_dir)))
     rolled = rolling_mean(daily, "payment_type", "trip_date", "revenue", 3, "revenue_3d_avg", max_group=None)
-    return rolled.withColumn("payment_type_label", label_of(F.col("payment_type"), PAYMENT_LABELS))
+    shown = rolled.withColumn("revenue", F.round("revenue", 4)).withColumn("revenue_3d_avg", F.round("revenue_3d_avg", 4))
+    return shown.withColumn("payment_type_label", label_of(F.col("payment_type"), PAYMENT_LABELS))
 
 
 def revenue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +146,8 @@ def payment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def three_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.measures(fx.order_trips(spark, sf_dir), "fare_amount")
+    found = agg.measures(fx.order_trips(spark, sf_dir), "fare_amount")
+    return found.withColumn("mean_value", F.round("mean_value", 6))
 
 
 def borough_days(spark: SparkSession, sf_dir: str) -> DataFrame:

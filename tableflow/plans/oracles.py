@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tableflow.operators.quality import NAME_HINTS, VALUE_PATTERNS
+from tableflow.operators.quality import NAME_HINTS, VALUE_PATTERNS, VERDICT_CLEAN, VERDICT_CONFIRMED, VERDICT_HINT
 
 # ---- views -------------------------------------------------------------------------
 
@@ -91,10 +91,11 @@ DEFS = """defs AS (
   stored AS (
     SELECT task_name, CASE WHEN p_size % 3 = 0 THEN md5(fingerprint) ELSE fingerprint END AS fingerprint
     FROM defs WHERE p_size % 11 <> 0),
-  cache AS (
+  results AS (
     SELECT task_name, fingerprint, CAST(p_size AS BIGINT) * 1000 AS n_rows,
            CAST(p_size AS BIGINT) * 2000000 AS size_bytes
-    FROM defs WHERE p_size % 5 <> 0)"""
+    FROM defs),
+  cache AS (SELECT * FROM results WHERE n_rows % 5000 <> 0)"""
 
 EDGES = """edges AS (
     SELECT DISTINCT task_name, upstream_task_name FROM (
@@ -115,6 +116,14 @@ PREVIEW = DEFS + """, preview AS (
     LEFT JOIN cache c ON c.task_name = d.task_name AND c.fingerprint = d.fingerprint)"""
 
 
+PRINT_COLUMNS = ["l_orderkey", "l_linenumber", "cents", "tax", "l_shipdate"]
+
+
+def cell(col: str) -> str:
+    """Length and text of a value, a dash for NULL."""
+    return f"coalesce(length(CAST({col} AS VARCHAR)) || ':' || CAST({col} AS VARCHAR), '-')"
+
+
 def exact(col: str) -> str:
     return f"sum(CAST({col} AS DECIMAL(18,6)))"
 
@@ -139,7 +148,7 @@ PAYMENT_DAYS = f"""{ORDER_TRIPS}, daily AS (
 
 DAILY_REVENUE = f"""{ORDER_TRIPS}, daily AS (
   SELECT CAST(pickup_ts AS DATE) AS trip_date, payment_type,
-         CAST({exact('total_amount')} AS DOUBLE) AS revenue, count(*) AS trip_count
+         sum(total_amount) AS revenue, count(*) AS trip_count
   FROM order_trips WHERE fare_amount > 0 GROUP BY 1, 2)"""
 
 BY_PAYMENT = f"""{ORDER_TRIPS}, pay AS (
@@ -181,6 +190,24 @@ CONTACT_SCAN = CONTACTS + ", " + scan_sql(
     "contacts", {"c_name": 0, "email": 1, "phone": 2, "signup_ip": 3, "address": 4, "plan": 5}
 )
 
+
+def triage_sql(scan: str, source: str, n_columns: int) -> str:
+    """The one-row report over the findings of a scan."""
+    return f"""WITH {scan}, cols AS (
+          SELECT column_name, position, count(pattern) AS n FROM findings GROUP BY 1, 2),
+        names AS (
+          SELECT coalesce(string_agg(column_name, ',' ORDER BY position) FILTER (WHERE n > 0), '') AS confirmed,
+                 coalesce(string_agg(column_name, ',' ORDER BY position) FILTER (WHERE n = 0), '') AS worth_a_look,
+                 count(*) FILTER (WHERE n > 0) AS sure, count(*) FILTER (WHERE n = 0) AS maybe FROM cols)
+        SELECT (SELECT count(*) FROM {source}) AS n_rows, {n_columns} AS columns_scanned, confirmed, worth_a_look,
+               (SELECT coalesce(string_agg(column_name || ':' || pattern || '=' || CAST(ratio AS VARCHAR), ','
+                       ORDER BY position, pattern), '') FROM findings WHERE pattern IS NOT NULL) AS detail,
+               CASE WHEN sure > 0 THEN replace('{VERDICT_CONFIRMED}', '{{n}}', CAST(sure AS VARCHAR))
+                    WHEN maybe > 0 THEN replace('{VERDICT_HINT}', '{{n}}', CAST(maybe AS VARCHAR))
+                    ELSE '{VERDICT_CLEAN}' END AS verdict
+        FROM names"""
+
+
 # Every node p > 0 sits one level below p // 2, whose level is the deeper of its two upstreams.
 BELOW = """WITH RECURSIVE {views}, below AS (
     SELECT DISTINCT task_name FROM {edges} WHERE upstream_task_name IN ({start})
@@ -226,8 +253,9 @@ ORACLES: dict[str, str] = {
     "z2_partition_manifest": f"WITH {MANIFEST} SELECT * FROM manifest",
     "z2_partition_count": f"WITH {MANIFEST} SELECT count(DISTINCT borough) AS partitions FROM manifest",
     "z3_rolling_revenue": f"""WITH {DAILY_REVENUE}
-        SELECT *, avg(revenue) OVER (PARTITION BY payment_type ORDER BY trip_date
-                                     ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS revenue_3d_avg,
+        SELECT trip_date, payment_type, trip_count, round(revenue, 4) AS revenue,
+               round(avg(revenue) OVER (PARTITION BY payment_type ORDER BY trip_date
+                                        ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS revenue_3d_avg,
                {LABEL.format(c='payment_type')} AS payment_type_label
         FROM daily""",
     "z3_report": f"""WITH {DAILY_REVENUE}
@@ -253,7 +281,7 @@ ORACLES: dict[str, str] = {
     "z9_measures": f"""WITH {ORDER_TRIPS}
         SELECT count(*) FILTER (WHERE payment_type = 1) AS card_trips,
                count(*) FILTER (WHERE payment_type = 2) AS cash_trips,
-               CAST({exact('fare_amount')} AS DOUBLE) / count(fare_amount) AS mean_value FROM order_trips""",
+               round(avg(fare_amount), 6) AS mean_value FROM order_trips""",
     "z10_borough_day": f"WITH {BOROUGH_DAY} SELECT * FROM daily",
     "z10_report": f"""WITH {BOROUGH_DAY}
         SELECT count(*) AS day_borough_rows, CAST(sum(trips) AS BIGINT) AS total_trips,
@@ -273,7 +301,11 @@ ORACLES: dict[str, str] = {
     "io_union": f"""SELECT l_linenumber, count(*) AS n,
                count(*) FILTER (WHERE l_linenumber <= 3 AND l_tax IS NOT NULL) AS with_tax,
                {cents('l_extendedprice')} AS price FROM lineitem GROUP BY 1""",
-    "io_arrow": "SELECT CAST(hour(ts) AS INT) AS hour, count(*) AS trip_count FROM events GROUP BY 1",
+    "io_union_types": """SELECT l_linenumber, count(*) AS n,
+               sum(CASE WHEN l_linenumber <= 3 THEN trunc(l_quantity) ELSE l_quantity END) AS quantity
+        FROM lineitem GROUP BY 1""",
+    "io_csv_text": """SELECT doc_id, length(note) AS n, md5(note) AS digest
+        FROM (SELECT doc_id, 'say "' || text || '", ok' || chr(10) || source AS note FROM documents)""",
     "io_materialize": "SELECT count(*) AS n_rows, true AS same, true AS sized FROM orders",
     "json_rows": f"WITH {PAYMENT_DAYS} SELECT trip_date, trip_count, total_revenue FROM daily",
     "json_codec": """SELECT event_id, '[{"k":' || json_extract_string(props, '$.k') || ',"id":'
@@ -297,8 +329,6 @@ ORACLES: dict[str, str] = {
     "bucket_sums": """SELECT l_orderkey % 7 AS bucket, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total
         FROM lineitem GROUP BY 1""",
     "bucket_filter": "SELECT o_orderkey, CAST(o_orderkey % 3 AS INT) AS bucket FROM orders",
-    "range_buckets": """SELECT x % 7 AS bucket, count(*) AS n, CAST(sum(x) AS BIGINT) AS total
-        FROM (SELECT row_number() OVER () - 1 AS x FROM orders) GROUP BY 1""",
     "array_ops": """SELECT l_orderkey, l_linenumber,
                array_to_string(list_transform(a, lambda x: x * 2), ',') AS doubled,
                array_to_string(list_concat(list_transform(a, lambda x: x * 2),
@@ -330,7 +360,7 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (WHERE status IN {FAILED}) AS failed_count FROM task_runs GROUP BY 1, 2""",
     "history_task_stats": f"""WITH {TASK_RUNS}
         SELECT task_name, count(*) AS runs,
-               CAST({exact('duration_ms')} AS DOUBLE) / count(duration_ms) AS avg_duration_ms,
+               round(avg(duration_ms), 6) AS avg_duration_ms,
                max(duration_ms) AS max_duration_ms, max(ended_at) AS last_run_at,
                count(*) FILTER (WHERE status = 'skipped') AS skipped_count,
                count(*) FILTER (WHERE status IN {FAILED}) AS failed_count FROM task_runs GROUP BY 1""",
@@ -338,7 +368,7 @@ ORACLES: dict[str, str] = {
         SELECT * FROM pipeline_runs ORDER BY started_at DESC, run_id LIMIT 20""",
     "history_slowest": f"""WITH {TASK_RUNS}
         SELECT task_name, count(*) AS runs,
-               CAST({exact('duration_ms')} AS DOUBLE) / count(duration_ms) AS avg_duration_ms,
+               round(avg(duration_ms), 6) AS avg_duration_ms,
                max(duration_ms) AS max_duration_ms,
                count(*) FILTER (WHERE status = 'skipped') AS skipped_count,
                count(*) FILTER (WHERE status IN {FAILED}) AS failed_count
@@ -369,7 +399,7 @@ ORACLES: dict[str, str] = {
     "merge_compacted": f"WITH {ABSORBED}",
     "stream_absorb": f"WITH {ABSORBED}",
     "merge_anti_insert": f"""WITH {SLICES}
-        SELECT DISTINCT run_id FROM base WHERE attempt <= 15 UNION SELECT DISTINCT run_id FROM delta""",
+        SELECT run_id FROM base UNION SELECT run_id FROM delta""",
     "merge_replace_key": f"""WITH {SLICES}, newest AS (
           SELECT run_id, task_name, attempt, max(batch_id) AS batch_id FROM delta GROUP BY 1, 2, 3)
         SELECT {RUN_COLS} FROM base b
@@ -393,10 +423,17 @@ ORACLES: dict[str, str] = {
                  'running' AS status, row_number() OVER (PARTITION BY run_id ORDER BY started_at) AS rn
           FROM task_runs)
         WHERE rn = 1 AND run_id NOT IN (SELECT run_id FROM pipeline_runs WHERE status <> 'running')""",
-    "merge_delta_keys": f"WITH {SLICES} SELECT DISTINCT task_name, attempt FROM delta",
+    "merge_delta_keys": f"WITH {STATE_RUNS} SELECT DISTINCT task_name, attempt FROM state_runs",
+    "merge_first_runs": f"WITH {TASK_RUNS}, {PIPELINE_RUNS} SELECT * FROM pipeline_runs",
+    "merge_first_cache": f"""WITH {DEFS}
+        SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM results""",
+    "merge_first_prints": f"""WITH {DEFS}
+        SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM stored""",
+    "merge_first_lineage": f"WITH {NAMED_EDGES} SELECT * FROM named_edges",
     "fp_table": f"""WITH {PRINT_ROWS}, prints AS (
-          SELECT flag, count(*) AS n_rows, sum(CAST('0x' || substr(md5(concat_ws(chr(31), l_orderkey, l_linenumber,
-                 cents, tax, l_shipdate)), 1, 12) AS BIGINT)) AS fp FROM old_rows GROUP BY 1)
+          SELECT flag, count(*) AS n_rows,
+                 sum(CAST('0x' || substr(md5({" || ".join(cell(c) for c in PRINT_COLUMNS)}), 1, 12) AS BIGINT)) AS fp
+          FROM old_rows GROUP BY 1)
         SELECT flag, n_rows, CAST(fp AS VARCHAR) AS fingerprint FROM prints""",
     "fp_changed_partitions": f"""WITH {PRINT_ROWS}, o AS (
           SELECT flag, count(*) AS n, md5(string_agg(concat_ws('|', l_orderkey, l_linenumber, cents, tax, l_shipdate), ','
@@ -425,40 +462,24 @@ ORACLES: dict[str, str] = {
     "cache_report": f"""WITH {DEFS}
         SELECT task_name, fingerprint, CAST(sum(n_rows) AS BIGINT) AS n_rows,
                CAST(sum(size_bytes) AS BIGINT) AS size_bytes, sum(size_bytes) > 50 * 1024 * 1024 AS large
-        FROM cache GROUP BY 1, 2""",
+        FROM results GROUP BY 1, 2""",
     "hash_chain": """SELECT p_partkey, sha256(p_name || chr(0) || p_brand || chr(0) || CAST(p_size AS VARCHAR) || chr(0))
                AS hash FROM part""",
     "fp_definitions": f"""WITH {DEFS}
         SELECT task_name, sha256(source || chr(0) || config || chr(0) || 'a=' || source || chr(0)
                || 'size=' || CAST(p_size AS VARCHAR) || chr(0)) AS fingerprint FROM defs""",
     "fp_propagated": propagated_sql(),
-    "snap_log": """SELECT CAST(i AS BIGINT) AS snapshot_id, t AS snapshot_time, a AS author, m AS commit_message
-        FROM (VALUES (1, TIMESTAMP '2024-02-01', 'load', 'first days'),
-                     (2, TIMESTAMP '2024-02-02', 'load', 'later days'),
-                     (3, TIMESTAMP '2024-02-04', 'clean', 'drop skipped')) v(i, t, a, m)""",
-    "snap_as_of": f"WITH {STATE_RUNS} SELECT {RUN_COLS} FROM state_runs",
     "snap_diff": f"""WITH {STATE_RUNS}
         SELECT {RUN_COLS}, 'removed' AS change, CAST(count(*) AS BIGINT) AS copies
         FROM state_runs WHERE status = 'skipped' GROUP BY ALL""",
-    "snap_add_column": f"""WITH {STATE_RUNS}
-        SELECT {RUN_COLS}, CAST(NULL AS VARCHAR) AS host FROM state_runs WHERE status <> 'skipped'
-        UNION ALL SELECT {RUN_COLS}, 'h' || run_id FROM state_runs WHERE attempt = 30""",
-    "snap_concurrent": f"WITH {STATE_RUNS} SELECT {RUN_COLS} FROM state_runs",
     "pii_profile": """SELECT c AS column_name, t AS dtype, p AS position, (SELECT count(*) FROM customer) AS row_count
         FROM (VALUES ('c_custkey', 'bigint', 1), ('c_name', 'string', 2), ('email', 'string', 3),
                      ('phone', 'string', 4), ('signup_ip', 'string', 5), ('address', 'string', 6),
                      ('plan', 'string', 7)) v(c, t, p)""",
     "pii_scan": f"WITH {CONTACT_SCAN} SELECT column_name, position, name_hint, pattern, ratio FROM findings",
-    "pii_triage": f"""WITH {CONTACT_SCAN}, cols AS (
-          SELECT column_name, position, count(pattern) AS n FROM findings GROUP BY 1, 2),
-        names AS (
-          SELECT coalesce(string_agg(column_name, ',' ORDER BY position) FILTER (WHERE n > 0), '') AS confirmed,
-                 coalesce(string_agg(column_name, ',' ORDER BY position) FILTER (WHERE n = 0), '') AS worth_a_look,
-                 count(*) FILTER (WHERE n > 0) AS sure FROM cols)
-        SELECT (SELECT count(*) FROM contacts) AS n_rows, 7 AS columns_scanned, confirmed, worth_a_look,
-               CAST(sure AS VARCHAR) || ' column(s) match a sensitive-data pattern -- '
-               || 'treat this file as restricted before sharing it anywhere' AS verdict
-        FROM names""",
+    "pii_triage": triage_sql(CONTACT_SCAN, "contacts", 7),
+    "pii_triage_hint": triage_sql(scan_sql("supplier", {"s_name": 0}), "supplier", 4),
+    "pii_triage_clean": triage_sql(scan_sql("documents", {"text": 0, "lang": 1, "source": 2}), "documents", 5),
     "pii_documents": "WITH "
     + scan_sql("documents", {"text": 0, "lang": 1, "source": 2})
     + " SELECT column_name, position, name_hint, pattern, ratio FROM findings",
@@ -496,11 +517,11 @@ ORACLES: dict[str, str] = {
           SELECT e.task_name FROM all_edges e JOIN stuck s ON e.upstream_task_name = s.task_name)
         SELECT task_name FROM stuck""",
     "lineage_adjacency": f"""WITH {DEFS}, {NAMED_EDGES}
-        SELECT d.task_name, CAST(0 AS BIGINT) AS page,
+        SELECT d.task_name,
                coalesce(string_agg(e.upstream_task_name, ',' ORDER BY e.upstream_task_name), '') AS depends_on
         FROM defs d LEFT JOIN named_edges e ON e.task_name = d.task_name GROUP BY 1""",
     "lineage_upstreams": f"""WITH {NAMED_EDGES}
-        SELECT task_name, CAST(0 AS BIGINT) AS page,
+        SELECT task_name,
                string_agg(upstream_task_name, ',' ORDER BY upstream_task_name) AS depends_on
         FROM named_edges GROUP BY 1""",
     "lineage_resume": BELOW.format(

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +18,9 @@ from tableflow.plans import fixtures as fx
 from tableflow.plans import jobs
 from tableflow.session import new_path
 from tableflow.sources import (
-    export_arrow,
-    import_arrow,
     literal_rows,
     materialize,
     project_scan,
-    range_table,
     read_any,
     read_csv,
     read_table,
@@ -39,7 +34,6 @@ from tableflow.streaming import absorb_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RUN_COLUMNS = "run_id, task_name, status, started_at, ended_at, duration_ms, error, fingerprint, attempt"
 RUN_KEY = ["run_id", "task_name", "attempt"]
 
 
@@ -56,6 +50,14 @@ def io_csv(spark, sf_dir):
     return read_csv(spark, write_csv(zones, new_path(spark, "zones")), zones.schema)
 
 
+def io_csv_text(spark, sf_dir):
+    """Whole documents with quotes and a line break through CSV."""
+    noted = F.concat(F.lit('say "'), F.col("text"), F.lit('", ok\n'), F.col("source"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", noted.alias("note"))
+    back = read_csv(spark, write_csv(docs, new_path(spark, "notes")), docs.schema)
+    return back.select("doc_id", F.length("note").cast("bigint").alias("n"), F.md5("note").alias("digest"))
+
+
 def io_any(spark, sf_dir):
     orders = fx.order_trips(spark, sf_dir)
     csv = write_csv(orders, new_path(spark, "orders") + ".csv")
@@ -87,8 +89,14 @@ def io_union(spark, sf_dir):
     )
 
 
-def io_arrow(spark, sf_dir):
-    return import_arrow(spark, export_arrow(jobs.hour_summary(spark, sf_dir)))
+def io_union_types(spark, sf_dir):
+    """Two Parquet slices that hold the same column as bigint and as double."""
+    items = project_scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"])
+    whole = items.filter("l_linenumber <= 3").withColumn("l_quantity", F.col("l_quantity").cast("bigint"))
+    first = write_table(whole, new_path(spark, "slice"))
+    second = write_table(items.filter("l_linenumber > 3"), new_path(spark, "slice"))
+    both = read_union(spark, [first, second])
+    return both.groupBy("l_linenumber").agg(agg.n_rows().alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 def io_materialize(spark, sf_dir):
@@ -170,12 +178,6 @@ def bucket_filter(spark, sf_dir):
     return agg.union_all(agg.union_all(parts[0], parts[1]), parts[2])
 
 
-def range_buckets(spark, sf_dir):
-    """A generated range as long as the order table."""
-    n = fx.table(spark, sf_dir, "orders").count()  # from the file footers
-    return agg.bucket_sums(range_table(spark, n), "x", 7)
-
-
 def array_ops(spark, sf_dir):
     """Map, filter by remainder, and concatenation on an array per line item."""
     arr = F.array("l_orderkey", "l_partkey", "l_suppkey")
@@ -232,8 +234,13 @@ def history_status_counts(spark, sf_dir):
     return agg.status_counts(_runs(spark, sf_dir), ["run_id", "task_name"])
 
 
+def _shown(stats: DataFrame) -> DataFrame:
+    """The mean to a millionth: its last digits depend on the order of the tasks."""
+    return stats.withColumn("avg_duration_ms", F.round("avg_duration_ms", 6))
+
+
 def history_task_stats(spark, sf_dir):
-    return history.task_stats(_runs(spark, sf_dir))
+    return _shown(history.task_stats(_runs(spark, sf_dir)))
 
 
 def history_recent(spark, sf_dir):
@@ -241,7 +248,7 @@ def history_recent(spark, sf_dir):
 
 
 def history_slowest(spark, sf_dir):
-    return history.slowest_tasks(_runs(spark, sf_dir))
+    return _shown(history.slowest_tasks(_runs(spark, sf_dir)))
 
 
 def history_outcome(spark, sf_dir):
@@ -276,8 +283,7 @@ def merge_insert_absent(spark, sf_dir):
 def merge_anti_insert(spark, sf_dir):
     """Insert-only by run id: runs the base has never seen."""
     base, delta = fx.run_slices(spark, sf_dir)
-    early = base.filter("attempt <= 15").select("run_id").distinct()
-    return joins.anti_insert(early, merge.delta_keys(delta, ["run_id"]), ["run_id"])
+    return joins.anti_insert(base.select("run_id").distinct(), merge.delta_keys(delta, ["run_id"]), ["run_id"])
 
 
 def merge_replace_key(spark, sf_dir):
@@ -312,7 +318,30 @@ def merge_shared_run(spark, sf_dir):
 
 
 def merge_delta_keys(spark, sf_dir):
-    return merge.delta_keys(fx.run_slices(spark, sf_dir)[1], ["task_name", "attempt"])
+    return merge.delta_keys(fx.state_runs(spark, sf_dir), ["task_name", "attempt"])
+
+
+def _from_nothing(name: str, rows: DataFrame) -> DataFrame:
+    """Two batches that both hold all rows, merged into a run table that has none yet."""
+    both = rows.withColumn("batch_id", F.explode(F.array(F.lit("d1"), F.lit("d2"))))
+    return merge.absorb({name: rows.limit(0)}, {name: both})[name]
+
+
+def merge_first_runs(spark, sf_dir):
+    return _from_nothing("pipeline_runs", fx.pipeline_runs(spark, sf_dir))
+
+
+def merge_first_cache(spark, sf_dir):
+    results = fx.all_results(spark, sf_dir)
+    return _from_nothing("task_cache", results.withColumn("created_at", F.expr("timestamp_ntz'2024-01-01 00:00:00'")))
+
+
+def merge_first_prints(spark, sf_dir):
+    return _from_nothing("task_fingerprints", fx.stored_prints(spark, sf_dir))
+
+
+def merge_first_lineage(spark, sf_dir):
+    return _from_nothing("task_lineage", fx.named_edges(spark, sf_dir))
 
 
 def _stored_base(spark, sf_dir):
@@ -391,7 +420,7 @@ def ready_to_run(spark, sf_dir):
 
 
 def cache_report(spark, sf_dir):
-    return refresh.cache_report(fx.cached_results(spark, sf_dir))
+    return refresh.cache_report(fx.all_results(spark, sf_dir))
 
 
 def hash_chain(spark, sf_dir):
@@ -414,49 +443,10 @@ def fp_propagated(spark, sf_dir):
 # ---- snapshots -------------------------------------------------------------------
 
 
-def _versions(spark, sf_dir) -> str:
-    """Three commits that together hold all runs: two appends and a replacement of everything."""
-    table = new_path(spark, "versions")
-    runs = fx.state_runs(spark, sf_dir).drop("event_id")
-    day = [datetime(2024, 2, d) for d in (1, 2, 3, 4)]
-    snap.commit(spark, table, runs.filter("attempt <= 10"), "load", "first days", time=day[0])
-    snap.commit(spark, table, runs.filter("attempt > 10"), "load", "later days", time=day[1])
-    snap.commit(spark, table, runs.limit(0), "load", "nothing", time=day[2])
-    kept = runs.filter("status <> 'skipped'")
-    snap.commit(spark, table, kept, "clean", "drop skipped", mode="replace", expect=2, time=day[3])
-    return table
-
-
-def snap_log(spark, sf_dir):
-    return snap.snapshots(spark, _versions(spark, sf_dir))
-
-
-def snap_as_of(spark, sf_dir):
-    table = _versions(spark, sf_dir)
-    return snap.read_as_of(spark, table, snap.find_snapshot(spark, table, "later days"))
-
-
 def snap_diff(spark, sf_dir):
-    """What the last commit removed; several events may share all run columns."""
-    return snap.snapshot_diff(spark, _versions(spark, sf_dir), 2, 3)
-
-
-def snap_add_column(spark, sf_dir):
-    table = _versions(spark, sf_dir)
-    snap.add_column(spark, table, "host", "string")
-    runs = fx.state_runs(spark, sf_dir).drop("event_id").filter("attempt = 30")
-    snap.commit(spark, table, runs.withColumn("host", F.concat(F.lit("h"), "run_id")), "load", "with host")
-    return snap.read_as_of(spark, table)
-
-
-def snap_concurrent(spark, sf_dir):
-    """Four writers append a quarter each at the same time; no row is lost."""
-    table = new_path(spark, "versions")
-    runs = fx.state_runs(spark, sf_dir)
-    slices = [runs.filter(F.col("event_id") % 4 == i).drop("event_id") for i in range(4)]
-    with ThreadPoolExecutor(4) as pool:
-        list(pool.map(lambda i: snap.commit(spark, table, slices[i], "writer", f"slice {i}"), range(4)))
-    return snap.read_as_of(spark, table)
+    """What a version without the skipped runs lacks; several events may share all run columns."""
+    runs = fx.state_runs(spark, sf_dir).drop("event_id")
+    return snap.rows_diff(runs, runs.filter("status <> 'skipped'"))
 
 
 # ---- sensitive columns -------------------------------------------------------------
@@ -470,18 +460,33 @@ def pii_scan(spark, sf_dir):
     return quality.scan_sensitive(fx.contacts(spark, sf_dir))
 
 
-def pii_triage(spark, sf_dir):
-    contacts = fx.contacts(spark, sf_dir)
-    report = quality.triage_report(contacts, quality.scan_sensitive(contacts))
+def _triage(df: DataFrame) -> DataFrame:
+    report = quality.triage_report(df, quality.scan_sensitive(df))
+    one = "d -> transform(d.found, f -> concat(d.column_name, ':', f.pattern, '=', cast(f.ratio AS string)))"
     return report.select(
         "n_rows",
         "columns_scanned",
         F.concat_ws(",", "confirmed").alias("confirmed"),
         F.concat_ws(",", "worth_a_look").alias("worth_a_look"),
+        F.concat_ws(",", F.expr(f"flatten(transform(detail, {one}))")).alias("detail"),
         "verdict",
     )
 
 
+def pii_triage(spark, sf_dir):
+    return _triage(fx.contacts(spark, sf_dir))
+
+
+def pii_triage_hint(spark, sf_dir):
+    """No pattern among the suppliers, but a column name to look at."""
+    return _triage(fx.table(spark, sf_dir, "supplier"))
+
+
+def pii_triage_clean(spark, sf_dir):
+    """Nothing to be found in the documents."""
+    return _triage(fx.table(spark, sf_dir, "documents"))
+
+
 def pii_documents(spark, sf_dir):
     """The same scan on whole documents."""
     return quality.scan_sensitive(fx.table(spark, sf_dir, "documents"))
@@ -518,12 +523,12 @@ def lineage_cycles(spark, sf_dir):
 
 def lineage_adjacency(spark, sf_dir):
     rows = history.task_adjacency(fx.named_edges(spark, sf_dir), fx.part_defs(spark, sf_dir))
-    return rows.select("task_name", "page", F.concat_ws(",", "depends_on").alias("depends_on"))
+    return rows.select("task_name", F.concat_ws(",", "depends_on").alias("depends_on"))
 
 
 def lineage_upstreams(spark, sf_dir):
     rows = agg.upstream_list(fx.named_edges(spark, sf_dir))
-    return rows.select("task_name", "page", F.concat_ws(",", "depends_on").alias("depends_on"))
+    return rows.select("task_name", F.concat_ws(",", "depends_on").alias("depends_on"))
 
 
 def lineage_resume(spark, sf_dir):
@@ -582,10 +587,10 @@ QUERIES: dict[str, Query] = {
     **{
         f.__name__: f
         for f in (
-            io_parquet, io_csv, io_any, io_replaced_table, io_union, io_arrow, io_materialize,
+            io_parquet, io_csv, io_csv_text, io_any, io_replaced_table, io_union, io_union_types, io_materialize,
             json_rows, json_codec, literal_join,
             filter_chain, derived_orders, matching_orders, distinct_rows, bucket_sums, bucket_filter,
-            range_buckets, array_ops, borough_totals, best_payment_day, rolling_events,
+            array_ops, borough_totals, best_payment_day, rolling_events,
             history_latest, history_last_status, history_run_summary, history_status_counts,
             history_task_stats, history_recent, history_slowest, history_outcome, history_appended,
             history_closed, history_unclosed,
@@ -593,8 +598,9 @@ QUERIES: dict[str, Query] = {
             merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted,
             fp_table, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
             hash_chain, fp_definitions, fp_propagated,
-            snap_log, snap_as_of, snap_diff, snap_add_column, snap_concurrent,
-            pii_profile, pii_scan, pii_triage, pii_documents, non_null_counts,
+            snap_diff,
+            merge_first_runs, merge_first_cache, merge_first_prints, merge_first_lineage,
+            pii_profile, pii_scan, pii_triage, pii_triage_hint, pii_triage_clean, pii_documents, non_null_counts,
             lineage_levels, lineage_roots, lineage_descendants, lineage_failure, lineage_cycles,
             lineage_adjacency, lineage_upstreams, lineage_resume, lineage_duplicates,
             cost_per_run, cost_rollup, stream_absorb,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,25 +22,39 @@ def read_union(
 ) -> DataFrame:
     """Many Parquet files as one table, by column name; a missing column is NULL.
 
-    With a schema no footer is read ahead of the query.
+    Files of one schema are one scan. Types that differ between files widen
+    (bigint and double to double); with a schema each file is cast to it.
     """
+    kinds: dict[str, list[str]] = {}
+    for path in paths:
+        kinds.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    parts = [spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(*same) for kind, same in kinds.items()]
     if schema is not None:
-        return spark.read.schema(schema).parquet(*paths)
-    return spark.read.option("mergeSchema", "true").parquet(*paths)
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        parts = [
+            part.select(*[(F.col(f"`{f.name}`") if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+            for part in parts
+        ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header. The schema is given, so the file is read once."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header and doubled quotes. The schema is given, so the file is read once.
+
+    Fields may hold line breaks; a file without any is split among tasks when
+    ``line_breaks`` is off.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", line_breaks)
+    return reader.csv(path)
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Pick the reader by the ending of the path."""
+    """Pick the reader by the ending of the path. The cells of a CSV without a schema are text."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         if schema is not None:
             return read_csv(spark, path, schema)
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     if kind in ("parquet", "json", "orc"):
         reader = spark.read.format(kind)
         return (reader.schema(schema) if schema is not None else reader).load(path)

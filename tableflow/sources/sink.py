@@ -26,7 +26,9 @@ def replace_table(df: DataFrame, name: str, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, doubled quotes, and every blank kept."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
@@ -49,13 +51,10 @@ def write_partitions(df: DataFrame, col: str, path: str, rebalance: bool = False
 
 
 def partition_manifest(spark: SparkSession, path: str, col: str) -> DataFrame:
-    """Rows and folder of each value written by ``write_partitions``."""
-    return (
-        spark.read.parquet(path)
-        .groupBy(col)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("path", F.concat(F.lit(f"{col}="), F.col(col)))
-    )
+    """Rows and folder of each value written by ``write_partitions``; the folder is that of the files themselves."""
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(file, "([^/]*)/[^/]*$", 1).alias("path")
+    return spark.read.parquet(path).groupBy(col, folder).agg(F.count(F.lit(1)).alias("rows")).select(col, "rows", "path")
 
 
 def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, dict[str, int]]:

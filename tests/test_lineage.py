@@ -54,11 +54,11 @@ def combine(*parts):
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()
 
 
-def prints_of(spark, change=None, page=10_000, edges=DIAMOND):
+def prints_of(spark, change=None, edges=DIAMOND):
     names = sorted({n for pair in edges for n in pair})
     defs = [(n, f"src {n}" + ("!" if n == change else ""), "cfg") for n in names]
     df = spark.createDataFrame(defs, "task_name string, source string, config string")
-    got = refresh.propagate_fingerprints(df, edges_of(spark, edges), page)
+    got = refresh.propagate_fingerprints(df, edges_of(spark, edges))
     return {r.task_name: r.fingerprint for r in got.collect()}
 
 
@@ -73,8 +73,8 @@ def test_fingerprints_chain_downstream(spark):
 
 def test_hub_fingerprint_sees_every_upstream(spark):
     wide = [("hub", f"u{i:03}") for i in range(60)] + [("end", "hub")]
-    base = prints_of(spark, page=10, edges=wide)
-    other = prints_of(spark, "u031", page=10, edges=list(reversed(wide)))
+    base = prints_of(spark, edges=wide)
+    other = prints_of(spark, "u031", edges=list(reversed(wide)))
     assert {n for n in base if base[n] != other[n]} == {"u031", "hub", "end"}
 
 
@@ -142,6 +142,7 @@ def test_fingerprint_ignores_order_and_sees_copies_and_nulls(spark):
 
     base = fp([("x", "y"), ("z", None)])
     assert fp([("z", None), ("x", "y")]) == base
+    assert fp([("x", "\\N")]) != fp([("x", None)]) and fp([("a:b", "c")]) != fp([("a", "b:c")])
     assert len({base, fp([("x", "y"), ("z", "")]), fp([("x", "y"), ("z", None), ("z", None)]), fp([("x", "y"), (None, "z")])}) == 4
 
 
@@ -169,6 +170,23 @@ def test_refresh_keeps_and_drops_null_partitions(spark):
         assert {tuple(r) for r in stored} == {tuple(r) for r in total(new).collect()}
 
 
+def test_stored_refresh_drops_a_changed_partition_that_ends_empty(spark):
+    from tableflow.session import new_path
+
+    def kept(rows):
+        return rows.filter("v > 0").groupBy("p").agg(F.sum("v").alias("s"))
+
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "p string, v int")
+    new = spark.createDataFrame([("a", -1), ("b", 5), ("c", 3)], "p string, v int")
+    path = new_path(spark, "parts")
+    kept(old).write.partitionBy("p").parquet(path)
+    changes = spark.createDataFrame([("a", "changed"), ("b", "changed"), ("c", "same")], "p string, state string")
+    refresh.refresh_stored(path, new, "p", changes, kept)
+    assert {(r.p, r.s) for r in spark.read.schema("s bigint, p string").parquet(path).collect()} == {("b", 5), ("c", 3)}
+    with pytest.raises(ValueError):
+        refresh.refresh_stored(path, new, "p", spark.createDataFrame([("", "added")], "p string, state string"), kept)
+
+
 def test_few_and_many_changed_partitions_take_different_ways(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "p string, v int")
     changes = spark.createDataFrame([("a", "changed"), (None, "added"), ("c", "same")], "p string, state string")

@@ -24,7 +24,8 @@ def test_log_and_as_of(spark, table):
     assert ids(snap.read_as_of(spark, table, 1)) == [0, 1, 2]
     assert ids(snap.read_as_of(spark, table)) == [0, 1, 2, 3, 4]
     assert snap.find_snapshot(spark, table, "second") == 2
-    assert snap.find_snapshot(spark, table, "none") is None
+    with pytest.raises(ValueError):
+        snap.find_snapshot(spark, table, "none")
     with pytest.raises(ValueError):
         snap.read_as_of(spark, table, 0)
 

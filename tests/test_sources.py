@@ -27,6 +27,27 @@ def test_union_fills_a_missing_column(spark):
     assert sorted(tuple(r) for r in read_union(spark, [a, b], "x int, y string").collect()) == want
 
 
+def test_union_widens_differing_types(spark):
+    a = write_table(spark.sql("SELECT 1L AS x"), new_path(spark, "a"))
+    b = write_table(spark.sql("SELECT 2.5D AS x"), new_path(spark, "b"))
+    for schema in (None, "x double"):
+        assert sorted(r.x for r in read_union(spark, [a, b], schema).collect()) == [1.0, 2.5]
+
+
+def test_csv_keeps_quotes_line_breaks_and_blanks(spark):
+    texts = ['say "hi", ok', "two\nlines", " blank ", "back\\slash", "a,b"]
+    rows = literal_rows(spark, list(enumerate(texts)), "id int, t string")
+    back = read_csv(spark, write_csv(rows, new_path(spark, "texts")), rows.schema)
+    assert [r.t for r in back.orderBy("id").collect()] == texts
+
+
+def test_manifest_names_the_folder_on_disk(spark):
+    df = spark.createDataFrame([("a b/c", 1), ("x+y", 2), (None, 3)], "z string, v int")
+    path = write_partitions(df, "z", new_path(spark, "odd"))
+    got = {r.z: r.path for r in partition_manifest(spark, path, "z").collect()}
+    assert got == {"a b/c": "z=a b%2Fc", "x+y": "z=x+y", None: "z=__HIVE_DEFAULT_PARTITION__"}
+
+
 def test_csv_keeps_the_text_n_a(spark):
     rows = literal_rows(spark, [(1, "N/A"), (2, "Unknown")], "id int, name string")
     path = write_csv(rows, new_path(spark, "zones") + ".csv")
