@@ -11,12 +11,10 @@ in one alignment, ``matched / (a + b - matched)``, as in the Jaccard measure.
 Texts with equal words are one class from the start, and one of them stands for
 all. Texts with the same sketch form a bucket. Its members are aligned with a
 pivot from the middle of the group, those not similar to it with the next two
-pivots. So a bucket of n similar texts costs about n alignments, and all pairs
-of a bucket of up to four are tried if need be. What is left of a larger bucket
-is split by every second sketch that its members share, and goes through the
-same rounds once more. A link between two texts of a large bucket can be missed
-if none of the pivots of all their buckets is similar to both; see the README
-for what that came to.
+pivots. So a bucket of n similar texts costs about n alignments. Every bucket
+that is then still in several connected parts is settled exactly: texts can be
+similar only if they share one of their rarest k-mers, about a fifth of each
+text's. All such pairs of texts in different parts are aligned.
 """
 
 from __future__ import annotations
@@ -26,14 +24,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import cut, in_arrow, mix, text_slices, word_hashes
 from tableflow.session import new_path, write_counted
 
 K, TUPLE, SKETCHES = 5, 3, 16
-PIVOTS, DEEPEST = 4, 1
+PIVOTS = 3
 SIMILARITY = 0.8
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
@@ -219,8 +217,8 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return in_arrow(joined, run, "rep long, pivot long, similar boolean")
 
 
-def links(texts: DataFrame, numbered: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b), a above b, between rows that share a sketch.
+def links(texts: DataFrame, numbered: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b), a above b, between rows that share a sketch; and their components (node, root).
 
     ``texts``: rep and sketches of the rows to link; ``numbered``: row_no and
     text of all rows.
@@ -231,51 +229,93 @@ def links(texts: DataFrame, numbered: DataFrame, similarity: float = SIMILARITY)
     shared = cut(sketched.join(sizes.hint("merge"), "bucket"), "omh-shared")
     # A text that shares sketches with many others lies in the middle of its group and is a good pivot.
     middle = cut(shared.groupBy("rep").agg(F.sum("n").alias("c")), "omh-middle")
-    members = cut(shared.join(middle.hint("merge"), "rep").select("bucket", "rep", "c"), "omh-members")
+    members = cut(shared.join(middle.hint("merge"), "rep").select("bucket", "rep", "c", "n"), "omh-members")
     name = _words_table(numbered, middle.select("rep"))
     try:
-        return _links(spark, members, shared, spark.table(name), similarity)
+        words = spark.table(name)
+        found = _pivot_links(members, words, similarity)
+        parts = components(found)
+        more = _links_between(members, parts, words, similarity)
+        edges = parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        return found.unionByName(more), components(edges)
     finally:
         spark.sql(f"DROP TABLE {name}")
 
 
-def _links(spark: SparkSession, members: DataFrame, shared: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    found, level = [], 0
+def _pivot_links(members: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links of the members of each bucket to a first pivot, and of those without one to the next pivots."""
     order = Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("rep"), "rep")
-    while True:
-        pivots = members.withColumn("place", F.row_number().over(order)).where(F.col("place") < PIVOTS)
-        pivots = cut(pivots.select("bucket", F.col("rep").alias("pivot"), "place"), "omh-pivots")
-        left, first = members, 1
-        while first < PIVOTS:
-            some = pivots.where(F.col("place").between(first, 2 * first - 1)).select("bucket", "pivot")
-            joined = left.join(some.hint("merge"), "bucket").where("rep <> pivot")
-            joined = cut(joined.select("bucket", "rep", "pivot"), "omh-joined")
-            pairs = cut(joined.select("rep", "pivot").distinct(), "omh-pairs")
-            good = cut(_aligned(pairs, words, similarity).where("similar").select("rep", "pivot"), "omh-similar")
-            found.append(good.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")))
+    pivots = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    pivots = cut(pivots.select("bucket", F.col("rep").alias("pivot"), "place"), "omh-pivots")
+    found, left, first = [], members.select("bucket", "rep"), 1
+    while first <= PIVOTS:
+        some = pivots.where(F.col("place").between(first, 2 * first - 1)).select("bucket", "pivot")
+        joined = left.join(some.hint("merge"), "bucket").where("rep <> pivot")
+        joined = cut(joined.select("bucket", "rep", "pivot"), "omh-joined")
+        pairs = cut(joined.select("rep", "pivot").distinct(), "omh-pairs")
+        good = cut(_aligned(pairs, words, similarity).where("similar").select("rep", "pivot"), "omh-similar")
+        found.append(good.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")))
+        first *= 2
+        if first <= PIVOTS:
             done = cut(joined.join(good.hint("merge"), ["rep", "pivot"]).select("bucket", "rep").distinct(), "omh-done")
             left = cut(left.join(done.hint("merge"), ["bucket", "rep"], "left_anti"), "omh-left")
-            first *= 2
-        # All pairs of a bucket with at most PIVOTS members are tried by now; pivots have met all others.
-        tried_all = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIVOTS).select("bucket"), "omh-large")
-        rest = left.join(tried_all.hint("merge"), "bucket")
-        rest = cut(rest.join(pivots.select("bucket", F.col("pivot").alias("rep")).hint("merge"), ["bucket", "rep"], "left_anti"), "omh-rest")
-        if level == DEEPEST:
-            break
-        # What is left of a large bucket is split by the other sketches that its members share.
-        more = shared.select("rep", F.col("bucket").alias("other"))
-        rest = rest.join(more.hint("merge"), "rep").where("bucket <> other")
-        rest = rest.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"), F.lit(level)).alias("bucket"), "rep", "c").distinct()
-        path = new_path(spark, "omh-next")
-        if not write_counted(rest, path)["rows"]:
-            break
-        members, level = spark.read.schema(members.schema).parquet(path), level + 1
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
     return cut(whole.distinct(), "omh-links")
 
 
+def _text_kmers(words: DataFrame) -> DataFrame:
+    """One row per occurrence-labelled k-mer of texts of ``K`` words or more: rep, kmer, and n, how many the text has."""
+
+    def run(batches):
+        for batch in batches:
+            for rep, held in zip(batch.column("rep").to_pylist(), batch.column("words")):
+                own = np.frombuffer(held.as_buffer(), "<u4").astype(np.uint64)
+                if len(own) >= K:
+                    kmers = _kmers(own, np.array([0, len(own)]))[0].view(np.int64)
+                    n = len(kmers)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, rep, np.int64)), pa.array(kmers), pa.array(np.full(n, n, np.int64))], ["rep", "kmer", "n"]
+                    )
+
+    return in_arrow(words, run, "rep long, kmer long, n long")
+
+
+def _links_between(members: DataFrame, parts: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """All links between texts in different parts whose buckets are not yet within one part.
+
+    With the k-mers in one order, rare ones first, two texts whose similarity
+    is reached share a k-mer of their first ``n - ceil(similarity * n) + 1``.
+    """
+    named = members.join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    named = cut(named.select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part")), "omh-named-members")
+    # In a bucket of up to PIVOTS members all pairs between parts are tried by now.
+    several = named.where(F.col("n") > PIVOTS).groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    several = cut(several.where("low < high").select("bucket"), "omh-unsettled")
+    texts = cut(named.join(several.hint("merge"), "bucket").select("rep", "part").distinct(), "omh-unsettled-texts")
+    kmers = cut(_text_kmers(texts.select("rep").hint("merge").join(words, "rep")), "omh-kmers")
+    common = cut(kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "omh-common-kmers")
+    # K-mers of one text only come first and need no rows; ``place`` counts them.
+    own = Window.partitionBy("rep")
+    rare = kmers.join(common.hint("merge"), "kmer").withColumn("place", F.row_number().over(own.orderBy("holders", "kmer")) - 1)
+    rare = rare.withColumn("place", F.col("place") + F.col("n") - F.count(F.lit(1)).over(own))
+    rare = rare.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)).select("rep", "kmer", "n", "place")
+    rare = cut(rare.join(texts.hint("merge"), "rep"), "omh-rare")
+    # Members of the part that most holders of a k-mer are in meet the others only.
+    most = rare.groupBy("kmer", "part").agg(F.count(F.lit(1)).alias("held")).groupBy("kmer")
+    most = most.agg(F.max_by("part", F.struct("held", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    rare = cut(rare.join(most.where("parts > 1").drop("parts").hint("merge"), "kmer"), "omh-rare-between")
+    x, y = rare.where("part <> most").alias("x"), rare.alias("y")
+    needed = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    fits = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= needed
+    once = (F.col("y.part") == F.col("y.most")) | (F.col("x.rep") > F.col("y.rep"))
+    met = x.join(y.hint("merge"), (F.col("x.kmer") == F.col("y.kmer")) & (F.col("x.part") != F.col("y.part")) & once & fits)
+    pairs = met.select(F.greatest("x.rep", "y.rep").alias("rep"), F.least("x.rep", "y.rep").alias("pivot"))
+    good = _aligned(cut(pairs.distinct(), "omh-between"), words, similarity).where("similar")
+    return cut(good.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "omh-links-between")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): node, least node of its component. Alternating star contraction, in written rounds."""
     spark = edges.sparkSession
@@ -317,9 +357,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     equal = cut(rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")), "omh-equal")
     equal = equal.select("digest", "n", F.col("first.key").alias("key"), F.col("first.row_no").alias("rep"))
     texts = rows.select(F.col("row_no").alias("rep"), "sketches").join(equal.select("rep").hint("merge"), "rep", "left_semi")
-    found = links(texts, numbered, similarity)
+    found, roots = links(texts, numbered, similarity)
     degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    members = equal.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    members = equal.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     members = cut(members.withColumn("root", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("n_links", F.lit(0))), "omh-roots")
     whole = members.groupBy("root").agg(F.min(F.struct("key", "rep")).alias("best"), F.sum("n").alias("class_size"))
     named = members.join(cut(whole, "omh-classes").hint("merge"), "root")

@@ -186,6 +186,29 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert all(rows[k].class_id == k for k in range(301, 361))
 
 
+def test_variants_without_their_base_are_the_components_of_all_similar_pairs(spark):
+    import numpy as np
+
+    # Each edit of a base of 400 words changes K k-mers: two variants are similar by 8 to 9 edits in both together.
+    rng, texts = np.random.default_rng(3), []
+    for k in range(160):
+        words = [f"w{i}" for i in range(400)]
+        for place in rng.choice(40, int(rng.integers(3, 16)), replace=False):
+            words[10 * place + 5] = f"v{place}" if rng.random() < 0.5 else f"v{place}x{k}"
+        texts.append(" ".join(words))
+    kmers = [{hash(tuple(t[i : i + neardup.K])) for i in range(len(t) - neardup.K + 1)} for t in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(kmers[a] & kmers[b]) / len(kmers[a] | kmers[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert 40 < len(set(root)) < 140
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.root for r in neardup.components(edges).collect()}
