@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableflow.llm import binary, digest, exact, language, neardup, packing, pieces, pii, toxicity, urls
+from tableflow.llm import binary, codes, digest, exact, language, neardup, negatives, packing, pieces, pii, sharding, toxicity, urls
 from tableflow.llm.common import fold
 from tableflow.session import new_path
 
@@ -76,6 +76,28 @@ def op10_order_minhash(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op11_interleaved_shards(spark, sf_dir):
+    """All documents in 24 shards of equal row counts, each with the corpus' mixture of sources."""
+    docs = sharding.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "text_crc32")
+    dealt = sharding.interleave(docs, 24)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op12_pivot_codes(spark, sf_dir):
+    """All embeddings as codes of 16 bytes, with their errors."""
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    out = codes.with_label_error(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth embedding among all; every seventh label is moved on by one."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label=label)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_personal_data": op2_personal_data,
@@ -87,4 +109,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_order_minhash": op10_order_minhash,
+    "op11_interleaved_shards": op11_interleaved_shards,
+    "op12_pivot_codes": op12_pivot_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
