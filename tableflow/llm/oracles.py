@@ -79,7 +79,9 @@ WITH tbl AS (
          md5(concat_ws(':', '17', doc_id::VARCHAR)) AS drawn_at
   FROM documents, tbl
 ), f AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY drawn_at) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM d
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY drawn_at) - 1
+                 + (('0x' || md5(concat_ws(':', '17', source))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
+               / count(*) OVER (PARTITION BY source) AS fraction FROM d
 ), p AS (
   SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, drawn_at) - 1 AS position, count(*) OVER () AS total FROM f
 )

@@ -1,10 +1,11 @@
 """Shards that all hold the mixture of sources: proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash within their source and ranked there; a row
-at rank r of n stands at the fraction (r + 1/2) / n. All rows are sorted by
-that fraction and the order is cut into shards whose row counts differ by one
-at most. A stretch of the order holds of each source its share, give or take
-one row, so every shard matches the mixture.
+at rank r of n stands at the fraction (r + phase) / n, with a phase between 0
+and 1 from the source's name, so that sources of one size do not come in step.
+All rows are sorted by that fraction and the order is cut into shards whose row
+counts differ by one at most. A stretch of the order holds of each source its
+share, give or take one row, so every shard matches the mixture.
 
 Both sorts deal rows by ranges of the whole sort key, so a source, or a row
 repeated many times, is spread over as many tasks as its rows need. A task's
@@ -49,9 +50,10 @@ def interleave(df: DataFrame, shards: int, key: str = "doc_id", source: str = "s
 
     Row counts of shards differ by one at most; with fewer rows than shards the
     rest stay empty. Each source's count in a shard is its share of the shard,
-    give or take one row and the rounding of the cut. Rows without a source
+    give or take one row, and with its share of what the other sources lack or
+    have too much (some half of the root of their number). Rows without a source
     form a source of their own. The order depends on the seed and on the rows,
-    not on how they are stored: rows with equal keys in a source are ordered by
+    not on how they are stored. Rows with equal keys in a source are ordered by
     all their columns, and only rows equal in every column are interchangeable.
     An empty table gives an empty result. Columns of ``df`` keep their values;
     a column named ``shard`` or ``slot``, in any case, is replaced.
@@ -79,8 +81,10 @@ def interleave(df: DataFrame, shards: int, key: str = "doc_id", source: str = "s
         F.sum("n").over(all_of).alias("of_source"),
     )
     rank = F.col("before") + F.col("place") - F.col("first")
+    named = F.md5(F.concat_ws(":", F.lit(str(seed)), "stratum"))
+    phase = (F.conv(F.substring(named, 1, 8), 16, 10).cast("bigint") + 0.5) / float(1 << 32)
     fractions = ranked.join(spans, F.col("stratum").eqNullSafe(F.col("of")) & (F.col("task") == F.col("in_task"))).select(
-        "row", "stratum", ((rank + 0.5) / F.col("of_source")).alias("fraction"), "drawn_at", "content"
+        "row", "stratum", ((rank + phase) / F.col("of_source")).alias("fraction"), "drawn_at", "content"
     )
     order = [F.col("fraction"), F.col("stratum"), F.col("drawn_at"), F.col("content")]
     placed = _numbered(fractions, order, "shard-order").select("row", "task", "place")
