@@ -1,8 +1,9 @@
 """Lineage as an edge table (task_name, upstream_task_name).
 
-The graph walks run in rounds. Every round is one job that writes its result
-to the shared work folder and counts it in the same pass, so a lost executor
-costs one round and the plan never grows. The driver sees counts only.
+The graph walks run in rounds that double their reach, so a chain of n tasks
+takes log2(n) of them. Every round writes its result to the shared work folder
+and counts it in the same pass, so a lost executor costs one round and the plan
+never grows. The driver sees counts only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from tableflow.operators.joins import join_unique
 from tableflow.session import new_path, write_counted
 from tableflow.sources.sink import materialize
 
+#: Doubling a walk may make this many pairs for each edge of the graph; beyond that the walk goes on edge by edge.
+GROWTH = 8
+
 
 class Rounds:
     """Tables written one per round and read together, with the round number."""
@@ -51,13 +55,63 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("task_name").distinct().join(edges.select("task_name").distinct(), "task_name", "left_anti")
 
 
+def _composed(jumps: DataFrame) -> int:
+    """Pairs that composing the jumps with themselves would make, before any is made."""
+    into = jumps.groupBy(F.col("task_name").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+    out = jumps.groupBy(F.col("upstream_task_name").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
+    return into.join(out, "node").agg(F.sum(F.col("n_in") * F.col("n_out"))).first()[0] or 0
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    """Pairs joined by two jumps, one after the other."""
+    first = jumps.select(F.col("task_name").alias("middle"), "upstream_task_name")
+    then = jumps.select("task_name", F.col("upstream_task_name").alias("middle"))
+    return first.join(then, "middle").select("task_name", "upstream_task_name").distinct()
+
+
+def _depths(edges: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The level of every node that has one, and the nodes that have none.
+
+    ``jumps`` holds the pairs that a walk of exactly ``step`` edges joins. A
+    node's longest walk of fewer than ``2 * step`` edges is the better of the
+    one found so far and ``step`` more than that of a node one jump up, so each
+    round doubles the depth that is settled; a node that no jump reaches is
+    settled for good. On or below a cycle walks never end: what jumps as long
+    as there are nodes still reach has no level. Where doubling would make more
+    than ``GROWTH`` pairs an edge, the nodes not settled are peeled instead.
+    """
+    spark = edges.sparkSession
+    jumps, seen = materialize(edges.distinct())
+    schema = T.StructType([jumps.schema["task_name"], T.StructField("level", T.IntegerType())])
+    known = Rounds(spark, new_path(spark, "levels"), schema)
+    n_nodes = known.add(node_set(jumps, nodes).select("task_name", F.lit(1).alias("level")))["rows"]
+    first, budget, step = jumps, GROWTH * seen["rows"], 1
+    while seen["rows"] and step < n_nodes:
+        best = known.read().groupBy(F.col("task_name").alias("upstream_task_name")).agg(F.max("level").alias("level"))
+        deeper = jumps.join(best, "upstream_task_name").groupBy("task_name").agg((F.max("level") + step).alias("level"))
+        known.add(deeper)
+        if _composed(jumps) > budget:
+            open_ = jumps.select("task_name").distinct()
+            inner = join_unique(first, open_.withColumnRenamed("task_name", "upstream_task_name"), ["upstream_task_name"], "left_semi")
+            waves, stuck = peel(join_unique(inner, open_, ["task_name"], "left_semi"), open_)
+            settled = join_unique(known.read().select("task_name", "level"), open_, ["task_name"], "left_anti")
+            found = settled.unionByName(waves.select("task_name", (F.col("level") + step).alias("level")))
+            return found.groupBy("task_name").agg(F.max("level").alias("level")), stuck
+        jumps, seen = materialize(_twice(jumps))
+        step *= 2
+    stuck, _ = materialize(jumps.select("task_name").distinct())
+    found = known.read().groupBy("task_name").agg(F.max("level").alias("level"))
+    return found.join(stuck, "task_name", "left_anti"), stuck
+
+
 def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Take off the nodes without open upstreams, round by round.
 
     Answers the nodes with the round they went in, and the nodes that never
     went. A task waits with its number of open upstreams, and each edge counts
     it down once. Both meet in one combining aggregate, the only shuffle of a
-    round, and the waiting table shrinks every time.
+    round; the waiting table shrinks every time, and used edges are dropped
+    whenever half of the nodes that waited have gone.
     """
     spark = edges.sparkSession
     edges, _ = materialize(edges.distinct())
@@ -68,12 +122,17 @@ def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, D
     start = _sum_open(start)
     wait = Rounds(spark, new_path(spark, "peel"), start.schema)
     seen = wait.add(start, free=F.col("open") == 0)
+    held = seen["rows"]
     while 0 < seen["free"] < seen["rows"]:
         gone = wait.last().filter("open = 0").select(F.col("task_name").alias("upstream_task_name"))
         paid = join_unique(edges, gone, ["upstream_task_name"], "left_semi", n_unique=seen["free"])
         paid = paid.select("task_name", (-one).alias("open"))
         rest = _sum_open(wait.last().filter("open > 0").unionByName(paid))
         seen = wait.add(rest, free=F.col("open") == 0)
+        if seen["rows"] <= held / 2:
+            held = seen["rows"]
+            still = wait.last().select(F.col("task_name").alias("upstream_task_name"))
+            edges, _ = materialize(join_unique(edges, still, ["upstream_task_name"], "left_semi", n_unique=held))
     taken = wait.read().filter("open = 0").select("task_name", F.col("round").alias("level"))
     return taken, wait.last().filter("open > 0").select("task_name")
 
@@ -87,35 +146,70 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Nodes on or below a cycle have no level; see ``cycle_members``.
     """
-    return peel(edges, nodes)[0]
+    return _depths(edges, nodes)[0]
 
 
 def cycle_members(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Nodes that are never free to start: on a cycle or below one, sorted."""
-    return peel(edges, nodes)[1].orderBy("task_name")
+    return _depths(edges, nodes)[1].orderBy("task_name")
 
 
 def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """All nodes below the sources, with the length of the shortest way.
 
-    A source counts only when it is below a source itself.
+    A source counts only when it is below a source itself. After each round
+    all nodes up to ``step`` below are found and ``jumps`` holds the pairs that
+    a walk of exactly ``step`` edges joins, so a jump from every found node
+    doubles the reach. Jumps to a found node are dropped: a shortest way never
+    needs them again. Where doubling would make more than ``GROWTH`` pairs an
+    edge, the rest is walked edge by edge, on the edges not used yet.
     """
     spark = edges.sparkSession
-    edges, _ = materialize(edges.distinct())
-    first = sources.select("task_name").distinct()
-    seen = Rounds(spark, new_path(spark, "below"), first.schema)
-    frontier, size = first, None
-    while True:
-        ups = frontier.select(F.col("task_name").alias("upstream_task_name"))
-        below = join_unique(edges, ups, ["upstream_task_name"], "left_semi", n_unique=size)
-        below = below.select("task_name").distinct()
-        if seen.count:
-            below = below.join(seen.read().select("task_name"), "task_name", "left_anti")
-        size = seen.add(below)["rows"]
-        if size == 0:
+    jumps, seen = materialize(edges.distinct())
+    start = sources.select(F.col("task_name").alias("upstream_task_name")).distinct()
+    schema = T.StructType([jumps.schema["task_name"], T.StructField("distance", T.IntegerType())])
+    found = Rounds(spark, new_path(spark, "below"), schema)
+    below = join_unique(jumps, start, ["upstream_task_name"], "left_semi")
+    new = found.add(below.select("task_name").distinct().withColumn("distance", F.lit(1)))["rows"]
+    budget, step = GROWTH * seen["rows"], 1
+    jumps, seen = _unused(jumps, found, new)
+    first = jumps
+    while new and seen["rows"]:
+        reached = found.read().select(F.col("task_name").alias("upstream_task_name"), "distance")
+        ahead = jumps.join(reached, "upstream_task_name").groupBy("task_name")
+        new = found.add(ahead.agg((F.min("distance") + step).alias("distance")))["rows"]
+        step *= 2
+        if new and _composed(jumps) > budget:
+            gone = found.read().select("task_name")
+            _walk(join_unique(first, gone, ["task_name"], "left_anti"), found, step)
             break
-        frontier = seen.last()
-    return seen.read().select("task_name", F.col("round").alias("distance"))
+        jumps, seen = _unused(_twice(jumps), found, new)
+    return found.read().select("task_name", "distance")
+
+
+def _unused(jumps: DataFrame, found: Rounds, new: int) -> tuple[DataFrame, dict[str, int]]:
+    """The jumps to nodes that the last round did not find."""
+    return materialize(join_unique(jumps, found.last().select("task_name"), ["task_name"], "left_anti", n_unique=new))
+
+
+def _walk(edges: DataFrame, found: Rounds, distance: int) -> None:
+    """Add one ring after the other below the nodes at ``distance``; an edge is dropped when its lower end is found."""
+    edges, _ = materialize(edges)
+    ring = found.read().filter(F.col("distance") == distance)
+    size, since, kept = None, 0, None
+    while size != 0:
+        ups = ring.select(F.col("task_name").alias("upstream_task_name"))
+        below = join_unique(edges, ups, ["upstream_task_name"], "left_semi", n_unique=size).select("task_name").distinct()
+        if kept is not None:
+            below = join_unique(below, kept, ["task_name"], "left_anti", n_unique=since)
+        distance += 1
+        size = found.add(below.withColumn("distance", F.lit(distance)))["rows"]
+        ring = found.last()
+        kept = ring.select("task_name") if kept is None else kept.unionByName(ring.select("task_name"))
+        since += size
+        if found.count % 4 == 0:  # the rings since the last drop stay few, and so does what is written again
+            edges, _ = materialize(join_unique(edges, kept, ["task_name"], "left_anti", n_unique=since))
+            kept, since = None, 0
 
 
 def propagate_failure(edges: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tableflow.functions import chain_hash
 from tableflow.operators.joins import join_unique, lookup_state
 from tableflow.operators.lineage import Rounds, levels
-from tableflow.operators.snapshots import list_names
-from tableflow.session import drop_path, new_path
-from tableflow.sources.sink import LARGE_CACHE_BYTES
+from tableflow.session import drop_path, list_names, new_path
+from tableflow.sources.sink import LARGE_CACHE_BYTES, materialize
 
 # What a preview says about a task.
 SKIP = "skip (unchanged)"
@@ -50,8 +49,13 @@ def table_fingerprint(df: DataFrame, part: str, cols: Sequence[str]) -> DataFram
 
 
 def definition_fingerprint(defs: DataFrame) -> DataFrame:
-    """Hash of source, config and the given ``upstreams`` (an array of ``name=fingerprint``)."""
-    ups = F.transform(F.sort_array("upstreams"), lambda u: F.concat(u, F.lit("\0")))
+    """Hash of source, config and the given ``upstreams`` (an array of ``name=fingerprint``), in the order of the names.
+
+    The name ends at the last ``=``. Whole texts would sort otherwise:
+    ``part_10=`` comes before ``part_1=``, while ``part_1`` comes first.
+    """
+    named = F.transform("upstreams", lambda u: F.struct(F.regexp_replace(u, "=[^=]*$", "").alias("name"), u.alias("text")))
+    ups = F.transform(F.sort_array(named), lambda u: F.concat(u["text"], F.lit("\0")))
     head = F.concat(F.col("source"), F.lit("\0"), F.col("config"), F.lit("\0"))
     return defs.withColumn("fingerprint", F.sha2(F.concat(head, F.array_join(ups, "")), 256))
 
@@ -60,38 +64,42 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame) -> DataFrame:
     """Fingerprint of every task, where a change upstream changes everything below.
 
     ``defs`` has task_name, source and config; ``edges`` has task_name and
-    upstream_task_name. Tasks are resolved level by level, each edge is read
-    in one level only. Tasks on or below a cycle have no level and no fingerprint.
+    upstream_task_name. A hash needs those above it, so tasks are resolved
+    level by level. A resolved level hands its fingerprints along its edges to
+    folders named after the level that needs them, so every edge is written
+    and read once and no resolved level is read again. Tasks on or below a
+    cycle have no level and no fingerprint.
     """
     spark = defs.sparkSession
     edges = edges.distinct()
-    depth = levels(edges, defs.select("task_name"))
+    depth, seen = materialize(levels(edges, defs.select("task_name")))
     base = new_path(spark, "fingerprints")
     placed = defs.join(depth, "task_name")
     placed.write.partitionBy("level").parquet(f"{base}/defs")
-    placed_edges = join_unique(edges, depth, ["task_name"], "inner")
-    placed_edges.select("task_name", "upstream_task_name", "level").write.partitionBy("level").parquet(f"{base}/edges")
+    above = depth.select(F.col("task_name").alias("upstream_task_name"), F.col("level").alias("from_level"))
+    placed_edges = join_unique(edges, depth, ["task_name"], "inner", n_unique=seen["rows"])
+    placed_edges = join_unique(placed_edges, above, ["upstream_task_name"], "inner", n_unique=seen["rows"])
+    placed_edges.write.partitionBy("from_level").parquet(f"{base}/edges")
     defs_at = spark.read.schema(placed.schema).parquet(f"{base}/defs")
-    edge_schema = "task_name string, upstream_task_name string, level int"
-    edges_at = spark.read.schema(edge_schema).parquet(f"{base}/edges")
+    edges_at = spark.read.schema("task_name string, upstream_task_name string, level int, from_level int").parquet(f"{base}/edges")
 
     done = Rounds(spark, f"{base}/resolved", "task_name string, fingerprint string")
-    top, total = defs_at.agg(F.max("level")).first()[0] or 0, 0
+    top = depth.agg(F.max("level")).first()[0] or 0
     for level in range(1, top + 1):
         here = defs_at.filter(F.col("level") == level).drop("level")
-        ready = here.withColumn("upstreams", F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        ready = here.withColumn("upstreams", none)
         if level > 1:
-            known = done.read().select(
-                F.col("task_name").alias("upstream_task_name"), F.col("fingerprint").alias("up_fp")
-            )
-            mine = edges_at.filter(F.col("level") == level).drop("level")
-            named = join_unique(mine, known, ["upstream_task_name"], "inner", n_unique=total)
-            up = F.concat("upstream_task_name", F.lit("="), "up_fp")
-            lists = named.groupBy("task_name").agg(F.sort_array(F.collect_list(up)).alias("upstreams"))
-            ready = here.join(lists, "task_name", "left").withColumn(
-                "upstreams", F.coalesce("upstreams", F.array().cast("array<string>"))
-            )
-        total += done.add(definition_fingerprint(ready).select("task_name", "fingerprint"))["rows"]
+            come = spark.read.schema("task_name string, up string").parquet(f"{base}/handed/level={level}")
+            lists = come.groupBy("task_name").agg(F.collect_list("up").alias("upstreams"))
+            ready = here.join(lists, "task_name", "left").withColumn("upstreams", F.coalesce("upstreams", none))
+        size = done.add(definition_fingerprint(ready).select("task_name", "fingerprint"))["rows"]
+        if level < top:
+            known = done.last().select(F.col("task_name").alias("upstream_task_name"), F.col("fingerprint").alias("up_fp"))
+            out = edges_at.filter(F.col("from_level") == level)
+            named = join_unique(out, known, ["upstream_task_name"], "inner", n_unique=size)
+            named = named.select("task_name", F.concat("upstream_task_name", F.lit("="), "up_fp").alias("up"), "level")
+            named.write.mode("append").partitionBy("level").parquet(f"{base}/handed")
     return done.read().drop("round")
 
 

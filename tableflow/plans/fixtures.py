@@ -240,6 +240,22 @@ def named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chain through all parts: part p depends on part p - 1."""
+    return part_nodes(spark, sf_dir).selectExpr("task_name", "task_name - 1 AS upstream_task_name").filter("upstream_task_name > 0")
+
+
+def prefix_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part p depends on p div 2 and p div 20: the name of one upstream begins with that of the other."""
+    return (
+        part_nodes(spark, sf_dir)
+        .selectExpr("task_name", "explode(array(task_name div 2, task_name div 20)) AS upstream_task_name")
+        .filter("upstream_task_name > 0")
+        .distinct()
+        .selectExpr("concat('part_', task_name) AS task_name", "concat('part_', upstream_task_name) AS upstream_task_name")
+    )
+
+
 def cyclic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph with some edges turned back: node p div 2 also depends on p."""
     back = part_nodes(spark, sf_dir).filter("task_name % 50 = 7").selectExpr(

@@ -215,10 +215,10 @@ BELOW = """WITH RECURSIVE {views}, below AS (
     SELECT e.task_name FROM {edges} e JOIN below b ON e.upstream_task_name = b.task_name)"""
 
 
-def propagated_sql(depth: int = 22) -> str:
+def propagated_sql(edges: str, depth: int = 22) -> str:
     """Fingerprints resolved level by level; a level holds the keys of one bit length."""
     parts = [
-        f"{DEFS}, {EDGES}",
+        f"{DEFS}, {edges}",
         "f1 AS (SELECT p_partkey, task_name, sha256(source || chr(0) || config || chr(0)) AS fingerprint"
         " FROM defs WHERE p_partkey < 2)",
     ]
@@ -227,7 +227,7 @@ def propagated_sql(depth: int = 22) -> str:
             f"f{k} AS (SELECT * FROM f{k - 1} UNION ALL"
             f" SELECT d.p_partkey, d.task_name, sha256(any_value(d.source) || chr(0) || any_value(d.config)"
             f" || chr(0) || string_agg(u.task_name || '=' || u.fingerprint || chr(0), ''"
-            f" ORDER BY u.task_name || '=' || u.fingerprint))"
+            f" ORDER BY u.task_name))"
             f" FROM defs d JOIN edges e ON e.task_name = d.p_partkey"
             f" JOIN f{k - 1} u ON u.p_partkey = e.upstream_task_name"
             f" WHERE d.p_partkey >= {2 ** (k - 1)} AND d.p_partkey < {2 ** k} GROUP BY 1, 2)"
@@ -468,7 +468,11 @@ ORACLES: dict[str, str] = {
     "fp_definitions": f"""WITH {DEFS}
         SELECT task_name, sha256(source || chr(0) || config || chr(0) || 'a=' || source || chr(0)
                || 'size=' || CAST(p_size AS VARCHAR) || chr(0)) AS fingerprint FROM defs""",
-    "fp_propagated": propagated_sql(),
+    "fp_propagated": propagated_sql(EDGES),
+    "fp_prefix_names": propagated_sql("""edges AS (
+          SELECT DISTINCT task_name, upstream_task_name FROM (
+            SELECT p_partkey AS task_name, unnest([p_partkey // 2, p_partkey // 20]) AS upstream_task_name FROM part)
+          WHERE upstream_task_name > 0)"""),
     "snap_diff": f"""WITH {STATE_RUNS}
         SELECT {RUN_COLS}, 'removed' AS change, CAST(count(*) AS BIGINT) AS copies
         FROM state_runs WHERE status = 'skipped' GROUP BY ALL""",
@@ -499,6 +503,8 @@ ORACLES: dict[str, str] = {
           UNION
           SELECT e.task_name, w.distance + 1 FROM walk w JOIN edges e ON e.upstream_task_name = w.task_name)
         SELECT task_name, min(distance) AS distance FROM walk GROUP BY 1""",
+    "lineage_deep_levels": "SELECT p_partkey AS task_name, greatest(p_partkey, 1) AS level FROM part",
+    "lineage_deep_descendants": "SELECT p_partkey AS task_name, p_partkey - 10 AS distance FROM part WHERE p_partkey > 10",
     "lineage_failure": BELOW.format(
         views=f"""{EDGES}, outcomes AS (
           SELECT p_partkey AS task_name, CASE WHEN p_partkey % 97 = 30 THEN 'failed'

@@ -440,6 +440,12 @@ def fp_propagated(spark, sf_dir):
     return refresh.propagate_fingerprints(defs, fx.named_edges(spark, sf_dir))
 
 
+def fp_prefix_names(spark, sf_dir):
+    """Fingerprints where every task has upstreams such as ``part_1`` and ``part_10``."""
+    defs = fx.part_defs(spark, sf_dir).select("task_name", "source", "config")
+    return refresh.propagate_fingerprints(defs, fx.prefix_edges(spark, sf_dir))
+
+
 # ---- snapshots -------------------------------------------------------------------
 
 
@@ -513,6 +519,17 @@ def lineage_descendants(spark, sf_dir):
     return lineage.descendants(fx.part_edges(spark, sf_dir), start)
 
 
+def lineage_deep_levels(spark, sf_dir):
+    """Levels of a chain through all parts: as deep as the table is long."""
+    return lineage.levels(fx.chain_edges(spark, sf_dir), fx.part_nodes(spark, sf_dir))
+
+
+def lineage_deep_descendants(spark, sf_dir):
+    """Everything below the tenth part of that chain."""
+    start = fx.part_nodes(spark, sf_dir).filter("task_name = 10")
+    return lineage.descendants(fx.chain_edges(spark, sf_dir), start)
+
+
 def lineage_failure(spark, sf_dir):
     return lineage.propagate_failure(fx.part_edges(spark, sf_dir), fx.part_outcomes(spark, sf_dir))
 
@@ -597,11 +614,12 @@ QUERIES: dict[str, Query] = {
             merge_insert_absent, merge_anti_insert, merge_replace_key, merge_upsert_latest,
             merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted,
             fp_table, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
-            hash_chain, fp_definitions, fp_propagated,
+            hash_chain, fp_definitions, fp_propagated, fp_prefix_names,
             snap_diff,
             merge_first_runs, merge_first_cache, merge_first_prints, merge_first_lineage,
             pii_profile, pii_scan, pii_triage, pii_triage_hint, pii_triage_clean, pii_documents, non_null_counts,
-            lineage_levels, lineage_roots, lineage_descendants, lineage_failure, lineage_cycles,
+            lineage_levels, lineage_roots, lineage_descendants, lineage_deep_levels,
+            lineage_deep_descendants, lineage_failure, lineage_cycles,
             lineage_adjacency, lineage_upstreams, lineage_resume, lineage_duplicates,
             cost_per_run, cost_rollup, stream_absorb,
         )

@@ -61,6 +61,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none when it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_counted(df: DataFrame, path: str, **counts) -> dict[str, int]:
     """Write Parquet and return the row count (and more counts) of the same pass."""
     watch = Observation()

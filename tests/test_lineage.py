@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,64 @@ def test_no_edges_and_no_sources(spark):
     assert lineage.descendants(edges_of(spark, DIAMOND), names_of(spark, [])).count() == 0
 
 
+def plain_walks(pairs, nodes, sources):
+    """Levels, nodes without one, and distances below the sources, in plain Python."""
+    ups, below = {}, {}
+    for task, up in set(pairs):
+        ups.setdefault(task, set()).add(up)
+        below.setdefault(up, set()).add(task)
+    level, names = {}, set(nodes) | {n for pair in pairs for n in pair}
+    while True:
+        free = [n for n in names - set(level) if ups.get(n, set()) <= set(level)]
+        if not free:
+            break
+        level.update({n: 1 + max((level[u] for u in ups.get(n, ())), default=0) for n in free})
+    distance, ring, step = {}, set(sources), 0
+    while ring:
+        step += 1
+        ring = {t for n in ring for t in below.get(n, ())} - set(distance)
+        distance.update({n: step for n in ring})
+    return level, names - set(level), distance
+
+
+@pytest.mark.parametrize("growth", [0, 8])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walks_equal_brute_force(spark, monkeypatch, growth, seed):
+    monkeypatch.setattr(lineage, "GROWTH", growth)
+    rng = random.Random(seed)
+    names = [f"n{i:02}" for i in range(40)]
+    pairs = [(names[i], names[rng.randrange(max(0, i - 6), i)]) for i in range(1, 40) for _ in range(2)]
+    if seed > 1:  # some cycles, one of them a task that waits for itself
+        pairs += [(names[20], names[30]), ("loop", "loop"), ("after", "loop")]
+    nodes, sources = [*names, "alone"], rng.sample(names, 3)
+    level, stuck, distance = plain_walks(pairs, nodes, sources)
+    edges = edges_of(spark, pairs)
+    assert {r.task_name: r.level for r in lineage.levels(edges, names_of(spark, nodes)).collect()} == level
+    assert {r.task_name for r in lineage.cycle_members(edges, names_of(spark, nodes)).collect()} == stuck
+    got = lineage.descendants(edges, names_of(spark, sources)).collect()
+    assert {r.task_name: r.distance for r in got} == distance and len(got) == len(distance)
+
+
+def test_a_long_chain_takes_few_rounds_over_fewer_and_fewer_pairs(spark, monkeypatch):
+    chain = spark.range(1, 2000).selectExpr("id AS task_name", "id - 1 AS upstream_task_name")
+    rounds, sizes = [], []
+    add, materialize = lineage.Rounds.add, lineage.materialize
+    monkeypatch.setattr(lineage.Rounds, "add", lambda self, *a, **k: rounds.append(1) or add(self, *a, **k))
+
+    def counted(df, *a):
+        table, seen = materialize(df, *a)
+        sizes.append(seen["rows"])
+        return table, seen
+
+    monkeypatch.setattr(lineage, "materialize", counted)
+    got = {r.task_name: r.distance for r in lineage.descendants(chain, spark.range(1).toDF("task_name")).collect()}
+    assert got == {i: i for i in range(1, 2000)}
+    assert len(rounds) <= 15 and len(sizes) <= 15 and sizes == sorted(sizes, reverse=True) and sizes[-1] == 0
+    rounds.clear()
+    got = {r.task_name: r.level for r in lineage.levels(chain).collect()}
+    assert got == {i: i + 1 for i in range(2000)} and len(rounds) <= 15
+
+
 def combine(*parts):
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()
 
@@ -71,6 +130,14 @@ def test_fingerprints_chain_downstream(spark):
     assert {n for n in base if base[n] != other[n]} == {"double", "load"}
 
 
+def test_upstreams_are_in_the_order_of_their_names(spark):
+    base = prints_of(spark, edges=[("end", "part_10"), ("end", "part_1"), ("end", "part-1")])
+    ups = [f"{n}={base[n]}" for n in ("part-1", "part_1", "part_10")]
+    assert base["end"] == combine("src end", "cfg", *ups)
+    defs = spark.createDataFrame([("t", "s", "c", list(reversed(ups)))], "task_name string, source string, config string, upstreams array<string>")
+    assert refresh.definition_fingerprint(defs).first().fingerprint == combine("s", "c", *ups)
+
+
 def test_hub_fingerprint_sees_every_upstream(spark):
     wide = [("hub", f"u{i:03}") for i in range(60)] + [("end", "hub")]
     base = prints_of(spark, edges=wide)
