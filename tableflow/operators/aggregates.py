@@ -15,7 +15,7 @@ from tableflow.functions import (
     as_date, cents, day_start, hour_of, matches, mean, modulo, money_sum, total,
 )
 from tableflow.operators.clean import clean_positive, equals, maybe_equals
-from tableflow.session import is_small
+from tableflow.operators.joins import is_small
 
 # The statuses that count as a failure.
 FAILURES = ["failed", "upstream_failed", "oom"]
@@ -55,17 +55,17 @@ def by_hour(df: DataFrame, ts: str) -> DataFrame:
     return df.groupBy(hour_of(F.col(ts)).alias("hour")).agg(n_rows().alias("trip_count"))
 
 
-def borough_day(trips: DataFrame, zones: DataFrame, max_zones: int = 200_000) -> DataFrame:
+def borough_day(trips: DataFrame, zones: DataFrame, small_bytes: int | None = None) -> DataFrame:
     """Trips and revenue per borough and day.
 
-    With few zones (counted) the lookup is broadcast and trips are not
-    shuffled before the aggregate. Otherwise trips are summed per zone and
-    day first, so that a busy zone joins as one row per day.
+    Zones read from small tables are broadcast and trips are not shuffled
+    before the aggregate. Otherwise trips are summed per zone and day first,
+    so that a busy zone joins as one row per day.
     """
     zone = zones.select(F.col("location_id").alias("pu_location_id"), "borough")
     day = day_start(F.col("pickup_ts")).alias("day")
     count, fare = n_rows().alias("trips"), F.col("fare_amount")
-    if is_small(zone, max_zones):
+    if is_small(zone, small_bytes):
         found = trips.join(F.broadcast(zone), "pu_location_id")
         return found.groupBy("borough", day).agg(count, money_sum(fare).alias("revenue"))
     cells = trips.groupBy("pu_location_id", day).agg(count, total(fare).alias("fare"))

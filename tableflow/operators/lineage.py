@@ -125,14 +125,14 @@ def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, D
     held = seen["rows"]
     while 0 < seen["free"] < seen["rows"]:
         gone = wait.last().filter("open = 0").select(F.col("task_name").alias("upstream_task_name"))
-        paid = join_unique(edges, gone, ["upstream_task_name"], "left_semi", n_unique=seen["free"])
+        paid = join_unique(edges, gone, ["upstream_task_name"], "left_semi")
         paid = paid.select("task_name", (-one).alias("open"))
         rest = _sum_open(wait.last().filter("open > 0").unionByName(paid))
         seen = wait.add(rest, free=F.col("open") == 0)
         if seen["rows"] <= held / 2:
             held = seen["rows"]
             still = wait.last().select(F.col("task_name").alias("upstream_task_name"))
-            edges, _ = materialize(join_unique(edges, still, ["upstream_task_name"], "left_semi", n_unique=held))
+            edges, _ = materialize(join_unique(edges, still, ["upstream_task_name"], "left_semi"))
     taken = wait.read().filter("open = 0").select("task_name", F.col("round").alias("level"))
     return taken, wait.last().filter("open > 0").select("task_name")
 
@@ -172,7 +172,7 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
     below = join_unique(jumps, start, ["upstream_task_name"], "left_semi")
     new = found.add(below.select("task_name").distinct().withColumn("distance", F.lit(1)))["rows"]
     budget, step = GROWTH * seen["rows"], 1
-    jumps, seen = _unused(jumps, found, new)
+    jumps, seen = _unused(jumps, found)
     first = jumps
     while new and seen["rows"]:
         reached = found.read().select(F.col("task_name").alias("upstream_task_name"), "distance")
@@ -183,33 +183,32 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
             gone = found.read().select("task_name")
             _walk(join_unique(first, gone, ["task_name"], "left_anti"), found, step)
             break
-        jumps, seen = _unused(_twice(jumps), found, new)
+        jumps, seen = _unused(_twice(jumps), found)
     return found.read().select("task_name", "distance")
 
 
-def _unused(jumps: DataFrame, found: Rounds, new: int) -> tuple[DataFrame, dict[str, int]]:
+def _unused(jumps: DataFrame, found: Rounds) -> tuple[DataFrame, dict[str, int]]:
     """The jumps to nodes that the last round did not find."""
-    return materialize(join_unique(jumps, found.last().select("task_name"), ["task_name"], "left_anti", n_unique=new))
+    return materialize(join_unique(jumps, found.last().select("task_name"), ["task_name"], "left_anti"))
 
 
 def _walk(edges: DataFrame, found: Rounds, distance: int) -> None:
     """Add one ring after the other below the nodes at ``distance``; an edge is dropped when its lower end is found."""
     edges, _ = materialize(edges)
     ring = found.read().filter(F.col("distance") == distance)
-    size, since, kept = None, 0, None
+    size, kept = None, None
     while size != 0:
         ups = ring.select(F.col("task_name").alias("upstream_task_name"))
-        below = join_unique(edges, ups, ["upstream_task_name"], "left_semi", n_unique=size).select("task_name").distinct()
+        below = join_unique(edges, ups, ["upstream_task_name"], "left_semi").select("task_name").distinct()
         if kept is not None:
-            below = join_unique(below, kept, ["task_name"], "left_anti", n_unique=since)
+            below = join_unique(below, kept, ["task_name"], "left_anti")
         distance += 1
         size = found.add(below.withColumn("distance", F.lit(distance)))["rows"]
         ring = found.last()
         kept = ring.select("task_name") if kept is None else kept.unionByName(ring.select("task_name"))
-        since += size
         if found.count % 4 == 0:  # the rings since the last drop stay few, and so does what is written again
-            edges, _ = materialize(join_unique(edges, kept, ["task_name"], "left_anti", n_unique=since))
-            kept, since = None, 0
+            edges, _ = materialize(join_unique(edges, kept, ["task_name"], "left_anti"))
+            kept = None
 
 
 def propagate_failure(edges: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -11,14 +11,13 @@ import time
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableflow.operators import snapshots as snap
 from tableflow.operators.history import TABLES
-from tableflow.operators.joins import delta_keys, join_unique, replace_rows, unseen
+from tableflow.operators.joins import as_typed, delta_keys, replace_rows, touched, unseen, untouched
 from tableflow.operators.windows import latest_per_key
-from tableflow.session import count_up_to
+from tableflow.session import drop_path, list_names, path_exists
 
 BATCH = "batch_id"
 
@@ -51,18 +50,21 @@ def insert_if_absent(
     return target.unionByName(new_rows(target, delta, keys, order))
 
 
-def replace_by_key(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows of a key are replaced by those of its newest batch.
+def newest_batch(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of each key's newest batch.
 
     The newest batch per key is a combining aggregate, joined back as one row
     per key, so a key with very many rows is never gathered.
     """
     if BATCH not in delta.columns:
-        return replace_rows(target, delta.select(*target.columns), keys)
+        return delta
     newest = delta.groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
-    n = count_up_to(newest)
-    fresh = join_unique(delta, newest, [*keys, BATCH], "left_semi", n_unique=n)
-    return replace_rows(target, fresh.select(*target.columns), keys, n_keys=n)
+    return delta.join(newest, [*keys, BATCH], "left_semi")
+
+
+def replace_by_key(target: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of a key are replaced by those of its newest batch."""
+    return replace_rows(target, newest_batch(delta, keys), keys)
 
 
 def upsert_latest(
@@ -73,11 +75,8 @@ def upsert_latest(
     Target rows of keys that the delta does not touch stay as they are, however
     large the delta is.
     """
-    keys = list(keys)
-    touched, rows = delta_keys(delta, keys), delta.select(*target.columns)
-    rivals = target.join(touched, keys, "left_semi").unionByName(rows)
-    kept = target.join(touched, keys, "left_anti").select(*target.columns)
-    return kept.unionByName(latest_per_key(rivals, keys, order))
+    rivals = touched(target, delta, keys).unionByName(delta.select(*target.columns))
+    return untouched(target, delta, keys).unionByName(latest_per_key(rivals, keys, order))
 
 
 def merge_conflicts(task_runs: DataFrame) -> DataFrame:
@@ -112,66 +111,110 @@ def absorb(targets: Mapping[str, DataFrame], deltas: Mapping[str, DataFrame]) ->
     return {n: merge_table(n, t, deltas[n]) if n in deltas else t for n, t in targets.items()}
 
 
+def absorb_folders(spark: SparkSession, base: str, pending_: str, out: str) -> dict[str, list[str]]:
+    """Merge what waits for all run tables in one call: ``base`` and ``pending_`` have one folder per table.
+
+    Every merged table is written plainly to its folder below ``out``, which
+    has to be a new one; ``base`` and the batches are left alone, so a call
+    that failed half way is simply made again. Answers the batches merged.
+    """
+    merged = {}
+    for name, columns in TABLES.items():
+        target = spark.read.schema(columns).parquet(f"{base}/{name}")
+        batches = pending(spark, f"{pending_}/{name}")
+        if batches:
+            target = merge_table(name, target, read_deltas(spark, name, f"{pending_}/{name}", batches))
+        target.write.parquet(f"{out}/{name}")
+        merged[name] = batches
+    return merged
+
+
 def batch_id() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
 
 
-def write_delta(rows: DataFrame, folder: str) -> str:
+def write_delta(rows: DataFrame, folder: str, name: str | None = None) -> str:
     """Add one batch to the pending folder and return its name.
 
-    Batches never share a file, so no lock is needed. The entry in ``ready``
-    comes last: readers follow these entries and never see half a batch.
+    A batch is one folder that Spark commits as a whole; batches never share a
+    file, so no lock is needed.
     """
-    name = batch_id()
-    rows.withColumn(BATCH, F.lit(name)).write.parquet(f"{folder}/data/{name}")
-    snap.create_once(rows.sparkSession, f"{folder}/ready", f"{name}.json", {BATCH: name})
+    name = name or batch_id()
+    rows.write.parquet(f"{folder}/{BATCH}={name}")
     return name
 
 
 def pending(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the complete batches that wait in a folder."""
-    return [entry.removesuffix(".json") for entry in snap.list_names(spark, f"{folder}/ready")]
+    """Names of the complete batches that wait in a folder; Spark marks a folder as complete when it commits it."""
+    names = [n.removeprefix(f"{BATCH}=") for n in list_names(spark, folder) if n.startswith(f"{BATCH}=")]
+    return [n for n in names if path_exists(spark, f"{folder}/{BATCH}={n}/_SUCCESS")]
 
 
 def read_deltas(spark: SparkSession, name: str, folder: str, batches: Sequence[str]) -> DataFrame:
     """The rows of some batches, with their batch name."""
-    return spark.read.schema(f"{TABLES[name]}, {BATCH} string").parquet(*[f"{folder}/data/{b}" for b in batches])
+    reader = spark.read.schema(f"{TABLES[name]}, {BATCH} string").option("basePath", folder)
+    return reader.parquet(*[f"{folder}/{BATCH}={b}" for b in batches])
+
 
+def store_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int, dealt: bool = False) -> DataFrame:
+    """Write a table to ``path`` in sorted buckets of its key, under a name in Spark's catalog.
 
-def absorb_into(
-    spark: SparkSession, name: str, table: str, delta: DataFrame, note: str, tries: int = 5
-) -> int | None:
-    """Merge a delta into a stored run table; an empty change makes no snapshot.
+    A join on the key then reads it bucket by bucket and shuffles the other
+    side only. ``dealt`` says that the rows already come one bucket per task.
+    """
+    rows = df if dealt else df.repartition(buckets, *keys)
+    writer = rows.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def merge_bucketed(name: str, target: DataFrame, delta: DataFrame, buckets: int) -> DataFrame:
+    """As ``merge_table`` for a target stored by ``store_bucketed``: one scan of it, and no shuffle above that scan.
 
-    Insert-only tables add just the new rows, the others publish a new
-    generation. If somebody else commits meanwhile, the merge starts over.
+    The delta comes down to one row per key (or to its newest batches) and is
+    dealt to the buckets, where it meets the rows of its keys.
     """
     rule, keys, when = RULES[name]
-    while True:
-        base = snap.latest(spark, table)
-        target = snap.read_as_of(spark, table, base) if base else spark.createDataFrame([], TABLES[name])
-        if rule == "insert":
-            mode, change = "append", new_rows(target, delta, keys, _order(delta, keys, when))
-        else:
-            mode, change = "replace", merge_table(name, target, delta)
-        try:
-            return snap.commit(spark, table, change, "merge", note, mode, expect=base)
-        except snap.CommitConflict:
-            tries -= 1
-            if not tries:
-                raise
-
-
-def compact(spark: SparkSession, name: str, table: str, folder: str) -> list[str]:
-    """Fold every pending batch into the table, publish, then drop the folded batches."""
+    columns = target.columns
+    delta = as_typed(delta, target, keys)
+    if rule == "replace":
+        fresh = newest_batch(delta, keys).select(*columns).repartition(buckets, *keys)
+        kept = target.hint("merge").join(delta_keys(delta, keys).hint("merge"), keys, "left_anti")
+        return kept.select(*columns).unionByName(fresh)
+    if rule == "insert":
+        best = first_per_key(delta, keys, _order(delta, keys, when))
+        old = target.select(*keys, F.struct(*columns).alias("old"))
+    else:
+        order = [when, "fingerprint"]
+        best = latest_per_key(delta.select(*columns), keys, order)
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order]))
+        old = target.select(*keys, F.struct(*columns).alias("old"), nth.alias("nth"))
+    new = best.select(*keys, F.struct(*columns).alias("new"))
+    both = old.hint("merge").join(new.hint("merge"), keys, "full")
+    if rule == "insert":
+        return both.select(F.coalesce("old", "new").alias("row")).select("row.*")
+    later = F.struct(*[F.col(f"new.{c}") for c in order]) > F.struct(*[F.col(f"old.{c}") for c in order])
+    row = F.when(F.col("old").isNull() | later, F.col("new")).otherwise(F.col("old"))
+    return both.where("new IS NULL OR coalesce(nth, 1) = 1").select(row.alias("row")).select("row.*")
+
+
+def compact(
+    spark: SparkSession, name: str, table: str, folder: str, new_table: str, path: str, buckets: int
+) -> list[str]:
+    """Fold every pending batch of ``folder`` into a bucketed table, as a new one at ``path``; answers the batches folded.
+
+    The result is a plain bucketed write to a folder that the caller names, so
+    readers of the old table are not disturbed. The folded batches are dropped
+    once it stands. With nothing pending nothing is written.
+    """
     batches = pending(spark, folder)
     if not batches:
         return []
     delta = read_deltas(spark, name, folder, batches)
-    absorb_into(spark, name, table, delta, f"compact {len(batches)} deltas")
+    merged = merge_bucketed(name, spark.table(table), delta, buckets)
+    store_bucketed(merged, new_table, path, RULES[name][1], buckets, dealt=True)
     for b in batches:
-        snap.drop_path(spark, f"{folder}/ready/{b}.json")
-        snap.drop_path(spark, f"{folder}/data/{b}")
+        drop_path(spark, f"{folder}/{BATCH}={b}")
     return batches
 
 

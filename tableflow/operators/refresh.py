@@ -72,13 +72,13 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame) -> DataFrame:
     """
     spark = defs.sparkSession
     edges = edges.distinct()
-    depth, seen = materialize(levels(edges, defs.select("task_name")))
+    depth, _ = materialize(levels(edges, defs.select("task_name")))
     base = new_path(spark, "fingerprints")
     placed = defs.join(depth, "task_name")
     placed.write.partitionBy("level").parquet(f"{base}/defs")
     above = depth.select(F.col("task_name").alias("upstream_task_name"), F.col("level").alias("from_level"))
-    placed_edges = join_unique(edges, depth, ["task_name"], "inner", n_unique=seen["rows"])
-    placed_edges = join_unique(placed_edges, above, ["upstream_task_name"], "inner", n_unique=seen["rows"])
+    placed_edges = join_unique(edges, depth, ["task_name"], "inner")
+    placed_edges = join_unique(placed_edges, above, ["upstream_task_name"], "inner")
     placed_edges.write.partitionBy("from_level").parquet(f"{base}/edges")
     defs_at = spark.read.schema(placed.schema).parquet(f"{base}/defs")
     edges_at = spark.read.schema("task_name string, upstream_task_name string, level int, from_level int").parquet(f"{base}/edges")
@@ -93,11 +93,11 @@ def propagate_fingerprints(defs: DataFrame, edges: DataFrame) -> DataFrame:
             come = spark.read.schema("task_name string, up string").parquet(f"{base}/handed/level={level}")
             lists = come.groupBy("task_name").agg(F.collect_list("up").alias("upstreams"))
             ready = here.join(lists, "task_name", "left").withColumn("upstreams", F.coalesce("upstreams", none))
-        size = done.add(definition_fingerprint(ready).select("task_name", "fingerprint"))["rows"]
+        done.add(definition_fingerprint(ready).select("task_name", "fingerprint"))
         if level < top:
             known = done.last().select(F.col("task_name").alias("upstream_task_name"), F.col("fingerprint").alias("up_fp"))
             out = edges_at.filter(F.col("from_level") == level)
-            named = join_unique(out, known, ["upstream_task_name"], "inner", n_unique=size)
+            named = join_unique(out, known, ["upstream_task_name"], "inner")
             named = named.select("task_name", F.concat("upstream_task_name", F.lit("="), "up_fp").alias("up"), "level")
             named.write.mode("append").partitionBy("level").parquet(f"{base}/handed")
     return done.read().drop("round")

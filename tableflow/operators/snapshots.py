@@ -1,123 +1,9 @@
-"""Versioned tables on plain Parquet.
-
-A table is a folder with ``data/<part>`` folders written by Spark and a
-``log/<n>.json`` entry per commit. Readers follow the log only, so a write that
-failed half way is never seen, and published files are never overwritten.
-
-A log entry appears whole or not at all: it is written under a private name
-and then renamed without overwriting. The shared file system must rename
-atomically, as HDFS and POSIX ones do.
-"""
+"""What changed between two versions of a table."""
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-from datetime import datetime, timezone
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tableflow.session import drop_path, write_counted
-
-LOG = (
-    "snapshot_id bigint, snapshot_time timestamp_ntz, author string, commit_message string,"
-    " mode string, part string, n_rows bigint, table_schema string"
-)
-
-
-class CommitConflict(RuntimeError):
-    """Somebody else committed since the table was read."""
-
-
-def commit(
-    spark: SparkSession,
-    table: str,
-    df: DataFrame,
-    author: str,
-    message: str,
-    mode: str = "append",
-    expect: int | None = None,
-    time: datetime | None = None,
-) -> int | None:
-    """Publish one change as one snapshot and return its number.
-
-    ``append`` adds rows; any number of writers may append at once. ``replace``
-    puts a new generation in place of all rows. With ``expect`` (0 for "no
-    table yet") the commit is refused when another one came in between. An
-    append of no rows, or a replacement equal to none by none, makes no snapshot.
-    """
-    part = uuid.uuid4().hex
-    n = write_counted(df, f"{table}/data/{part}")["rows"]
-    if n == 0 and (mode == "append" or not _parts(_entries(spark, table))):
-        drop_path(spark, f"{table}/data/{part}")
-        return None
-    entry = {"author": author, "commit_message": message, "mode": mode, "part": part, "n_rows": n}
-    return _publish(spark, table, entry, df.schema, expect, time)
-
-
-def add_column(
-    spark: SparkSession, table: str, name: str, kind: str, author: str = "schema"
-) -> int | None:
-    """Add a column if absent. Old rows read NULL; no data file is touched."""
-    schema = table_schema(spark, table)
-    if name in schema.names:
-        return None
-    wider = T.StructType(schema.fields + T.StructType.fromDDL(f"`{name}` {kind}").fields)
-    entry = {"author": author, "commit_message": f"add column {name}", "mode": "schema"}
-    return _publish(spark, table, entry, wider, latest(spark, table), None)
-
-
-def snapshots(spark: SparkSession, table: str) -> DataFrame:
-    """All commits in order."""
-    log = spark.read.schema(LOG).json(f"{table}/log/*.json")
-    return log.select("snapshot_id", "snapshot_time", "author", "commit_message").orderBy("snapshot_id")
-
-
-def latest(spark: SparkSession, table: str) -> int:
-    """Number of the newest snapshot, 0 for a table without any."""
-    return max((int(n[:-5]) for n in list_names(spark, f"{table}/log") if n.endswith(".json")), default=0)
-
-
-def read_as_of(spark: SparkSession, table: str, snapshot_id: int | None = None) -> DataFrame:
-    """The table as it was right after a commit; the newest one by default."""
-    entries = [e for e in _entries(spark, table) if snapshot_id is None or e.snapshot_id <= snapshot_id]
-    if not entries:
-        raise ValueError(f"no snapshot {snapshot_id} in {table}")
-    return _read_parts(spark, table, _parts(entries), _schema(entries))
-
-
-def find_snapshot(spark: SparkSession, table: str, message: str) -> int:
-    """First snapshot with this message."""
-    hits = snapshots(spark, table).filter(F.col("commit_message") == message)
-    found = hits.agg(F.min("snapshot_id")).first()[0]
-    if found is None:
-        raise ValueError(f"no snapshot with the message {message!r} in {table}")
-    return found
-
-
-def table_schema(spark: SparkSession, table: str) -> T.StructType:
-    return _schema(_entries(spark, table))
-
-
-def snapshot_diff(spark: SparkSession, table: str, a: int, b: int) -> DataFrame:
-    """Rows that snapshot ``b`` adds to or lacks from ``a``, with their number of copies.
-
-    Files that both versions share cancel out unread, so comparing two
-    versions of an append-only table reads the appended files only. The rest
-    is one aggregate of +1 and -1 over all columns.
-    """
-    entries = _entries(spark, table)
-    old = _parts([e for e in entries if e.snapshot_id <= a])
-    new = _parts([e for e in entries if e.snapshot_id <= b])
-    schema = _schema([e for e in entries if e.snapshot_id <= max(a, b)])
-    shared = set(old) & set(new)
-    left = _read_parts(spark, table, [p for p in old if p not in shared], schema)
-    right = _read_parts(spark, table, [p for p in new if p not in shared], schema)
-    return rows_diff(left, right)
 
 
 def rows_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -131,101 +17,3 @@ def rows_diff(left: DataFrame, right: DataFrame) -> DataFrame:
         .withColumn("copies", F.abs("_n"))
         .drop("_n")
     )
-
-
-def list_names(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder, sorted; none when it does not exist."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(target)]
-    return sorted(n for n in names if not n.startswith((".", "_")))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def _entries(spark: SparkSession, table: str) -> list:
-    """The commit log: one small row per commit."""
-    if not list_names(spark, f"{table}/log"):
-        return []
-    log = spark.read.schema(LOG).json(f"{table}/log/*.json").collect()
-    return sorted(log, key=lambda e: e.snapshot_id)
-
-
-def _parts(entries: list) -> list[str]:
-    """Data folders that make up the table after these commits."""
-    parts: list[str] = []
-    for e in entries:
-        if e.mode == "replace":
-            parts = []
-        if e.part:
-            parts.append(e.part)
-    return parts
-
-
-def _schema(entries: list) -> T.StructType:
-    return T.StructType.fromJson(json.loads(entries[-1].table_schema))
-
-
-def _read_parts(spark: SparkSession, table: str, parts: list[str], schema: T.StructType) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{table}/data/{p}" for p in parts])
-
-
-def _publish(spark, table, entry, schema, expect, time) -> int:
-    """Write the log entry under the next free number."""
-    when = time or datetime.now(timezone.utc).replace(tzinfo=None)
-    while True:
-        entries = _entries(spark, table)
-        number = entries[-1].snapshot_id + 1 if entries else 1
-        if expect is not None and number != expect + 1:
-            raise CommitConflict(f"{table} is at {number - 1}, expected {expect}")
-        if entries:
-            known = _schema(entries)
-            extra = [f for f in schema.fields if f.name not in known.names]
-            schema = T.StructType(known.fields + extra)
-        row = {
-            "snapshot_id": number,
-            "snapshot_time": when.isoformat(timespec="microseconds"),
-            **entry,
-            "table_schema": schema.json(),
-        }
-        if create_once(spark, f"{table}/log", f"{number:012d}.json", row):
-            return number
-
-
-def create_once(spark: SparkSession, folder: str, name: str, row: dict) -> bool:
-    """Create a file with its whole content, or report that the name is taken."""
-    text = json.dumps(row)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.{uuid.uuid4().hex}")
-    final = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs = draft.getFileSystem(conf)
-    out = fs.create(draft, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.getScheme() == "file":  # a hard link is the atomic create of a POSIX file system
-        source, goal = (Path(p.toUri().getPath()) for p in (draft, final))
-        try:
-            os.link(source, goal)
-            return True
-        except FileExistsError:
-            return False
-        finally:
-            fs.delete(draft, False)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf)
-    none = spark._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        context.rename(draft, final, none)
-        return True
-    except Exception:
-        fs.delete(draft, False)
-        if fs.exists(final):
-            return False
-        raise

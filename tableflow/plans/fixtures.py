@@ -140,6 +140,42 @@ def run_slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return base, runs.select("*", F.explode(batches).alias("batch_id")).drop("event_id")
 
 
+def five_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, dict[str, DataFrame]]]:
+    """For every run table rows that stand and two batches ``d1`` and ``d2`` that partly repeat or contradict them."""
+    runs = pipeline_runs(spark, sf_dir).withColumn("run_id", F.col("run_id").cast("string"))
+    third = F.expr("pmod(cast(run_id AS bigint), 3)")
+    base, delta = run_slices(spark, sf_dir)
+    prints, edges = stored_prints(spark, sf_dir), named_edges(spark, sf_dir)
+    number = F.expr("cast(substr(task_name, 6) AS bigint)")
+    results = all_results(spark, sf_dir).selectExpr(
+        "task_name", "fingerprint", "'parquet' AS backend", "cast(NULL AS string) AS path", "n_rows", "size_bytes",
+        "timestamp_ntz'2024-01-01 00:00:00' AS created_at",
+    )
+
+    def at(text: str):
+        return F.expr(f"timestamp_ntz'{text} 00:00:00'")
+
+    return {
+        "pipeline_runs": (runs.where(third < 2), {
+            "d1": runs.where(third > 0).withColumn("module_path", F.lit("late")),
+            "d2": runs.where(third == 2).withColumn("module_path", F.lit("later")),
+        }),
+        "task_runs": (base, {b: delta.where(F.col("batch_id") == b).drop("batch_id") for b in ("d1", "d2")}),
+        "task_fingerprints": (prints, {
+            "d1": prints.where(number % 3 == 1).withColumn("fingerprint", F.md5("fingerprint")).withColumn("updated_at", at("2024-01-02")),
+            "d2": prints.where(number % 3 < 2).withColumn("fingerprint", F.lit("old")).withColumn("updated_at", at("2023-12-31")),
+        }),
+        "task_lineage": (edges, {
+            "d1": edges.where(number % 4 == 1).select("task_name", F.lit("x").alias("upstream_task_name")).distinct(),
+            "d2": edges.where(number % 8 == 1).select("task_name").distinct().selectExpr("task_name", "explode(array('y', 'z')) AS upstream_task_name"),
+        }),
+        "task_cache": (results.where(number % 3 < 2), {
+            "d1": results.where(number % 3 > 0).withColumn("backend", F.lit("csv")),
+            "d2": results.where(number % 3 == 2).withColumn("backend", F.lit("orc")),
+        }),
+    }
+
+
 def fingerprint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items for hashing in two engines: money as whole cents, no floating text."""
     return table(spark, sf_dir, "lineitem").selectExpr(

@@ -398,6 +398,27 @@ ORACLES: dict[str, str] = {
     "merge_absorb_twice": f"WITH {ABSORBED}",
     "merge_compacted": f"WITH {ABSORBED}",
     "stream_absorb": f"WITH {ABSORBED}",
+    "merge_all_tables": f"""WITH {SLICES.replace(STATE_RUNS, STATE_RUNS + ", " + PIPELINE_RUNS)}, {DEFS}, {NAMED_EDGES},
+        absorbed AS (WITH {ABSORBED[len(SLICES) + 2:]}),
+        numbered AS (SELECT *, CAST(substr(task_name, 6) AS BIGINT) AS i FROM named_edges),
+        rows AS (
+          SELECT 'pipeline_runs' AS table_name, concat_ws('|', run_id, CASE WHEN ((run_id % 3) + 3) % 3 = 2 THEN 'late' ELSE module_path END,
+                 status) AS row_text FROM pipeline_runs
+          UNION ALL
+          SELECT 'task_runs', concat_ws('|', run_id, task_name, attempt, status, CAST(duration_ms > 50 AS VARCHAR)) FROM absorbed
+          UNION ALL
+          SELECT 'task_fingerprints', concat_ws('|', task_name, CASE WHEN CAST(substr(task_name, 6) AS BIGINT) % 3 = 1
+                 THEN md5(fingerprint) ELSE fingerprint END) FROM stored
+          UNION ALL
+          SELECT 'task_lineage', concat_ws('|', task_name, upstream_task_name) FROM numbered WHERE i % 4 <> 1
+          UNION ALL
+          SELECT DISTINCT 'task_lineage', concat_ws('|', task_name, 'x') FROM numbered WHERE i % 8 = 5
+          UNION ALL
+          SELECT 'task_lineage', concat_ws('|', task_name, u) FROM (SELECT DISTINCT task_name FROM numbered WHERE i % 8 = 1), (VALUES ('y'), ('z')) t(u)
+          UNION ALL
+          SELECT 'task_cache', concat_ws('|', task_name, fingerprint,
+                 CASE WHEN CAST(substr(task_name, 6) AS BIGINT) % 3 = 2 THEN 'csv' ELSE 'parquet' END, n_rows, size_bytes) FROM results)
+        SELECT table_name, row_text, count(*) AS copies FROM rows GROUP BY 1, 2""",
     "merge_anti_insert": f"""WITH {SLICES}
         SELECT run_id FROM base UNION SELECT run_id FROM delta""",
     "merge_replace_key": f"""WITH {SLICES}, newest AS (

@@ -30,7 +30,7 @@ from tableflow.sources import (
     write_csv,
     write_table,
 )
-from tableflow.streaming import absorb_stream
+from tableflow.streaming import absorb_stream, read_absorbed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -344,31 +344,52 @@ def merge_first_lineage(spark, sf_dir):
     return _from_nothing("task_lineage", fx.named_edges(spark, sf_dir))
 
 
-def _stored_base(spark, sf_dir):
-    base, delta = fx.run_slices(spark, sf_dir)
-    table = new_path(spark, "task_runs")
-    snap.commit(spark, table, base, "load", "base")
-    return table, delta
+def _pending(spark, delta) -> str:
+    folder = new_path(spark, "pending")
+    for name in ("d1", "d2"):
+        merge.write_delta(delta.filter(F.col("batch_id") == name).drop("batch_id"), folder, name)
+    return folder
 
 
 def merge_compacted(spark, sf_dir):
-    """Two pending delta files folded into the stored table, then read from it."""
-    table, delta = _stored_base(spark, sf_dir)
-    folder = new_path(spark, "pending")
-    for name in ("d1", "d2"):
-        merge.write_delta(delta.filter(F.col("batch_id") == name).drop("batch_id"), folder)
-    merge.compact(spark, "task_runs", table, folder)
-    return snap.read_as_of(spark, table)
+    """Two pending batches folded into a table that is stored in buckets of its key."""
+    base, delta = fx.run_slices(spark, sf_dir)
+    name, buckets = "task_runs_" + new_path(spark, "t")[-8:], 8
+    merge.store_bucketed(base, name, new_path(spark, "base"), RUN_KEY, buckets)
+    merge.compact(spark, "task_runs", name, _pending(spark, delta), f"{name}_new", new_path(spark, "compacted"), buckets)
+    return spark.table(f"{name}_new")
 
 
 def stream_absorb(spark, sf_dir):
-    """The same deltas absorbed by a file stream."""
-    table, delta = _stored_base(spark, sf_dir)
-    folder = new_path(spark, "pending")
-    for name in ("d1", "d2"):
-        merge.write_delta(delta.filter(F.col("batch_id") == name).drop("batch_id"), folder)
-    absorb_stream(spark, "task_runs", folder, table, new_path(spark, "stream"))
-    return snap.read_as_of(spark, table)
+    """The same batches through the stream, whose state holds the winner of each key."""
+    base, delta = fx.run_slices(spark, sf_dir)
+    folder, out = _pending(spark, delta), new_path(spark, "winners")
+    absorb_stream(spark, "task_runs", folder, out, new_path(spark, "stream"))
+    return read_absorbed(spark, "task_runs", base, folder, out)
+
+
+def merge_all_tables(spark, sf_dir):
+    """Two batches for each of the five run tables, merged by one call into tables that hold rows."""
+    root = new_path(spark, "five")
+    for name, (base, batches) in fx.five_tables(spark, sf_dir).items():
+        base.write.parquet(f"{root}/base/{name}")
+        for batch, rows in batches.items():
+            merge.write_delta(rows, f"{root}/pending/{name}", batch)
+    merge.absorb_folders(spark, f"{root}/base", f"{root}/pending", f"{root}/out")
+    shown = []
+    for name, value in {
+        "pipeline_runs": "concat_ws('|', run_id, module_path, status)",
+        "task_runs": "concat_ws('|', run_id, task_name, attempt, status, duration_ms > 50)",
+        "task_fingerprints": "concat_ws('|', task_name, fingerprint)",
+        "task_lineage": "concat_ws('|', task_name, upstream_task_name)",
+        "task_cache": "concat_ws('|', task_name, fingerprint, backend, n_rows, size_bytes)",
+    }.items():
+        rows = spark.read.schema(history.TABLES[name]).parquet(f"{root}/out/{name}")
+        shown.append(rows.selectExpr(f"'{name}' AS table_name", f"{value} AS row_text"))
+    out = shown[0]
+    for more in shown[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("table_name", "row_text").agg(agg.n_rows().alias("copies"))
 
 
 # ---- refresh ---------------------------------------------------------------------
@@ -612,7 +633,7 @@ QUERIES: dict[str, Query] = {
             history_task_stats, history_recent, history_slowest, history_outcome, history_appended,
             history_closed, history_unclosed,
             merge_insert_absent, merge_anti_insert, merge_replace_key, merge_upsert_latest,
-            merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted,
+            merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted, merge_all_tables,
             fp_table, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
             hash_chain, fp_definitions, fp_propagated, fp_prefix_names,
             snap_diff,

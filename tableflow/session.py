@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -85,25 +84,5 @@ def write_counted(df: DataFrame, path: str, **counts) -> dict[str, int]:
     return watch.get
 
 
-# Rows and bytes a broadcast side may have, and rows of one key that a single task takes in stride.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 256 * 1024 * 1024
+# Rows of one key that a single task takes in stride.
 HOT_ROWS = 5_000_000
-
-
-def count_up_to(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> int:
-    """Rows of ``df``, or ``max_rows + 1`` for any more or for too many bytes; reading stops there."""
-    width = F.lit(8 * len(df.columns)).cast("bigint")
-    for field in df.schema.fields:
-        cell = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            cell = F.to_json(F.struct(cell))
-        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            continue
-        width = width + F.coalesce(F.octet_length(cell), F.lit(0))
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).first()
-    return max_rows + 1 if (seen.size or 0) > BROADCAST_BYTES else seen.n
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return count_up_to(df, max_rows) <= max_rows

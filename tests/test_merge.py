@@ -1,14 +1,12 @@
-import threading
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tableflow.operators import history, merge
-from tableflow.operators import snapshots as snap
+from tableflow.operators import history, joins, merge
 from tableflow.operators.history import TABLES
-from tableflow.session import new_path
-from tableflow.streaming import absorb_stream
+from tableflow.session import list_names, new_path
+from tableflow.streaming import absorb, absorb_stream, read_absorbed, read_winners
 
 T0 = datetime(2024, 1, 1)
 
@@ -107,42 +105,172 @@ def test_conflicts_name_the_key_that_loses_a_row(spark):
     assert [(r.task_name, r.n_rows, r.n_statuses) for r in got] == [("a", 2, 2)]
 
 
-def test_compaction_folds_publishes_and_cleans_up(spark):
-    table, folder = new_path(spark, "runs"), new_path(spark, "pending")
-    snap.commit(spark, table, frame(spark, "task_runs", [task_run("r", "a", "success")]), "x", "base")
-    for task in ("a", "b", "c", "b"):
-        merge.write_delta(frame(spark, "task_runs", [task_run("r", task, "failed")]), folder)
-    assert len(merge.pending(spark, folder)) == 4
-    assert len(merge.compact(spark, "task_runs", table, folder)) == 4
-    assert merge.pending(spark, folder) == [] and merge.compact(spark, "task_runs", table, folder) == []
-    got = {r.task_name: r.status for r in snap.read_as_of(spark, table).collect()}
-    assert got == {"a": "success", "b": "failed", "c": "failed"}
-
-
-def test_two_merges_at_once_enter_a_key_once(spark):
-    table = new_path(spark, "runs")
-    snap.commit(spark, table, frame(spark, "task_runs", [task_run("r", "a", "success")]), "x", "base")
-    delta = frame(spark, "task_runs", [task_run("r", "b", "success")], "1")
-    work = [threading.Thread(target=merge.absorb_into, args=(spark, "task_runs", table, delta, "m")) for _ in range(3)]
-    [w.start() for w in work]
-    [w.join() for w in work]
-    assert snap.read_as_of(spark, table).count() == 2
-
-
-def test_stream_equals_batch_and_replay_changes_nothing(spark):
-    rows = [task_run("r", t, "success", i) for i, t in enumerate("abc")]
-    table, folder = new_path(spark, "runs"), new_path(spark, "pending")
-    snap.commit(spark, table, frame(spark, "task_runs", rows[:1]), "x", "base")
-    merge.write_delta(frame(spark, "task_runs", rows[:2]), folder)
-    checkpoint = new_path(spark, "stream")
-    absorb_stream(spark, "task_runs", folder, table, checkpoint)
-    assert snap.read_as_of(spark, table).count() == 2
-    merge.write_delta(frame(spark, "task_runs", rows), folder)
-    absorb_stream(spark, "task_runs", folder, table, checkpoint)
-    assert same(frame(spark, "task_runs", rows), snap.read_as_of(spark, table))
-    before = snap.latest(spark, table)
-    absorb_stream(spark, "task_runs", folder, table, new_path(spark, "stream"))  # all files again
-    assert snap.latest(spark, table) == before
+def pending_of(spark, name, *batches):
+    """Batches in a pending folder, named in the order given."""
+    folder = new_path(spark, "pending")
+    for i, rows in enumerate(batches):
+        merge.write_delta(frame(spark, name, rows), folder, f"b{i}")
+    return folder
+
+
+def bucketed(spark, name, rows):
+    table = "t_" + new_path(spark, name)[-12:]
+    return table, merge.store_bucketed(frame(spark, name, rows), table, new_path(spark, name), merge.RULES[name][1], 4)
+
+
+CASES = {
+    "task_runs": (
+        [task_run("r", "a", "success"), task_run("r", "x", "success"), task_run("r", "x", "failed", 2)],
+        [task_run("r", "a", "failed"), task_run("r", "b", "failed", 3), task_run("r", "b", "oom", 1)],
+        [task_run("r", "c", "failed"), task_run("r", "b", "success")],
+    ),
+    "task_fingerprints": (
+        [("a", "f1", at(5)), ("k", "f0", at(0)), ("d", "f1", at(1)), ("d", "f2", at(2)), ("u", "f1", at(1)), ("u", "f1", at(1))],
+        [("a", "f9", at(9)), ("d", "f0", at(0)), ("n", "f1", None)],
+        [("a", "f3", at(7)), ("n", "f2", at(0))],
+    ),
+    "task_lineage": (
+        [("b", "a"), ("b", "x"), ("c", "a"), ("d", "a")],
+        [("b", "a"), ("b", "q"), ("e", "z")],
+        [("b", "p"), ("b", "r"), ("d", "a")],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_compaction_equals_the_merge_and_does_not_shuffle_the_table(spark, name):
+    base, one, two = CASES[name]
+    table, target = bucketed(spark, name, base)
+    folder = pending_of(spark, name, one, two)
+    delta = merge.read_deltas(spark, name, folder, merge.pending(spark, folder))
+    plan = merge.merge_bucketed(name, target, delta, 4)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "Bucketed: true" in line]
+    assert len(scans) == 1
+    lines = plan.splitlines()
+    at_ = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    depth = len(lines[at_]) - len(lines[at_].lstrip(" :+-"))
+    for line in reversed(lines[:at_]):  # the operators above the scan, up to the root
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            depth = indent
+            assert "Exchange" not in line
+    want = merge.merge_table(name, frame(spark, name, base), delta)
+    new, path = table + "_new", new_path(spark, "compacted")
+    rows = sorted(map(str, want.collect()))
+    assert merge.compact(spark, name, table, folder, new, path, 4) == ["b0", "b1"]
+    assert merge.pending(spark, folder) == [] and merge.compact(spark, name, table, folder, new + "2", path + "2", 4) == []
+    assert sorted(map(str, spark.table(new).select(*want.columns).collect())) == rows
+    assert spark.table(table).count() == len(base)
+
+
+def test_a_batch_is_pending_once_it_is_whole(spark):
+    folder = pending_of(spark, "task_runs", [task_run("r", "a", "success")])
+    half = f"{folder}/{merge.BATCH}=half"
+    frame(spark, "task_runs", [task_run("r", "b", "success")]).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
+    assert merge.pending(spark, folder) == ["b0"]
+
+
+def test_five_tables_merge_in_one_call(spark, pieces):
+    base, one, two = pieces
+    root = new_path(spark, "five")
+    for name in TABLES:
+        base[name].write.parquet(f"{root}/base/{name}")
+        for tag, delta in (("1", one), ("2", two)):
+            if name in delta:
+                merge.write_delta(delta[name].drop("batch_id"), f"{root}/pending/{name}", tag)
+    folded = merge.absorb_folders(spark, f"{root}/base", f"{root}/pending", f"{root}/out")
+    assert folded["task_runs"] == ["1", "2"] and folded["task_cache"] == ["1"]
+    want = merge.absorb(base, joined(one, two))
+    for name, columns in TABLES.items():
+        assert same(want[name], spark.read.schema(columns).parquet(f"{root}/out/{name}")), name
+
+
+def jobs_of(spark, work):
+    """How many Spark jobs a piece of work starts."""
+    tracker, group = spark.sparkContext.statusTracker(), new_path(spark, "g")
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_merges_of_large_tables_start_no_job_and_cut_the_target_in_its_scan(spark, monkeypatch):
+    monkeypatch.setattr(joins, "is_small", lambda df, most=None: False)
+    path = new_path(spark, "target")
+    target = spark.range(4000).selectExpr("concat('k', id % 900) AS k", "cast(id AS int) AS t", "concat('v', id) AS v")
+    target.write.parquet(path)
+    target = spark.read.schema(target.schema).parquet(path)
+    delta = spark.range(60).selectExpr("concat('k', id * 31) AS k", "cast(5000 AS int) AS t", "'new' AS v")
+    plans = {}
+
+    def build():
+        plans["new"] = merge.new_rows(target, delta, ["k"], ["t"])
+        plans["replace"] = merge.replace_by_key(target, delta, ["k"])
+        plans["upsert"] = merge.upsert_latest(target, delta, ["k"], ["t"])
+
+    assert jobs_of(spark, build) == 0
+    text = plans["new"]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "ReadSchema: struct<k:string>" in text
+    known = {f"k{i}" for i in range(900)}
+    keys = {f"k{i * 31}" for i in range(60)}
+    assert {r.k for r in plans["new"].collect()} == keys - known
+    replaced = plans["replace"].collect()
+    assert len(replaced) == len(target.where(~F.col("k").isin(*keys)).collect()) + 60
+    assert all(r.v == "new" for r in replaced if r.k in keys)
+    upserted = plans["upsert"].collect()
+    assert sorted(map(str, upserted)) == sorted(map(str, replaced))
+
+
+def test_key_filter_lets_little_through_and_loses_nothing(spark):
+    held = spark.range(5000).selectExpr("id * 7 AS k", "concat('s', id) AS s")
+    table = spark.range(200_000).selectExpr("id AS k", "concat('s', id div 7) AS s")
+    through = table.where(joins.key_filter(held, ["k", "s"], 1 << 17))
+    assert through.join(held, ["k", "s"]).count() == 5000
+    assert through.count() < 5000 + 0.02 * 200_000
+    assert table.where(joins.key_filter(held.limit(0), ["k", "s"], 1 << 10)).count() == 0
+
+
+def test_stream_keeps_its_state_over_restarts(spark):
+    name, base = "task_runs", [task_run("r", "a", "success")]
+    folder = pending_of(spark, name, [task_run("r", "a", "failed"), task_run("r", "b", "failed", 5), task_run("r", "b", "oom", 2)])
+    out, checkpoint = new_path(spark, "out"), new_path(spark, "stream")
+    target = frame(spark, name, base)
+    absorb_stream(spark, name, folder, out, checkpoint)
+    got = {r.task_name: r.status for r in read_absorbed(spark, name, target, folder, out).collect()}
+    assert got == {"a": "success", "b": "oom"}
+    merge.write_delta(frame(spark, name, [task_run("r", "b", "success", 1), task_run("r", "c", "success")]), folder, "b1")
+    absorb_stream(spark, name, folder, out, checkpoint)
+    winners = read_winners(spark, name, out)
+    assert {(r.task_name, r.status, r.batch_id) for r in winners.collect()} == {("a", "failed", "b0"), ("b", "oom", "b0"), ("c", "success", "b1")}
+    epochs = [n for n in list_names(spark, out)]
+    absorb_stream(spark, name, folder, out, checkpoint)  # nothing new
+    assert same(winners, read_winners(spark, name, out)) and len(epochs) >= 2
+
+
+def test_an_epoch_that_failed_half_way_counts_once(spark, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    name = "task_runs"
+    folder = pending_of(spark, name, [task_run("r", "a", "failed")], [task_run("r", "b", "success")])
+    out, checkpoint = new_path(spark, "out"), new_path(spark, "stream")
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+
+    def broken(self, path, *a, **k):
+        parquet(self, path, *a, **k)
+        if f"{absorb.EPOCH}=" in path:
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(writer, "parquet", broken)
+    with pytest.raises(StreamingQueryException):
+        absorb_stream(spark, name, folder, out, checkpoint, files_per_trigger=1)
+    monkeypatch.setattr(writer, "parquet", parquet)
+    absorb_stream(spark, name, folder, out, checkpoint, files_per_trigger=1)
+    assert sorted(r.task_name for r in read_winners(spark, name, out).collect()) == ["a", "b"]
+    rows = spark.read.schema(TABLES[name]).parquet(out).collect()
+    assert len(rows) == 2
 
 
 def test_history_counts_oom_as_a_failure(spark):
@@ -162,26 +290,15 @@ def test_latest_status_is_the_later_one(spark):
 
 
 @pytest.mark.parametrize("per_trigger", [1, 1000])
-def test_stream_replaces_lineage_by_whole_batches(spark, per_trigger):
-    def rows(*pairs):
-        return frame(spark, "task_lineage", list(pairs)).repartition(3)
-
-    table, folder = new_path(spark, "lineage"), new_path(spark, "pending")
-    snap.commit(spark, table, rows(("a", "x"), ("b", "y")), "x", "base")
-    merge.write_delta(rows(("a", "p"), ("a", "q"), ("a", "r"), ("a", "s")), folder)
-    merge.write_delta(rows(("a", "t"), ("a", "u"), ("c", "v")), folder)
-    absorb_stream(spark, "task_lineage", folder, table, new_path(spark, "stream"), per_trigger)
-    got = {tuple(r) for r in snap.read_as_of(spark, table).collect()}
-    assert got == {("a", "t"), ("a", "u"), ("b", "y"), ("c", "v")}
-
-
-def test_stream_keeps_the_newest_fingerprint(spark):
-    table, folder = new_path(spark, "prints"), new_path(spark, "pending")
-    snap.commit(spark, table, frame(spark, "task_fingerprints", [("a", "f1", at(5))]), "x", "base")
-    for print_, minute in (("f2", 9), ("f0", 1), ("f9", 7)):
-        merge.write_delta(frame(spark, "task_fingerprints", [("a", print_, at(minute))]), folder)
-    absorb_stream(spark, "task_fingerprints", folder, table, new_path(spark, "stream"), 1)
-    assert [r.fingerprint for r in snap.read_as_of(spark, table).collect()] == ["f2"]
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_stream_equals_the_merge(spark, name, per_trigger):
+    base, one, two = CASES[name]
+    folder = pending_of(spark, name, one, two)
+    out = new_path(spark, "out")
+    absorb_stream(spark, name, folder, out, new_path(spark, "stream"), per_trigger)
+    target = frame(spark, name, base)
+    want = merge.merge_table(name, target, merge.read_deltas(spark, name, folder, ["b0", "b1"]))
+    assert same(want, read_absorbed(spark, name, target, folder, out))
 
 
 def test_upsert_leaves_rows_of_untouched_keys_alone(spark):

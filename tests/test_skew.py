@@ -22,15 +22,33 @@ def facts(spark):
 def test_split_join_equals_plain_join(spark, facts, how):
     dim = spark.range(40).selectExpr("cast(id AS int) AS k", "concat('d', id) AS name")
     plain = facts.join(dim, "k", how)
-    split = joins.join_unique(facts, dim, ["k"], how, max_rows=0, hot_rows=500)
+    split = joins.join_unique(facts, dim, ["k"], how, small_bytes=0)
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_hot_key_does_not_meet_a_shuffled_dimension(spark, facts):
-    dim = spark.range(40).selectExpr("cast(id AS int) AS k", "concat('d', id) AS name")
-    plan = joins.join_unique(facts, dim, ["k"], "inner", max_rows=0, hot_rows=500)
-    text = plan._jdf.queryExecution().toString()
-    assert text.count("strategy=broadcast") >= 3
+def test_hot_key_is_spread_in_one_plan(spark):
+    """The rows of a key with a third of the table, and rows without a key, come out of many tasks."""
+    facts = spark.range(90_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id ELSE NULL END AS k", "id AS v")
+    dim = spark.range(90_000).selectExpr("id AS k", "id AS w")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = joins.join_unique(facts, dim, ["k"], "left", small_bytes=0)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 3 * 90_000 / 16 and got.where("k = 7 AND w = 7").count() == 30_001
+        assert got.columns == ["k", "v", "w"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_sides_are_told_by_the_tables_they_come_from(spark, small):
+    from tableflow.plans import fixtures as fx
+
+    zones = fx.zones(spark, small)
+    assert joins.is_small(zones) and 1000 < joins.read_bytes(zones) < 20_000 and not joins.is_small(zones, 1000)
 
 
 @pytest.mark.parametrize("max_group", [None, 3, 20, 100, 1000])
@@ -67,7 +85,7 @@ def test_zone_day_totals_do_not_depend_on_the_way(spark, small):
 
     trips, zones = fx.trips(spark, small), fx.zones(spark, small)
     few = agg.borough_day(trips, zones)
-    many = agg.borough_day(trips, zones, max_zones=0)
+    many = agg.borough_day(trips, zones, small_bytes=0)
     assert sorted(few.collect()) == sorted(many.collect())
 
 
@@ -78,13 +96,14 @@ def test_hub_has_one_sorted_list(spark):
     assert lists == {"hub": sorted(f"u{i}" for i in range(20_000)), "leaf": ["a", "hub"]}
 
 
-def test_unseen_large_and_small_way(spark, monkeypatch):
+def test_unseen_large_and_small_way(spark):
     target = spark.createDataFrame([(i % 5,) for i in range(100)], "k int")
     delta = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, v string")
-    few = sorted(joins.unseen(target, delta, ["k"]).collect())
-    monkeypatch.setattr(joins, "count_up_to", lambda df, max_rows=0: 10**9)
-    assert sorted(joins.unseen(target, delta, ["k"]).collect()) == few
+    few = sorted(joins.unseen(target, delta, ["k"], small_bytes=1 << 62).collect())
+    assert sorted(joins.unseen(target, delta, ["k"], small_bytes=0).collect()) == few
     assert [r.k for r in few] == [5, 6, 7, 8, 9]
+    wide = delta.withColumn("k", F.col("k").cast("bigint"))
+    assert [r.k for r in joins.unseen(target, wide, ["k"], small_bytes=0).orderBy("k").collect()] == [5, 6, 7, 8, 9]
 
 
 def test_upsert_keeps_one_row_per_key(spark):
@@ -93,14 +112,3 @@ def test_upsert_keeps_one_row_per_key(spark):
     want = {0: "old", 1: "new", 2: "old", 3: "old", 4: "old", 5: "old", 8: "add"}
     got = merge.upsert_latest(target, delta, ["k"], ["t", "v"]).collect()
     assert {r.k: r.v for r in got} == want and len(got) == len(want)
-
-
-def test_size_check_sees_rows_and_bytes(spark, monkeypatch):
-    from tableflow import session
-
-    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS t", "array(repeat('y', 50)) AS a", "map(1, 'z') AS m")
-    assert session.count_up_to(df) == 100
-    assert session.count_up_to(df, 99) == 100 and not session.is_small(df, 99)
-    assert session.count_up_to(df.limit(0)) == 0
-    monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
-    assert not session.is_small(df) and session.is_small(df.select("id"))

@@ -1,81 +1,10 @@
-from concurrent.futures import ThreadPoolExecutor
-
-import pytest
-
 from tableflow.operators import snapshots as snap
-from tableflow.session import new_path
-
-
-@pytest.fixture
-def table(spark):
-    path = new_path(spark, "table")
-    assert snap.commit(spark, path, spark.range(3), "ann", "first") == 1
-    assert snap.commit(spark, path, spark.range(3, 5), "bob", "second") == 2
-    return path
-
-
-def ids(df):
-    return sorted(r.id for r in df.collect())
-
-
-def test_log_and_as_of(spark, table):
-    rows = [(r.snapshot_id, r.author, r.commit_message) for r in snap.snapshots(spark, table).collect()]
-    assert rows == [(1, "ann", "first"), (2, "bob", "second")]
-    assert ids(snap.read_as_of(spark, table, 1)) == [0, 1, 2]
-    assert ids(snap.read_as_of(spark, table)) == [0, 1, 2, 3, 4]
-    assert snap.find_snapshot(spark, table, "second") == 2
-    with pytest.raises(ValueError):
-        snap.find_snapshot(spark, table, "none")
-    with pytest.raises(ValueError):
-        snap.read_as_of(spark, table, 0)
-
-
-def test_empty_change_and_reading_make_no_snapshot(spark, table):
-    assert snap.commit(spark, table, spark.range(0), "ann", "nothing") is None
-    snap.read_as_of(spark, table).count()
-    snap.snapshots(spark, table).count()
-    assert snap.latest(spark, table) == 2
-
-
-def test_replace_keeps_old_versions(spark, table):
-    assert snap.commit(spark, table, spark.range(9, 10), "ann", "new", mode="replace") == 3
-    assert ids(snap.read_as_of(spark, table)) == [9]
-    assert ids(snap.read_as_of(spark, table, 2)) == [0, 1, 2, 3, 4]
-    assert snap.commit(spark, table, spark.range(0), "ann", "cleared", mode="replace") == 4
-    assert ids(snap.read_as_of(spark, table)) == []
-
-
-def test_stale_replacement_is_refused(spark, table):
-    with pytest.raises(snap.CommitConflict):
-        snap.commit(spark, table, spark.range(1), "ann", "late", mode="replace", expect=1)
-    assert ids(snap.read_as_of(spark, table)) == [0, 1, 2, 3, 4]
-
-
-def test_added_column_is_null_for_old_rows(spark, table):
-    assert snap.add_column(spark, table, "host", "string") == 3
-    assert snap.add_column(spark, table, "host", "string") is None
-    snap.commit(spark, table, spark.sql("SELECT 7L AS id, 'h' AS host"), "ann", "with host")
-    snap.commit(spark, table, spark.range(8, 9), "ann", "an old writer")
-    got = sorted((r.id, r.host) for r in snap.read_as_of(spark, table).collect())
-    assert got == [(0, None), (1, None), (2, None), (3, None), (4, None), (7, "h"), (8, None)]
-    assert snap.read_as_of(spark, table, 2).columns == ["id"]
-
-
-def test_diff_counts_copies_and_reads_only_what_differs(spark, table):
-    snap.commit(spark, table, spark.range(4, 6), "ann", "third")
-    assert [(r.id, r.change) for r in snap.snapshot_diff(spark, table, 1, 2).orderBy("id").collect()] == [
-        (3, "added"), (4, "added"),
-    ]
-    first = snap._parts(snap._entries(spark, table))[0]
-    assert first not in "".join(snap.snapshot_diff(spark, table, 1, 3).inputFiles())
-    snap.commit(spark, table, spark.sql("SELECT explode(array(0L, 0L, 4L)) AS id"), "ann", "all new", mode="replace")
-    got = {(r.id, r.change, r.copies) for r in snap.snapshot_diff(spark, table, 3, 4).collect()}
-    assert got == {(0, "added", 1), (1, "removed", 1), (2, "removed", 1), (3, "removed", 1), (4, "removed", 1), (5, "removed", 1)}
 
 
-def test_many_writers_lose_nothing(spark):
-    path = new_path(spark, "table")
-    with ThreadPoolExecutor(8) as pool:
-        numbers = list(pool.map(lambda i: snap.commit(spark, path, spark.range(i * 10, i * 10 + 10), "w", f"{i}"), range(8)))
-    assert sorted(numbers) == list(range(1, 9))
-    assert ids(snap.read_as_of(spark, path)) == list(range(80))
+def test_rows_diff_counts_copies_and_nulls(spark):
+    old = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("c", 3)], "k string, v int")
+    new = spark.createDataFrame([("a", 1), ("b", None), ("b", None), ("d", 4)], "k string, v int")
+    got = {tuple(r) for r in snap.rows_diff(old, new).collect()}
+    assert got == {("a", 1, "removed", 1), ("b", None, "added", 1), ("c", 3, "removed", 1), ("d", 4, "added", 1)}
+    assert snap.rows_diff(old, old).count() == 0
+    assert snap.rows_diff(old.limit(0), new).count() == 3
