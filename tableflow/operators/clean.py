@@ -38,6 +38,11 @@ def maybe_equals(df: DataFrame, col: str, value: Any = None) -> DataFrame:
     return df if value is None else equals(df, col, value)
 
 
+def buckets(df: DataFrame, key: str, n: int, name: str = "bucket") -> DataFrame:
+    """All rows with the remainder of their key: every bucket filter in one pass."""
+    return df.withColumn(name, modulo(F.col(key), n).cast("int"))
+
+
 def bucket(df: DataFrame, col: str, divisor: int, rest: int) -> DataFrame:
     return df.filter(modulo(F.col(col), divisor) == rest)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableflow.functions import chain_hash
@@ -25,27 +25,117 @@ NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def row_hash(cols: Sequence[str]) -> Column:
-    """48 bits of the MD5 of a row, as a bigint. Each cell has its length before it, NULL has none."""
+    """The MD5 of a row in hex. Each cell has its length before it, NULL has none."""
     texts = [F.col(c).cast("string") for c in cols]
     cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
-    digest = F.md5(F.concat(*cells))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+    return F.md5(F.concat(*cells))
+
+
+#: A half of a digest, 64 bits with a sign, is added up in three pieces, which cannot overflow below 10^12 rows.
+PIECE = 22
+SUMS = ["high2", "high1", "high0", "low2", "low1", "low0"]
+
+
+def digest_sums(df: DataFrame, by: Sequence[str | Column], cols: Sequence[str]) -> DataFrame:
+    """Row count and the summed pieces of all 128 bits of the row hashes; sums of parts of a group add up to its own."""
+    hashed = df.select(*by, row_hash(cols).alias("h"))
+    names = hashed.columns[:-1]
+    for half, start in (("high", 1), ("low", 17)):
+        hashed = hashed.withColumn(half, F.conv(F.substring("h", start, 16), 16, -10).cast("bigint"))
+    mask = F.lit((1 << PIECE) - 1)
+    sums = []
+    for half in ("high", "low"):
+        sums.append(F.sum(F.shiftright(half, 2 * PIECE)).alias(f"{half}2"))
+        sums.append(F.sum(F.shiftright(half, PIECE).bitwiseAND(mask)).alias(f"{half}1"))
+        sums.append(F.sum(F.col(half).bitwiseAND(mask)).alias(f"{half}0"))
+    return hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def print_of_sums() -> Column:
+    """The fingerprint that the pieces of ``digest_sums`` stand for: both halves' sums as text."""
+    wide = "decimal(38,0)"
+
+    def half(name: str) -> Column:
+        top, middle = (F.col(f"{name}{i}").cast("decimal(19,0)") * F.lit(1 << (PIECE * i)).cast("decimal(14,0)") for i in (2, 1))
+        return (top + middle + F.col(f"{name}0")).cast(wide).cast("string")
+
+    return F.concat(half("high"), F.lit(":"), half("low"))
 
 
 def table_fingerprint(df: DataFrame, part: str, cols: Sequence[str]) -> DataFrame:
-    """Row count and order-independent content hash of every partition.
+    """Row count and order-independent content hash of every partition: the sum over the row hashes."""
+    sums = digest_sums(df, [part], cols)
+    return sums.select(part, "n_rows", print_of_sums().alias("fingerprint"))
+
+
+# ---- the hash tree of a stored table ----
+
+RANGE = "key_range"
+
+
+def write_ranges(df: DataFrame, path: str, part: str, key: str, width: int) -> None:
+    """Store a table with a folder per partition and range of ``width`` keys; a NULL key has a range of its own."""
+    ranged = df.withColumn(RANGE, F.floor(F.col(key) / width))
+    ranged.repartition(part, RANGE).write.mode("overwrite").partitionBy(part, RANGE).parquet(path)
 
-    The hash is the sum over the row hashes. Their upper and lower 24 bits
-    add up in two bigints, which cannot overflow below 10^11 rows.
+
+def overwrite_ranges(df: DataFrame, path: str, part: str, key: str, width: int) -> None:
+    """Replace the ranges that ``df`` has rows of; the files of all others stay as they are."""
+    ranged = df.withColumn(RANGE, F.floor(F.col(key) / width)).repartition(part, RANGE)
+    ranged.write.mode("overwrite").partitionBy(part, RANGE).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _listing(spark: SparkSession, path: str) -> DataFrame:
+    """What stands in each folder of the table: names, sizes and times of its files, as one hash. Opens no file."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length", "modificationTime")
+    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder")
+    one = F.xxhash64("file", "length", "modificationTime").cast("decimal(38,0)")
+    return files.groupBy(folder).agg(F.count(F.lit(1)).alias("files"), F.sum(one).alias("stamp"))
+
+
+def _leaves(rows: DataFrame, part: str, cols: Sequence[str]) -> DataFrame:
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1).alias("folder")
+    return digest_sums(rows, [part, folder], cols)
+
+
+def build_tree(spark: SparkSession, path: str, tree: str, schema: str, part: str, cols: Sequence[str]) -> None:
+    """Write the leaves of the hash tree of a table in ranges: one row per partition and range, with its files' stamp."""
+    rows = spark.read.schema(schema).parquet(path)
+    _leaves(rows, part, cols).join(_listing(spark, path), "folder").write.mode("overwrite").parquet(tree)
+
+
+def refresh_tree(
+    spark: SparkSession, path: str, old_tree: str, tree: str, schema: str, part: str, cols: Sequence[str]
+) -> DataFrame:
+    """Write the tree of a table that has changed since ``old_tree``, reading the changed ranges only.
+
+    A range whose files are those of its leaf keeps the leaf. The folders of
+    the others are the paths that are read. Answers the ranges read or gone:
+    folder (as a URI) and state (changed, added, removed).
     """
-    hashed = df.select(part, row_hash(cols).alias("h"))
-    high = F.sum(F.shiftright("h", 24)).cast("decimal(20,0)")
-    low = F.sum(F.col("h").bitwiseAND(F.lit(2**24 - 1))).cast("decimal(20,0)")
-    total = high * F.lit(2**24).cast("decimal(8,0)") + low
-    return hashed.groupBy(part).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        total.cast("decimal(38,0)").cast("string").alias("fingerprint"),
+    old, now = spark.read.parquet(old_tree), _listing(spark, path)
+    past = old.select("folder", F.col("files").alias("old_files"), F.col("stamp").alias("old_stamp"))
+    state = (
+        F.when(F.col("old_stamp").isNull(), "added")
+        .when(F.col("stamp").isNull(), "removed")
+        .when((F.col("stamp") == F.col("old_stamp")) & (F.col("files") == F.col("old_files")), "same")
+        .otherwise("changed")
     )
+    seen, _ = materialize(past.join(now, "folder", "full").select("folder", "files", "stamp", state.alias("state")))
+    kept = old.join(seen.where("state = 'same'").select("folder"), "folder", "left_semi")
+    read = [unquote(r.folder) for r in seen.where("state IN ('added', 'changed')").select("folder").collect()]  # names of what is read anyway
+    if read:
+        rows = spark.read.schema(schema).option("basePath", path).parquet(*read)
+        stamps = seen.where("state IN ('added', 'changed')").select("folder", "files", "stamp")
+        kept = kept.unionByName(_leaves(rows, part, cols).join(stamps, "folder").select(*kept.columns))
+    kept.write.mode("overwrite").parquet(tree)
+    return seen.where("state <> 'same'").select("folder", "state")
+
+
+def tree_fingerprint(spark: SparkSession, tree: str, part: str) -> DataFrame:
+    """The upper level of the tree: equal to ``table_fingerprint`` of the whole table, from the leaves alone."""
+    sums = spark.read.parquet(tree).groupBy(part).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(s).alias(s) for s in SUMS])
+    return sums.select(part, "n_rows", print_of_sums().alias("fingerprint"))
 
 
 def definition_fingerprint(defs: DataFrame) -> DataFrame:

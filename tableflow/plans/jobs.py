@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tableflow.sources import (
     partition_manifest,
     read_csv,
     read_table,
+    replace_table,
     rows_to_json,
     write_csv,
     write_partitions,
@@ -32,8 +35,14 @@ LEFT_OUT = ["AFRICA", "ASIA"]
 MEASURES = ["fare_amount", "trip_distance", "passenger_count"]
 
 
+def load_daily_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract, clean, and load one row per day into a table, from which it is read."""
+    name = "daily_fares_" + uuid.uuid4().hex[:8]
+    return agg.ordered(replace_table(daily_fares(spark, sf_dir), name, new_path(spark, "daily-fares")), "trip_date")
+
+
 def daily_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extract, clean, and load one row per day."""
+    """One cleaned row per day."""
     return pipe(
         fx.trips(spark, sf_dir),
         lambda t: clean_positive(t, MEASURES),

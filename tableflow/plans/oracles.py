@@ -235,6 +235,12 @@ def propagated_sql(edges: str, depth: int = 22) -> str:
     return f"WITH {', '.join(parts)} SELECT task_name, fingerprint FROM f{depth}"
 
 
+def half_sum(start: int) -> str:
+    """Sum of 64 bits of the digest ``h``, from hex digit ``start``, as signed numbers."""
+    half = f"CAST('0x' || substr(h, {start}, 16) AS UBIGINT)::HUGEINT"
+    return f"sum(CASE WHEN {half} >= 9223372036854775808::HUGEINT THEN {half} - 18446744073709551616::HUGEINT ELSE {half} END)"
+
+
 TIER = "CASE " + " ".join(
     f"WHEN peak_mb <= {t} * 0.8 THEN {t}" for t in (128, 256, 512, 1024, 1536, 2048, 3008)
 ) + " ELSE 4096 END"
@@ -329,6 +335,8 @@ ORACLES: dict[str, str] = {
     "bucket_sums": """SELECT l_orderkey % 7 AS bucket, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS total
         FROM lineitem GROUP BY 1""",
     "bucket_filter": "SELECT o_orderkey, CAST(o_orderkey % 3 AS INT) AS bucket FROM orders",
+    "bucket_union": """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 = 1""",
     "array_ops": """SELECT l_orderkey, l_linenumber,
                array_to_string(list_transform(a, lambda x: x * 2), ',') AS doubled,
                array_to_string(list_concat(list_transform(a, lambda x: x * 2),
@@ -453,9 +461,15 @@ ORACLES: dict[str, str] = {
     "merge_first_lineage": f"WITH {NAMED_EDGES} SELECT * FROM named_edges",
     "fp_table": f"""WITH {PRINT_ROWS}, prints AS (
           SELECT flag, count(*) AS n_rows,
-                 sum(CAST('0x' || substr(md5({" || ".join(cell(c) for c in PRINT_COLUMNS)}), 1, 12) AS BIGINT)) AS fp
-          FROM old_rows GROUP BY 1)
-        SELECT flag, n_rows, CAST(fp AS VARCHAR) AS fingerprint FROM prints""",
+                 {half_sum(1)} AS high, {half_sum(17)} AS low
+          FROM (SELECT flag, md5({" || ".join(cell(c) for c in PRINT_COLUMNS)}) AS h FROM old_rows) GROUP BY 1)
+        SELECT flag, n_rows, CAST(high AS VARCHAR) || ':' || CAST(low AS VARCHAR) AS fingerprint FROM prints""",
+    "fp_tree": f"""WITH {PRINT_ROWS}, edited AS (
+          SELECT * REPLACE (CASE WHEN l_orderkey = 0 THEN cents + 1 ELSE cents END AS cents) FROM old_rows), prints AS (
+          SELECT flag, count(*) AS n_rows,
+                 {half_sum(1)} AS high, {half_sum(17)} AS low
+          FROM (SELECT flag, md5({" || ".join(cell(c) for c in PRINT_COLUMNS)}) AS h FROM edited) GROUP BY 1)
+        SELECT flag, n_rows, CAST(high AS VARCHAR) || ':' || CAST(low AS VARCHAR) AS fingerprint FROM prints""",
     "fp_changed_partitions": f"""WITH {PRINT_ROWS}, o AS (
           SELECT flag, count(*) AS n, md5(string_agg(concat_ws('|', l_orderkey, l_linenumber, cents, tax, l_shipdate), ','
                  ORDER BY l_orderkey, l_linenumber, cents, tax, l_shipdate)) AS h FROM old_rows GROUP BY 1),

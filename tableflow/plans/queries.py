@@ -172,10 +172,14 @@ def bucket_sums(spark, sf_dir):
 
 
 def bucket_filter(spark, sf_dir):
-    """Rows of each remainder, one bucket filter per branch, put together again."""
-    keys = fx.table(spark, sf_dir, "orders").select("o_orderkey")
-    parts = [clean.bucket(keys, "o_orderkey", 3, b).withColumn("bucket", F.lit(b)) for b in range(3)]
-    return agg.union_all(agg.union_all(parts[0], parts[1]), parts[2])
+    """Rows of each remainder: the bucket filters of a fan-out in one pass."""
+    return clean.buckets(fx.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 3)
+
+
+def bucket_union(spark, sf_dir):
+    """Two branches of that fan-out put together again, by position."""
+    keys = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return agg.union_all(clean.bucket(keys, "o_orderkey", 3, 0), clean.bucket(keys, "o_custkey", 3, 1))
 
 
 def array_ops(spark, sf_dir):
@@ -401,6 +405,22 @@ def fp_table(spark, sf_dir):
     return refresh.table_fingerprint(fx.fingerprint_rows(spark, sf_dir), "flag", PRINT_COLUMNS)
 
 
+PRINT_SCHEMA = "l_orderkey bigint, l_linenumber int, cents bigint, tax bigint, l_shipdate timestamp_ntz, flag string"
+
+
+def fp_tree(spark, sf_dir):
+    """Fingerprints from a hash tree after the lines of one order changed: only its key ranges are read again."""
+    path, width = new_path(spark, "ranges"), 1 << 13
+    rows = fx.fingerprint_rows(spark, sf_dir)
+    refresh.write_ranges(rows, path, "flag", "l_orderkey", width)
+    refresh.build_tree(spark, path, f"{path}-tree1", PRINT_SCHEMA, "flag", PRINT_COLUMNS)
+    raised = F.when(F.col("l_orderkey") == 0, F.col("cents") + 1).otherwise(F.col("cents"))
+    ranges = rows.where(f"l_orderkey < {width}").withColumn("cents", raised)
+    refresh.overwrite_ranges(ranges, path, "flag", "l_orderkey", width)
+    refresh.refresh_tree(spark, path, f"{path}-tree1", f"{path}-tree2", PRINT_SCHEMA, "flag", PRINT_COLUMNS)
+    return refresh.tree_fingerprint(spark, f"{path}-tree2", "flag")
+
+
 def fp_changed_partitions(spark, sf_dir):
     new = refresh.table_fingerprint(fx.changed_rows(spark, sf_dir), "flag", PRINT_COLUMNS)
     return refresh.changed_partitions(fp_table(spark, sf_dir), new, "flag")
@@ -604,7 +624,7 @@ def cost_rollup(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
-    "z1_daily_fares": jobs.daily_fares,
+    "z1_daily_fares": jobs.load_daily_fares,
     "z2_borough_list": jobs.borough_list,
     "z2_partition_manifest": jobs.borough_manifest,
     "z2_partition_count": jobs.borough_count,
@@ -627,14 +647,14 @@ QUERIES: dict[str, Query] = {
         for f in (
             io_parquet, io_csv, io_csv_text, io_any, io_replaced_table, io_union, io_union_types, io_materialize,
             json_rows, json_codec, literal_join,
-            filter_chain, derived_orders, matching_orders, distinct_rows, bucket_sums, bucket_filter,
+            filter_chain, derived_orders, matching_orders, distinct_rows, bucket_sums, bucket_filter, bucket_union,
             array_ops, borough_totals, best_payment_day, rolling_events,
             history_latest, history_last_status, history_run_summary, history_status_counts,
             history_task_stats, history_recent, history_slowest, history_outcome, history_appended,
             history_closed, history_unclosed,
             merge_insert_absent, merge_anti_insert, merge_replace_key, merge_upsert_latest,
             merge_absorb_twice, merge_conflicts, merge_shared_run, merge_delta_keys, merge_compacted, merge_all_tables,
-            fp_table, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
+            fp_table, fp_tree, fp_changed_partitions, refresh_result, refresh_stored, refresh_preview, ready_to_run, cache_report,
             hash_chain, fp_definitions, fp_propagated, fp_prefix_names,
             snap_diff,
             merge_first_runs, merge_first_cache, merge_first_prints, merge_first_lineage,

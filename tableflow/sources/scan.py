@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,23 +86,22 @@ def describe_table(df: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str) -> DataFrame:
-    """A fixed random sample: exactly the ``n`` rows whose key hashes lowest.
+    """A fixed random sample: exactly the ``n`` rows whose key hashes lowest. The key must be unique.
 
-    The first four hex digits of the hash give 65,536 buckets. Their counts
-    show which buckets are taken whole by a plain filter; only the one bucket
-    at the edge is sorted, so no task ever holds ``n`` rows per input split.
-    The key must be unique.
+    Two scans and no job of its own. The first counts rows per bucket, the
+    first four hex digits of the hash, which adds up within each task; the
+    counts tell the bucket where the ``n``-th row lies. The second reads the
+    rows up to that bucket, some ``n`` of them, and ranks them bucket by
+    bucket, so no task sorts more than a 65,536th of the table.
     """
     digest = F.md5(F.col(key).cast("string"))
     bucket = F.substring(digest, 1, 4)
     counts = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    taken, edge = 0, None
-    for b, c in sorted(counts.collect()):  # at most 65,536 counts
-        if taken + c > n:
-            edge = b
-            break
-        taken += c
-    if edge is None:
-        return df
-    rest = df.filter(bucket == edge).orderBy(digest, F.col(key)).limit(n - taken)
-    return df.filter(bucket < edge).unionByName(rest)
+    upto = F.sum("c").over(Window.orderBy("b"))  # over at most 65,536 counts
+    edge = counts.select("b", (F.lit(n) - upto + F.col("c")).alias("left"), upto.alias("upto")).where(F.col("upto") >= n)
+    edge = edge.agg(F.min(F.struct("b", "left")).alias("edge")).scalar()
+    rows = df.select(F.struct(*df.columns).alias("row"), bucket.alias("b"), digest.alias("h"))
+    rows = rows.where(F.coalesce(F.col("b") <= edge["b"], F.lit(True)))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("h", F.col(f"row.{key}")))
+    kept = rows.withColumn("nth", nth).where(F.coalesce((F.col("b") < edge["b"]) | (F.col("nth") <= edge["left"]), F.lit(True)))
+    return kept.select("row.*")

@@ -51,10 +51,16 @@ def write_partitions(df: DataFrame, col: str, path: str, rebalance: bool = False
 
 
 def partition_manifest(spark: SparkSession, path: str, col: str) -> DataFrame:
-    """Rows and folder of each value written by ``write_partitions``; the folder is that of the files themselves."""
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    folder = F.regexp_extract(file, "([^/]*)/[^/]*$", 1).alias("path")
-    return spark.read.parquet(path).groupBy(col, folder).agg(F.count(F.lit(1)).alias("rows")).select(col, "rows", "path")
+    """Rows and folder of each value written by ``write_partitions``; the folder is that of the files themselves.
+
+    Rows are counted per file from the footers, no data column is read, and a
+    file's folder is decoded once.
+    """
+    file = F.col("_metadata.file_path").alias("file")
+    files = spark.read.parquet(path).groupBy(col, file).agg(F.count(F.lit(1)).alias("n"))
+    name = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(name, "([^/]*)/[^/]*$", 1).alias("path")
+    return files.groupBy(col, folder).agg(F.sum("n").alias("rows")).select(col, "rows", "path")
 
 
 def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, dict[str, int]]:
@@ -73,8 +79,10 @@ def materialize(df: DataFrame, path: str | None = None) -> tuple[DataFrame, dict
     return table, {"rows": rows, "bytes": size, "large": size > LARGE_CACHE_BYTES}
 
 
-def export_arrow(df: DataFrame, max_rows: int = 100_000) -> pa.Table:
-    """A small result as an Arrow table. A larger one is refused, not cut off."""
+def export_arrow(df: DataFrame, max_rows: int | None = None) -> pa.Table:
+    """A result as an Arrow table. With ``max_rows`` a larger one is refused, not cut off."""
+    if max_rows is None:
+        return df.toArrow()
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows:
         raise ValueError(f"more than {max_rows} rows: write a table instead")
@@ -85,18 +93,13 @@ def import_arrow(spark: SparkSession, table: pa.Table, schema: T.StructType | No
     return spark.createDataFrame(table, schema) if schema else spark.createDataFrame(table)
 
 
-def rows_to_json(
-    df: DataFrame, order: str, keys: list[str] | None = None, max_rows: int = 100_000
-) -> DataFrame:
+def rows_to_json(df: DataFrame, order: str, keys: list[str] | None = None) -> DataFrame:
     """Rows of an aggregate as one JSON array per key, in the order of a column.
 
-    For report rows (one per day and the like). An array has to fit a cell,
-    so a longer one is refused before any list is built, not cut off.
+    For report rows (one per day and the like): an array is one cell, so it
+    has to fit the memory of a task.
     """
     keys = keys or []
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) > max_rows:
-        raise ValueError(f"more than {max_rows} rows in one array: write a table instead")
     values = [c for c in df.columns if c not in keys]
     row = F.struct(order, *[c for c in values if c != order])
     names = ", ".join(f"'{c}', r.`{c}`" for c in values)

@@ -213,6 +213,42 @@ def test_fingerprint_ignores_order_and_sees_copies_and_nulls(spark):
     assert len({base, fp([("x", "y"), ("z", "")]), fp([("x", "y"), ("z", None), ("z", None)]), fp([("x", "y"), (None, "z")])}) == 4
 
 
+def test_a_changed_row_reads_one_range_of_the_hash_tree(spark):
+    from tableflow.session import new_path
+
+    cols, schema = ["k", "v"], "k int, v string, p string"
+    path = new_path(spark, "ranged")
+    rows = spark.range(4000).selectExpr("cast(id AS int) AS k", "concat('v', id % 7) AS v", "CASE WHEN id % 2 = 0 THEN 'a' WHEN id < 3000 THEN 'b c' END AS p")
+    rows = rows.unionByName(spark.sql("SELECT cast(NULL AS int) AS k, 'x' AS v, 'a' AS p"))
+    refresh.write_ranges(rows, path, "p", "k", 500)
+    trees = [f"{path}-t{i}" for i in range(4)]
+    refresh.build_tree(spark, path, trees[0], schema, "p", cols)
+    assert spark.read.parquet(trees[0]).count() == 8 + 6 + 2 + 1
+
+    def whole():
+        return sorted(map(str, refresh.table_fingerprint(spark.read.schema(schema).parquet(path), "p", cols).collect()))
+
+    def upper(tree):
+        return sorted(map(str, refresh.tree_fingerprint(spark, tree, "p").collect()))
+
+    assert upper(trees[0]) == whole()
+    one = rows.where("p = 'b c' AND k >= 1000 AND k < 1500")
+    refresh.overwrite_ranges(one.withColumn("v", F.when(F.col("k") == 1001, "new").otherwise(F.col("v"))), path, "p", "k", 500)
+    seen = []
+    leaves = refresh._leaves
+    refresh._leaves = lambda rows, *a: seen.append(len(rows.inputFiles())) or leaves(rows, *a)
+    try:
+        changed = refresh.refresh_tree(spark, path, trees[0], trees[1], schema, "p", cols).collect()
+    finally:
+        refresh._leaves = leaves
+    assert [r.state for r in changed] == ["changed"] and changed[0].folder.endswith("key_range=2") and seen == [1]
+    assert upper(trees[1]) == whole() != upper(trees[0])
+    refresh.overwrite_ranges(spark.sql("SELECT 9999 AS k, 'v' AS v, 'z' AS p"), path, "p", "k", 500)
+    changed = refresh.refresh_tree(spark, path, trees[1], trees[2], schema, "p", cols).collect()
+    assert [r.state for r in changed] == ["added"] and upper(trees[2]) == whole()
+    assert refresh.refresh_tree(spark, path, trees[2], trees[3], schema, "p", cols).count() == 0
+
+
 def test_refresh_keeps_and_drops_null_partitions(spark):
     from tableflow.session import new_path
 

@@ -48,6 +48,19 @@ def test_manifest_names_the_folder_on_disk(spark):
     assert got == {"a b/c": "z=a b%2Fc", "x+y": "z=x+y", None: "z=__HIVE_DEFAULT_PARTITION__"}
 
 
+def test_manifest_reads_no_data_column(spark):
+    path = write_partitions(spark.range(50).selectExpr("id", "id % 3 AS z"), "z", new_path(spark, "few"))
+    plan = partition_manifest(spark, path, "z")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+
+
+def test_sample_scans_twice_and_starts_no_job(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    plan = sample_rows(orders, 20, "o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in plan and "TakeOrdered" not in plan
+    assert sample_rows(orders, 20, "o_orderkey").count() == 20
+
+
 def test_csv_keeps_the_text_n_a(spark):
     rows = literal_rows(spark, [(1, "N/A"), (2, "Unknown")], "id int, name string")
     path = write_csv(rows, new_path(spark, "zones") + ".csv")
@@ -79,6 +92,7 @@ def test_replaced_table_holds_the_last_version(spark):
 
 def test_arrow_round_trip_and_refusal(spark):
     assert import_arrow(spark, export_arrow(range_table(spark, 4))).count() == 4
+    assert export_arrow(range_table(spark, 100_001)).num_rows == 100_001
     with pytest.raises(ValueError):
         export_arrow(range_table(spark, 11), max_rows=10)
 
@@ -91,8 +105,8 @@ def test_json_hand_off(spark):
     assert packed.first()[0].startswith('[{"day":"2024-01-01","n":100')
     back = rows_from_json(packed, "rows_json", "day string, n int, rev double")
     assert sorted(back.collect()) == sorted(daily.collect())
-    with pytest.raises(ValueError):
-        rows_to_json(daily, "day", max_rows=1)
+    keyed = rows_to_json(daily.withColumn("k", F.lit("x")), "day", ["k"])
+    assert keyed.columns == ["k", "rows_json"] and keyed.count() == 1
 
 
 def test_extract_and_describe(spark):
