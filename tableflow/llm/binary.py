@@ -184,7 +184,9 @@ def read_files(manifest: DataFrame, doc_ids: Iterable[int] | None = None) -> Dat
     # One row per file here, so a single task may add them up.
     total = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(total), F.lit(0)))
-    dealt = files.select("file", "before").repartition("file")
+    # A number of partitions of one's own keeps Spark from putting the few rows together into one task.
+    width = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = files.select("file", "before").repartition(width, "file")
     return in_arrow(dealt, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

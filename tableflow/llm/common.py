@@ -6,9 +6,12 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,6 +28,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as ``row`` (all columns) and ``row_no``, a number for each row.
+
+    The numbers are part of the written table, so every later scan finds a row
+    under the same one, however many tasks read it. No column of the caller
+    can clash with ``row_no``.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return cut(df.select(whole.alias("row"), F.monotonically_increasing_id().alias("row_no")), name)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -86,31 +100,65 @@ _RNG = np.random.default_rng(20240229)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 
+#: Letters and digits by byte; every byte of a character outside ASCII counts as one.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+#: Scripts that are written without blanks: each of their letters and marks is a word of its own.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Yi")
+BORDER, LETTER, ALONE = 0, 1, 2
+
+
+@lru_cache(1)
+def letter_classes() -> np.ndarray:
+    """For every code point whether it is a border, a letter (or digit or mark), or a letter that stands alone."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every, place = "".join(map(chr, points)), np.array(points)
+    out = np.zeros(0x110000, np.uint8)
+    scripts = "".join(rf"\p{{Script={name}}}" for name in UNSPACED)
+    for value, pattern in ((LETTER, r"[\p{L}\p{N}\p{M}]+"), (ALONE, rf"[[{scripts}]&&[\p{{L}}\p{{N}}\p{{M}}]]+")):
+        for run in regex.finditer(pattern, every, regex.V1):
+            out[place[run.start() : run.end()]] = value
+    return out
+
+
+@lru_cache(1)
+def _point_hashes() -> np.ndarray:
+    return mix(np.arange(1, 0x3001, dtype=np.uint64))
+
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and the number of words before each text.
 
-    Words are runs of letters and digits of the lower-cased text; every byte
-    of a character outside ASCII counts as a letter.
+    Words are runs of letters, digits and marks of the lower-cased text, in
+    any script; in scripts without blanks every letter is a word.
     """
     low = pa.compute.utf8_lower(texts)
     data, offsets = utf8(low)
-    inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = _LETTER[data]
-    before = np.zeros(len(data) + 1, bool)
-    before[1:] = inside[:-1]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(inside & (~before | edge))
+    if len(data) and data.max() > 127:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        offsets = np.concatenate([[0], np.cumsum(pa.compute.utf8_length(low).to_numpy(zero_copy_only=False))])
+    else:
+        points = data.astype(np.uint32)
+    kind = letter_classes()[points]
+    inside = np.zeros(len(points) + 1, bool)
+    inside[:-1] = kind != BORDER
+    fresh = np.ones(len(points) + 1, bool)
+    fresh[1:] = ~inside[:-1]
+    fresh[:-1] |= kind == ALONE
+    fresh[1:] |= kind == ALONE
+    fresh[offsets] = True
+    starts = np.flatnonzero(inside & fresh)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     place = np.flatnonzero(inside)
     lead = np.searchsorted(place, starts)
     nth = np.arange(len(place)) - np.repeat(lead, np.diff(np.append(lead, len(place))))
-    mixed = _BYTE[data[place]] * (_PLACE[nth & 63] + (nth >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16))
+    found, table = points[place], _point_hashes()
+    value = table[np.minimum(found, len(table) - 1)]
+    far = np.flatnonzero(found >= len(table))
+    value[far] = mix(found[far].astype(np.uint64) + np.uint64(1))
+    mixed = value * (_PLACE[nth & 63] + (nth >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16))
     return np.add.reduceat(mixed, lead), np.searchsorted(starts, offsets)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import cut
+from tableflow.llm.common import cut, numbered
 from tableflow.session import new_path, write_counted
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,14 +35,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     counts as empty, and all empty texts are equal. Of equal texts the row with
     the most code points in the original stays, then the smallest doc_id (NULL
     last), then the first row, so exactly one row of a group is kept even if
-    rows repeat. ``row_no`` numbers the rows as they are read. An empty table
-    gives no rows; further columns play no part.
+    rows repeat. ``row_no`` numbers the rows. An empty table gives no rows;
+    further columns play no part.
     """
-    bare = normalised(docs[text])
+    return _groups(numbered(docs.select(doc_id, text), "radix-rows"), doc_id, text)
+
+
+def _groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``groups`` of rows that are written with their numbers (``row``, ``row_no``)."""
+    bare = normalised(F.col(f"row.`{text}`"))
     state = docs.select(
-        docs[doc_id].cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.char_length(F.coalesce(docs[text], F.lit(""))).alias("points"),
+        F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"),
+        "row_no",
+        F.char_length(F.coalesce(F.col(f"row.`{text}`"), F.lit(""))).alias("points"),
         F.unhex(F.sha2(bare, 256)).alias("sha"),
         F.octet_length(bare).cast("long").alias("parent"),  # the digit that leads: the length
         bare.cast("binary").alias("rest"),
@@ -85,6 +90,6 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = groups(docs, doc_id, text).where("NOT kept").select(F.col("row_no").alias("_row_no"))
-    numbered = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    return numbered.join(dropped, "_row_no", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    rows = numbered(docs, "radix-rows")
+    dropped = _groups(rows, doc_id, text).where("NOT kept").select("row_no")
+    return rows.join(dropped, "row_no", "left_anti").select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import cut, in_arrow, mix, text_slices, word_hashes
+from tableflow.llm.common import cut, in_arrow, mix, numbered, text_slices, word_hashes
 from tableflow.session import new_path, write_counted
 
 K, TUPLE, SKETCHES = 5, 3, 16
@@ -149,14 +149,19 @@ def _rejoin(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         reach *= 8
 
 
-def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row_no"), docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")
-    )
+def _named(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row_no, doc_id and text of rows that are written with their numbers."""
+    return rows.select("row_no", F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"row.`{text}`").alias("text"))
 
 
-def _sketched(numbered: DataFrame) -> DataFrame:
-    """Per row: row_no, doc_id, a digest of its words, and its sketches (none without words)."""
+def _sketched(named: DataFrame) -> DataFrame:
+    """Per row: row_no, doc_id, a digest of its words (without any, of the text), and its sketches (none without words)."""
+
+    def digests(held: bytes, ends: np.ndarray, texts: pa.Array) -> list[bytes]:
+        out = [hashlib.sha256(held[8 * a : 8 * b]).digest() for a, b in zip(ends[:-1], ends[1:])]
+        for i in np.flatnonzero(np.diff(ends) == 0):
+            out[i] = hashlib.sha256(b"text:" + "".join(texts[int(i)].as_py().split()).encode()).digest()
+        return out
 
     def run(batches):
         for batch in batches:
@@ -170,18 +175,18 @@ def _sketched(numbered: DataFrame) -> DataFrame:
                     [
                         batch.column("row_no").slice(start, end - start),
                         batch.column("doc_id").slice(start, end - start),
-                        pa.array([hashlib.sha256(held[8 * a : 8 * b]).digest() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                        pa.array(digests(held, ends, texts), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(mix(found).ravel().view(np.int64))),
                     ],
                     ["row_no", "doc_id", "digest", "sketches"],
                 )
 
-    return in_arrow(numbered, run, "row_no long, doc_id long, digest binary, sketches array<long>")
+    return in_arrow(named, run, "row_no long, doc_id long, digest binary, sketches array<long>")
 
 
-def _words_table(numbered: DataFrame, reps: DataFrame) -> str:
+def _words_table(named: DataFrame, reps: DataFrame) -> str:
     """Store the words of the given rows (rep) as 32-bit hashes, bucketed by rep so that later joins move pairs only."""
-    spark = numbered.sparkSession
+    spark = named.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -192,7 +197,7 @@ def _words_table(numbered: DataFrame, reps: DataFrame) -> str:
                 packed = pa.array([held[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("rep").slice(start, end - start), packed], ["rep", "words"])
 
-    wanted = numbered.select(F.col("row_no").alias("rep"), "text").join(reps.hint("merge"), "rep", "left_semi")
+    wanted = named.select(F.col("row_no").alias("rep"), "text").join(reps.hint("merge"), "rep", "left_semi")
     name = f"omh_words_{uuid.uuid4().hex}"
     in_arrow(wanted, run, "rep long, words binary").repartition(n, "rep").write.bucketBy(n, "rep").sortBy("rep").saveAsTable(name)
     return name
@@ -217,10 +222,10 @@ def _aligned(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return in_arrow(joined, run, "rep long, pivot long, similar boolean")
 
 
-def links(texts: DataFrame, numbered: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, named: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b), a above b, between rows that share a sketch; and their components (node, root).
 
-    ``texts``: rep and sketches of the rows to link; ``numbered``: row_no and
+    ``texts``: rep and sketches of the rows to link; ``named``: row_no and
     text of all rows.
     """
     spark = texts.sparkSession
@@ -230,7 +235,7 @@ def links(texts: DataFrame, numbered: DataFrame, similarity: float = SIMILARITY)
     # A text that shares sketches with many others lies in the middle of its group and is a good pivot.
     middle = cut(shared.groupBy("rep").agg(F.sum("n").alias("c")), "omh-middle")
     members = cut(shared.join(middle.hint("merge"), "rep").select("bucket", "rep", "c", "n"), "omh-members")
-    name = _words_table(numbered, middle.select("rep"))
+    name = _words_table(named, middle.select("rep"))
     try:
         words = spark.table(name)
         found = _pivot_links(members, words, similarity)
@@ -344,32 +349,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     A class is a connected set of near duplicates; ``class_id`` is its smallest
     doc_id, whose first row is the one kept. ``n_links``: verified links
     between the text of the row and other texts. Texts with the same words
-    (runs of letters and digits, without regard to case) are near duplicates,
-    among them NULL, empty and wordless texts. Texts of fewer than ``K`` words
+    (runs of letters and digits, without regard to case; single letters in
+    scripts without blanks) are near duplicates. Texts without a word are when
+    they are equal but for white space; NULL counts as empty. Texts of fewer than ``K`` words
     are similar to texts with the same words only. A row without an id counts
     as one with the smallest possible id. An empty table gives no rows; further
     columns play no part.
     """
+    return _classes(numbered(docs.select(doc_id, text), "omh-numbered"), similarity, doc_id, text)
+
+
+def _classes(written: DataFrame, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """``classes`` of rows that are written with their numbers (``row``, ``row_no``)."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    numbered = _numbered(docs, doc_id, text)
-    rows = cut(_sketched(numbered), "omh-rows")
+    named = _named(written, doc_id, text)
+    rows = cut(_sketched(named), "omh-rows")
     first = F.min(F.struct(key.alias("key"), "row_no")).alias("first")
     equal = cut(rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")), "omh-equal")
     equal = equal.select("digest", "n", F.col("first.key").alias("key"), F.col("first.row_no").alias("rep"))
     texts = rows.select(F.col("row_no").alias("rep"), "sketches").join(equal.select("rep").hint("merge"), "rep", "left_semi")
-    found, roots = links(texts, numbered, similarity)
+    found, roots = links(texts, named, similarity)
     degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     members = equal.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     members = cut(members.withColumn("root", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("n_links", F.lit(0))), "omh-roots")
     whole = members.groupBy("root").agg(F.min(F.struct("key", "rep")).alias("best"), F.sum("n").alias("class_size"))
-    named = members.join(cut(whole, "omh-classes").hint("merge"), "root")
-    named = cut(named.select("digest", "n_links", "class_size", F.col("best.key").alias("class_id"), F.col("best.rep").alias("keep")), "omh-named")
-    out = rows.select("row_no", "doc_id", "digest").join(named.hint("merge"), "digest")
+    of = members.join(cut(whole, "omh-classes").hint("merge"), "root")
+    of = cut(of.select("digest", "n_links", "class_size", F.col("best.key").alias("class_id"), F.col("best.rep").alias("keep")), "omh-named")
+    out = rows.select("row_no", "doc_id", "digest").join(of.hint("merge"), "digest")
     return out.select("row_no", "doc_id", "class_id", "class_size", "n_links", (F.col("row_no") == F.col("keep")).alias("kept"))
 
 
 def distinct(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    dropped = classes(docs, similarity, doc_id, text).where("NOT kept").select(F.col("row_no").alias("_row_no"))
-    numbered = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    return numbered.join(dropped.hint("merge"), "_row_no", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    rows = numbered(docs, "omh-numbered")
+    dropped = _classes(rows, similarity, doc_id, text).where("NOT kept").select("row_no")
+    return rows.join(dropped.hint("merge"), "row_no", "left_anti").select("row.*")

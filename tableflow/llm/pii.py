@@ -2,18 +2,25 @@
 
 Fixed patterns give the base spans, which always stay. Generators with high
 recall propose further spans, which may overlap each other and the base: mail
-addresses with spelled-out signs, numbers with any separators, numbers in four
-parts. Boosted trees score every proposal by its format and its context. Their
-teacher is the corpus itself: a proposal that a base span covers is personal
-data, also after it is disguised the way people do it (signs spelled out, the
-plus or the separators changed); any other proposal is not. A threshold per
-kind, calibrated on a part of the sample the trees have not seen, selects the
-spans to add.
+addresses with spelled-out signs, numbers with any separators and the pieces of
+long runs of them, numbers in four parts. Boosted trees score every proposal by
+its format and its context.
+
+They learn from spans whose nature is known. Personal data: the base spans of a
+sample of the corpus as they are and disguised the way people do it, and spans
+made in the usual notations. Not personal data: numbers that only look alike,
+made as well (dates, amounts, ISBNs, order and serial numbers, versions, lists,
+ranges, prose with an ``at``), and proposals that a base span of another kind
+covers. Any other proposal of the corpus is of unknown nature and teaches
+nothing. A threshold per kind, calibrated on spans that the trees have not
+seen, lies above every wrong one of them; a kind with too few spans to tell
+adds none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +42,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SAMPLE_DOCS, SAMPLE_SPANS = 4000, 20_000
 CONTEXT = 24
-PRECISION, WRONG = 0.98, 0.002
+MADE = 6000  # spans made for learning, half of them personal data
+ENOUGH = 40  # right and wrong spans of a kind that calibration needs of each
 
 Span = tuple[str, int, int]
 
@@ -84,15 +92,24 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-SIGN = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
+SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]|(?<=\w) at (?=\w)", re.I)
 BEFORE = re.compile(r"[\w.%+-]{1,64}\s?\Z")
-BEHIND = re.compile(r"\s?[\w-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[\w-]{1,63}){1,5}", re.I)
+BEHIND = re.compile(r"\s?[\w-]{1,63}(?:(?:\s?(?:\.|[\[({]\s?(?:dot|\.)\s?[\])}])\s?|\sdot\s)[\w-]{1,63}){1,5}", re.I)
 NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9][0-9\x20().,/-]{5,}[0-9]")
-QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[.,]\s?[0-9]{1,3}){3}(?![0-9])")
+PIECE = re.compile(r"[+(]{0,2}[0-9](?:(?![,;/]\x20|\x20-\x20|\x20\x20)[0-9\x20().,/-])*[0-9]")
+QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?(?:[.,]|[\[({]\s?(?:\.|dot)\s?[\])}])\s?[0-9]{1,3}){3}(?![0-9])", re.I)
+
+
+def _numbers(text: str, start: int, end: int) -> Iterator[Span]:
+    digits = _digits(text[start:end])
+    if 12 <= len(digits) <= 19 and luhn(digits):  # what fails the check is no card
+        yield "card", start, end
+    if 7 <= len(digits) <= 15:
+        yield "phone", start, end
 
 
 def proposals(text: str) -> list[Span]:
-    """Spans that may be personal data, overlapping ones among them."""
+    """Spans that may be personal data, overlapping ones among them. A run of several numbers gives itself and its pieces."""
     found = []
     for sign in SIGN.finditer(text):
         left = BEFORE.search(text, max(0, sign.start() - 66), sign.start())
@@ -100,39 +117,52 @@ def proposals(text: str) -> list[Span]:
         if left and right:
             found.append(("email", left.start(), right.end()))
     for match in NUMBER.finditer(text):
-        size = len(_digits(match.group()))
-        if 12 <= size <= 19:
-            found.append(("card", match.start(), match.end()))
-        if 7 <= size <= 15:
-            found.append(("phone", match.start(), match.end()))
+        found += _numbers(text, match.start(), match.end())
+        for piece in PIECE.finditer(text, match.start(), match.end()):
+            if piece.span() != match.span():
+                found += _numbers(text, *piece.span())
     found += [("ip", m.start(), m.end()) for m in QUAD.finditer(text)]
     return found
 
 
+# Words before a span that speak for its kind, and words that speak for another number.
 HINTS = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "addr"),
-    "card": ("card", "visa", "credit", "pay"),
-    "phone": ("phone", "tel", "call", "fax", "mobile"),
+    "email": ("mail", "contact", "write", "reach"),
+    "ip": ("ip", "host", "server", "addr", "ping"),
+    "card": ("card", "visa", "credit", "pay", "master"),
+    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "dial", "reach"),
 }
+OTHER = (
+    "isbn", "ean", "order", "serial", "version", "release", "ref", "invoice", "date", "total", "amount", "sum", "usd", "eur", "$",
+    "id", "no.", "number", "page", "between", "from", "ticket", "account", "score", "list", "step", "section",
+)
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][01]?[0-9][-./][0-3]?[0-9]|[0-3]?[0-9][-./][01]?[0-9][-./](?:19|20)[0-9]{2}")
+THOUSANDS = re.compile(r"[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]{1,2})?")
 
 
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and of its surroundings; the checks of the base patterns are not among them but for Luhn."""
     kind, start, end = span
     own, left, right = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-    numbers = [len(x) for x in re.findall(r"[0-9]+", own)] or [0]
-    digits = sum(numbers)
-    around = left + right
+    groups = re.findall(r"[0-9]+", own) or [""]
+    sizes = [len(x) for x in groups]
+    digits = sum(sizes)
+    values = [int(x[-9:] or 0) for x in groups]
+    near = left.lower()
+    words = re.findall(r"[^\W\d_]+", own.lower()) or [""]
+    seps = set(re.sub(r"[0-9A-Za-z]", "", own))
     return [
-        len(own), digits, len(numbers), max(numbers), min(numbers), digits / max(len(own), 1),
-        own.count(" "), own.count("."), own.count("-"), own.count("(") + own.count(")"), own.count(",") + own.count("/"),
-        float("@" in own), float(own[:1] == "+"), float(own[:1] in "(["),
-        float(max((int(x[-9:]) for x in re.findall(r"[0-9]+", own)), default=0) <= 255),
-        float(bool(digits) and luhn(_digits(own))),
-        float(left[-1:].isalnum()), float(right[:1].isalnum()), float(left[-1:].isspace()), float(right[:1].isspace()),
-        sum(c.isdigit() for c in around) / max(len(around), 1), sum(c.isalpha() for c in around) / max(len(around), 1),
-        float(any(h in left.lower() for h in HINTS[kind])), float(KINDS.index(kind)),
+        len(own), digits, len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], digits / max(len(own), 1), len(seps),
+        own.count(" "), own.count("."), own.count("-"), own.count("(") + own.count(")") + own.count("["), own.count(","), own.count("/"),
+        own.count(", ") + own.count(" - "), float("@" in own), float(own[:1] == "+"), float(own[:1] == "("), float(own[:2] == "00"),
+        float(own[:1] == "0"), float(max(values) <= 255), float(max(values) >= 32), float(values == sorted(values)),
+        float(bool(digits) and luhn(_digits(own))), float(bool(DATE.search(own))), float(bool(THOUSANDS.fullmatch(own))),
+        float(_digits(own)[:3] in ("978", "979")), float(own.lower().count("dot")), float(" at " in own.lower()), float(words[-1] in ENDINGS),
+        len(words), max(map(len, words)), float(left[-1:].isalnum()), float(right[:1].isalnum()), float(right[:1] == ":"),
+        float(right[:2].strip()[:1].isdigit()), float(left[-2:].strip()[-1:].isdigit()),
+        sum(c.isdigit() for c in left + right) / max(len(left + right), 1),
+        float(any(h in near for h in HINTS[kind])), float(any(h in near for h in OTHER)), float(KINDS.index(kind)),
     ]
 
 
@@ -141,16 +171,88 @@ def disguises(text: str, span: Span) -> Iterator[tuple[str, Span]]:
     kind, start, end = span
     own = text[start:end]
     ways = {
-        "email": [own.replace("@", " (at) "), own.replace("@", "[at]").replace(".", " (dot) ")],
-        "ip": [own.replace(".", " . "), own.replace(".", ",")],
+        "email": [own.replace("@", " (at) "), own.replace("@", "[at]").replace(".", " (dot) "), own.replace("@", " at ").replace(".", " dot ")],
+        "ip": [own.replace(".", " . "), own.replace(".", "[.]")],
         "card": [re.sub(r"(?<=[0-9])(?=(?:[0-9]{4})+$)", ".", _digits(own)), "/".join(re.findall(r"[0-9]{1,4}", _digits(own)))],
-        "phone": [own.lstrip("+"), "00" + _digits(own), re.sub(r"[^0-9]+", "/", own.lstrip("+"))],
+        "phone": ["00" + _digits(own), "00" + re.sub(r"[^0-9]+", " ", own.lstrip("+"))],
     }
     left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     for way in ways[kind]:
         yield left + way + right, (kind, len(left), len(left) + len(way))
 
 
+def _pattern(draw: random.Random, form: str) -> str:
+    """``form`` with a digit for every ``#`` and one above zero for every ``%``."""
+    return re.sub("[#%]", lambda m: str(draw.randint(m.group() == "%", 9)), form)
+
+
+def _card(draw: random.Random) -> str:
+    number = draw.choice("3456") + _pattern(draw, "#" * draw.choice([12, 13, 14, 14, 14]))
+    return next(number + str(d) for d in range(10) if luhn(number + str(d)))
+
+
+# Usual notations: ``#`` is any digit, ``%`` one above zero.
+PHONES = (
+    "%##-%##-####", "(%##) %##-####", "(%##)%##-####", "%##.%##.####", "%## %## ####", "1-8##-%##-####", "00%# %# #### ####", "00%#%########",
+    "00%# %## %######", "0%##/%######", "0%# ## ## ## ##", "0%###-%#####", "+%# (0)%## %######", "0%## %### ####",
+)
+NUMBERS = (
+    "19##-0%-1#", "20##-0%-2#", "20##-1#-0%", "2%.0%.20##", "0%/1#/19##", "20##-0%-1# 1#", "20##-0%-0% 0#", "20##/0%/2#", "%,###,###", "%#,###,###",
+    "%.###.###,##", "%###,###.##", "%,###,### - %,###,###", "%###### - %######", "978-%-%##-#####-#", "978%#########", "979##########", "%-%##-#####-#",
+    "%######", "%#######", "%########", "%#########", "%##########", "%###########", "%############", "%##############", "%###############",
+    "%###-%###", "%##, %##, %##", "%#, %#, %#, %#", "%, %, %, %", "%,%,%,%", "%.#, %.#, %.#, %.#", "%##.####, %.####", "19##-19##, 20##", "%####-####",
+    "%#/%#/%#/%#", "%###/%###", "%##-%##, %##-%##", "%##.%##,##", "%## %##", "%### %### %###", "%.%.%, %.%.%", "%#-%#-%#-%#",
+)
+NAMES = ("john", "anna.k", "m_weber", "sales", "info", "j-doe7", "office", "x.y", "lee", "support", "claire99", "no.reply")
+HOSTS = ("example", "mail", "corp", "my-site", "uni", "acme", "web", "post", "firm24", "lab")
+PROSE = (
+    "look (at) this. Then go", "meet @ noon. Tomorrow is", "we arrived at six. Later they", "sold @ 3.50 each", "5 (at) 2.50 apiece",
+    "stay at home dot the end", "aim at it. Fire", "good at maths. She", "draw at point dot line", "look at the. end", "stop at red. Go at green",
+    "he laughed at me. Why", "paid at once. In full", "(at) last. It was", "is at stake. Nothing",
+)
+LEADS_OTHER = (
+    "ISBN ", "ISBN: ", "EAN ", "order ", "order no. ", "serial ", "version ", "release ", "ref. ", "invoice ", "dated ", "total ", "sum of ", "USD ", "$",
+    "id ", "no. ", "pages ", "between ", "from ", "ticket ", "account ", "scores ", "steps ", "section ", "on ", "in ", "of ", "about ", "and ", "the ", "",
+)
+
+
+def made(draw: random.Random, words: list[str]) -> tuple[str, Span, float]:
+    """A text made of some words around a span that is personal data (1.0) or only looks so (0.0)."""
+    kind, yes = draw.choice(KINDS), draw.random() < 0.5
+    about = " ".join(draw.choices(words, k=3))
+    if yes:
+        lead = about + " " + (draw.choice(HINTS[kind]) + draw.choice([" ", ": ", " me ", " at "]) if draw.random() < 0.6 else "")
+        if kind == "phone":
+            own = _pattern(draw, draw.choice(PHONES))
+        elif kind == "card":
+            own = re.sub(r"(?<=[0-9])(?=(?:[0-9]{4})+$)", draw.choice([".", "/", " ", "-", ". "]), _card(draw))
+        elif kind == "ip":
+            dot = draw.choice(["[.]", "(.)", " . ", " [.] ", "[dot]", " (dot) "])
+            own = dot.join(str(draw.randint(0, 255)) for _ in range(4))
+        else:
+            at, dot = draw.choice([("(at)", "."), (" (at) ", " dot "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), ("@", " (dot) "), (" [at] ", " [dot] ")])
+            own = dot.join([draw.choice(NAMES) + at + draw.choice(HOSTS), draw.choice(ENDINGS)])
+    else:
+        lead = about + " " + (draw.choice(LEADS_OTHER) if draw.random() < 0.8 else "")
+        own = draw.choice(PROSE) if kind == "email" else _pattern(draw, draw.choice(NUMBERS))
+        if kind == "card" and draw.random() < 0.5:  # one number in ten passes the check of cards by chance
+            own = next(n for n in iter(lambda: _pattern(draw, "%" + "#" * draw.randint(11, 14)), "") if luhn(n))
+    tail = draw.choice([" ", ". ", ", ", ":30:45 " if "-" in own else " ", ""]) + " ".join(draw.choices(words, k=2))
+    return lead + own + tail, (kind, len(lead), len(lead) + len(own)), float(yes)
+
+
+def made_examples(words: list[str], n: int = MADE, seed: int = 11) -> Iterator[tuple[list[float], float, str]]:
+    """The proposals in ``n`` made texts: right where they are the span made, wrong in texts without personal data."""
+    draw = random.Random(seed)
+    for _ in range(n):
+        text, place, yes = made(draw, words)
+        for span in dict.fromkeys(proposals(text)):
+            if yes and span == place:
+                yield features(text, span), 1.0, span[0]
+            elif not yes or (span[0] != place[0] and span[1] < place[2] and place[1] < span[2]):
+                yield features(text, span), 0.0, span[0]
+
+
 @dataclass
 class Trees:
     """Boosted trees of fixed depth: per tree the feature and cut of each inner node, and the value of each leaf."""
@@ -232,17 +334,22 @@ def _examples(text: str) -> Iterator[tuple[list[float], float, str]]:
     base = base_spans(text)
     for span in proposals(text):
         kind, start, end = span
-        own = any(k == kind and a < end and start < b for k, a, b in base)
-        yield features(text, span), float(own), kind
+        over = [k for k, a, b in base if a < end and start < b]
+        if (kind, start, end) in base:
+            yield features(text, span), 1.0, kind
+        elif over and kind not in over:
+            yield features(text, span), 0.0, kind
     for span in base:
         for changed, place in disguises(text, span):
-            yield features(changed, place), 1.0, span[0]
+            if place in proposals(changed):
+                yield features(changed, place), 1.0, span[0]
 
 
 def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> PiiModel:
-    """Fit on the proposals of about ``sample_docs`` documents that hold a digit or an ``@``, at most ``sample_spans`` of them.
+    """Fit on made spans and on those of about ``sample_docs`` documents that hold a digit or an ``@``, at most ``sample_spans``.
 
-    The documents are taken by a hash of their text, so copies come and go together.
+    The documents are taken by a hash of their text, so copies come and go
+    together. The same documents give the same model.
     """
     able = docs.select(docs[text].alias("text")).where(F.col("text").rlike("[0-9@]"))
     n = able.count()
@@ -256,22 +363,17 @@ def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sam
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], ["x", "y", "kind"])
 
     rows = in_arrow(taken, run, "x binary, y double, kind string").orderBy(F.xxhash64("x", "y"), "x").limit(sample_spans).collect()
-    if not rows:
-        return PiiModel(boost(np.zeros((0, 24)), np.zeros(0), trees=0), dict.fromkeys(KINDS, np.inf))
-    x, y = np.array([np.frombuffer(r.x, "<f8") for r in rows]), np.array([r.y for r in rows])
-    kinds, check = np.array([r.kind for r in rows]), np.arange(len(rows)) % 4 == 0
-    trees = boost(x[~check], y[~check])
+    rows = [(np.frombuffer(r.x, "<f8"), r.y, r.kind) for r in rows]
+    rows += [(np.array(x), y, kind) for x, y, kind in made_examples(["and", "the", "of", "alpha", "noch", "para", "avec", "see", "thing"])]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    kinds, check = np.array([r[2] for r in rows]), np.arange(len(rows)) % 4 == 0
+    trees = boost(x[~check], y[~check], trees=60)
     margins, limits = trees.margin(x), {}
     for kind in KINDS:
-        own = np.flatnonzero(check & (kinds == kind))
-        order = own[np.argsort(-margins[own])]
-        precision = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(precision >= PRECISION)
-        # The lowest score down to which the checked spans are right often enough, above all but a few of the
-        # wrong ones; none without right ones.
-        wrong = margins[own[y[own] == 0]]
-        clear = float(np.quantile(wrong, 1 - WRONG)) + 1e-9 if len(wrong) else -np.inf
-        limits[kind] = max(float(margins[order[good[-1]]]), clear) if len(good) and y[order].any() else np.inf
+        own = check & (kinds == kind)
+        right, wrong = margins[own & (y == 1)], margins[own & (y == 0)]
+        enough = min(len(right), len(wrong)) >= ENOUGH
+        limits[kind] = max(float(wrong.max()) + 1e-9, 0.0) if enough else np.inf
     return PiiModel(trees, limits)
 
 

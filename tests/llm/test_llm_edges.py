@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and further columns with clashing names."""
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,51 @@ def test_personal_data(docs, none):
     assert pii.find(none, pii.fit(none)).count() == 0
 
 
+NUMBERS = (
+    "ISBN 9780306406157", "order 1234567890123", "2024-01-15 10:30:45", "1,000,000 - 2,000,000", "version 1, 2, 3, 4", "serial 5551234",
+    "ISBN 978-0-306-40615-7", "years 1999-2004, 2006", "on 15.01.2024 we", "look (at) this. Then", "id 2428694969355626", "invoice 20240115",
+    "at 48.8566, 2.3522", "seen at six. Later on", "1 2 3 4 5 6 7 8 9",
+)
+DISGUISED = {
+    "write john (at) example dot com": [("email", 6, 31)], "212-555-0100, 212-555-0101": [("phone", 0, 12), ("phone", 14, 26)],
+    "call (212) 555-0100 now": [("phone", 5, 19)], "server 192[.]0[.]2[.]7 is": [("ip", 7, 22)], "card 4111.1111.1111.1111 now": [("card", 5, 24)],
+    "tel 0049 30 1234567": [("phone", 4, 19)],
+}
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark, medium):
+    return pii.fit(spark.read.parquet(f"{medium}/documents.parquet"))
+
+
+@pytest.mark.parametrize("text", NUMBERS)
+def test_numbers_that_only_look_alike_are_left(pii_model, text):
+    assert pii_model.spans(text) == ([], [])
+
+
+@pytest.mark.parametrize("text", sorted(DISGUISED))
+def test_disguised_personal_data_is_added_and_masked(spark, pii_model, text):
+    base, added = pii_model.spans(text)
+    assert (base, added) == ([], DISGUISED[text])
+    masked = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii_model).first().text
+    assert masked == pii.redacted(text, DISGUISED[text]) and not any(text[a:b] in masked for _, a, b in DISGUISED[text])
+
+
+def test_made_spans_held_out(pii_model):
+    """Texts made with another seed: none of the wrong spans and most of the right ones are added."""
+    import random
+
+    draw, right, found, wrong = random.Random(77), 0, 0, 0
+    for _ in range(1500):
+        text, place, yes = pii.made(draw, ["one", "deux", "drei", "cuatro"])
+        base, added = pii_model.spans(text)
+        if yes and place not in base:
+            right, found = right + 1, found + (place in added)
+        elif not yes:
+            wrong += bool(added)
+    assert found > 0.8 * right and wrong <= 8, (found, right, wrong)
+
+
 def test_redacting_overlapping_spans():
     assert pii.redacted("abcdefgh", [("email", 1, 4), ("phone", 3, 6), ("ip", 7, 8)]) == "a<EMAIL>g<IP>"
     assert pii.redacted("", []) == ""
@@ -104,6 +151,41 @@ def test_exact(docs, none):
     assert exact.groups(none).count() == 0
 
 
+@pytest.mark.parametrize("distinct", [exact.distinct, neardup.distinct])
+def test_rows_keep_their_numbers_and_columns(spark, distinct, tmp_path):
+    """Another split of the scan between two passes, and a caller's column named like an inner one, change nothing."""
+    rows = [(i, " ".join(f"w{i % 400}x{j}" for j in range(12)), f"mine{i}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row_no string, row_no long").repartition(20)
+    df.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    out = distinct(docs)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r.doc_id: r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert set(got) == set(range(400)) and all(r._row_no == f"mine{k}" and r.row_no == k for k, r in got.items())
+    assert out.columns == docs.columns
+
+
+def test_near_copies_in_scripts_without_blanks(spark):
+    chinese = "".join(chr(0x4E00 + 37 * i % 3000) for i in range(300))
+    thai = "".join(chr(0x0E01 + 7 * i % 40) for i in range(260)) + "".join(chr(0x0E01 + 11 * i % 43) for i in range(200))
+    rows = [(1, chinese), (2, chinese[:-1] + "龍"), (3, thai), (4, thai[:-3] + "กกก"), (5, chinese[::-1]), (6, "!!!"), (7, "---"), (8, "---"), (9, None), (10, "")]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9}
+
+
+def test_words_in_all_scripts():
+    from tableflow.llm.common import word_hashes
+
+    texts = pa.array(["Hello, wörld 12", "中文字符 test", "ภาษา", "!!!", "", "ÉTÉ été", "हिन्दी भाषा", "a·b“c”"], pa.large_string())
+    words, ends = word_hashes(texts)
+    assert np.diff(ends).tolist() == [3, 5, 4, 0, 0, 2, 2, 3]
+    alone = word_hashes(pa.array(["hello"], pa.large_string()))[0]
+    assert words[0] == alone[0] and words[ends[5]] == words[ends[5] + 1] != words[0]
+
+
 def test_exact_through_all_levels(spark):
     long = "q" * 700_000
     texts = [long + "a", long + "b", long + "a ", long[:-1] + "za", "x" * 32, "x" * 33, "x" * 32, "é" * 16, "x" * 544, "x" * 543 + "y"]
@@ -118,6 +200,9 @@ def test_toxicity(spark, docs, none):
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
     one = toxicity.score(docs, known.where("toxic = 1"), F.lit(True), F.col("doc_id") == 2).collect()
     assert {r.score for r in one} == {1.0}
+    twins = spark.createDataFrame([(None, "x y"), (None, "x y"), (5, "p q")], "doc_id long, text string").withColumn("row_no", F.lit("mine"))
+    assert toxicity.accepted(twins, known.limit(0), *toxicity.default_folds(), limit=0.5).count() == 3
+    assert toxicity.accepted(twins, known.where("toxic = 1"), F.lit(True), F.lit(True), limit=0.5).columns == ["doc_id", "text", "row_no"]
     assert {r.score for r in toxicity.score(docs, known.limit(0), *toxicity.default_folds()).collect()} == {0.0}
     assert toxicity.score(none, known, *toxicity.default_folds()).count() == 0
 

@@ -130,6 +130,115 @@ def test_a_damaged_frame_is_found(tmp_path):
         [list(f) for _, f in FrameReader(pafs.LocalFileSystem().open_input_file(path)).documents()]
 
 
+TOXIC_ROWS = [
+    ("you bad bad dog", 1), ("bad dog you", 1), ("bad cat runs", 1), ("bad", 1), ("a good dog runs", 0), ("good cat", 0), ("the cat runs", 0),
+    ("the dog", 0), ("a cat", 0), ("good good good", 0), ("runs the cat", 0), ("bad luck", 0), ("bad dog now", 1), ("the dog runs", 0),
+]
+
+
+def plain_ratios(rows):
+    """(n, ratio) of words and pairs by the formulas of the module, in plain Python."""
+    import math
+
+    from tableflow.llm import toxicity
+
+    found = {}
+    for text, toxic in rows:
+        words = text.split()
+        for x in {*words, *zip(words, words[1:])}:
+            t, o = found.get(x, (0, 0))
+            found[x] = (t + toxic, o + 1 - toxic)
+    out = {}
+    for pair in (False, True):
+        mine = {x: c for x, c in found.items() if isinstance(x, tuple) == pair}
+        whole = [sum(c[i] for c in mine.values()) for i in (0, 1)]
+        q = whole[0] / sum(whole)
+        d, free = [], []
+        for i in (0, 1):
+            one, two = (sum(c[i] == k for c in mine.values()) for k in (1, 2))
+            d.append(one / (one + 2 * two) if one else 0.5)
+            freed = sum(min(c[i], 1.0 if pair and c[i] == 1 else d[i]) for c in mine.values())
+            free.append(freed / whole[i])
+        several = {x: c for x, c in mine.items() if not pair or sum(c) > 1}
+        s = toxicity.SPREAD
+
+        def evidence(t, o):
+            whole_ = math.lgamma(s) - math.lgamma(q * s) - math.lgamma((1 - q) * s)
+            return math.lgamma(t + q * s) + math.lgamma(o + (1 - q) * s) - math.lgamma(t + o + s) + whole_ - t * math.log(q) - o * math.log(1 - q)
+
+        share = 0.01
+        for _ in range(200):
+            chances = [1 / (1 + (1 - share) / share * math.exp(-evidence(*c))) for c in several.values()]
+            share = min(max(sum(chances) / len(chances), 1e-9), 0.5)
+        for x, c in several.items():
+            chance = 1 / (1 + (1 - share) / share * math.exp(-evidence(*c)))
+            p = []
+            for i in (0, 1):
+                own = 0 if pair and c[i] == 1 else max(c[i] - d[i], 0)
+                p.append(own / whole[i] / (sum(c) / sum(whole)) + free[i])
+            out[x] = (sum(c), math.log((1 - chance + chance * p[0]) / (1 - chance + chance * p[1])))
+    return out
+
+
+def test_toxicity_probabilities_equal_brute_force(spark):
+    from tableflow.llm import toxicity
+    from tableflow.llm.common import mix, word_hashes
+
+    df = spark.createDataFrame(TOXIC_ROWS, "text string, toxic long").repartition(3)
+    got = {r.key: (r.n, r.ratio) for r in toxicity.ratios(toxicity.count_expressions(df)).collect()}
+    expected = plain_ratios(TOXIC_ROWS)
+
+    def key(x):
+        words = word_hashes(pa.array([" ".join(x) if isinstance(x, tuple) else x], pa.large_string()))[0]
+        if len(words) == 1:
+            return (mix(words) & ~np.uint64(1)).view(np.int64)[0].item()
+        return (mix(words[:1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) | np.uint64(1)).view(np.int64)[0].item()
+
+    assert len(got) == len(expected)
+    for x, (n, ratio) in expected.items():
+        assert got[key(x)][0] == n and got[key(x)][1] == pytest.approx(ratio, abs=1e-7), x
+
+
+def two_word_docs(n=1500):
+    """Ordinary words in all texts; ``red stone`` in a row only in toxic ones, both words apart in all."""
+    import random
+
+    draw = random.Random(5)
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 5 == 0
+        words = [f"w{draw.randrange(300)}" for _ in range(40)]
+        words[3], words[17], words[30] = "red", "stone", "stone" if draw.random() < 0.5 else "red"
+        if toxic:
+            words[22:24] = ["red", "stone"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_an_expression_of_ordinary_words_is_told_apart(spark, monkeypatch, held):
+    from tableflow.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "HELD", held)
+    rows, labels = two_word_docs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scored = toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), *toxicity.default_folds())
+    got = {r.doc_id: r for r in scored.collect()}
+    held_out = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    right = sum(got[i].predicted == dict(labels)[i] for i in held_out)
+    assert right > 0.97 * len(held_out)
+
+
+def test_what_is_held_and_what_is_joined_add_up_alike(spark, monkeypatch, small):
+    from tableflow.llm import toxicity
+
+    whole = {r.doc_id: r.score for r in QUERIES["op6_toxicity"](spark, small).collect()}
+    monkeypatch.setattr(toxicity, "HELD", 100)
+    parts = {r.doc_id: r.score for r in QUERIES["op6_toxicity"](spark, small).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
+
+
 def test_toxic_words_are_learned(spark, medium):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
     rows = QUERIES["op6_toxicity"](spark, medium).collect()
