@@ -221,8 +221,9 @@ def _hold(table: DataFrame) -> tuple[Held, DataFrame | None]:
 
 
 def sums(rows: DataFrame, table: DataFrame | None) -> DataFrame:
-    """Per row of ``rows`` (row_no, text): its row_no, the ratios of its words and of its pairs added up, and its words."""
-    schema = "row_no long, word double, pair double, size long, rest array<long>, times array<int>"
+    """Per row of ``rows`` (row_no, doc_id, text): row_no, doc_id, the ratios of its words and of its pairs added up, and
+    its size. The numbers are those of this one scan, and they are written with the sums."""
+    schema = "row_no long, doc_id long, word double, pair double, size long, rest array<long>, times array<int>"
     held, rest = (Held(np.zeros(0, np.int64), np.zeros(0), None), None) if table is None else _hold(table)
     handed = rows.sparkSession.sparkContext.broadcast(held)
 
@@ -241,10 +242,10 @@ def sums(rows: DataFrame, table: DataFrame | None) -> DataFrame:
                 lists = [pa.array(kinds[once % max(len(kinds), 1)]), pa.array(times, pa.int32())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("row_no").slice(start, end - start), *map(pa.array, both), pa.array(size, pa.int64()),
-                        *[pa.ListArray.from_arrays(ends, x) for x in lists],
+                        *[batch.column(c).slice(start, end - start) for c in ("row_no", "doc_id")],
+                        *map(pa.array, both), pa.array(size, pa.int64()), *[pa.ListArray.from_arrays(ends, x) for x in lists],
                     ],
-                    ["row_no", "word", "pair", "size", "rest", "times"],
+                    ["row_no", "doc_id", "word", "pair", "size", "rest", "times"],
                 )
 
     part = in_arrow(rows, run, schema)
@@ -258,7 +259,7 @@ def sums(rows: DataFrame, table: DataFrame | None) -> DataFrame:
     more = found.groupBy("row_no").agg(*[F.sum(F.when(c, F.col("value"))).alias(f"more_{k}") for k, c in zip(KINDS, (~is_pair, is_pair))])
     whole = part.drop("rest", "times").join(more.hint("merge"), "row_no", "left")
     added = {k: F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0)) for k in KINDS}
-    return cut(whole.withColumns(added).select("row_no", *KINDS, "size"), "toxic-sums")
+    return cut(whole.withColumns(added).select("row_no", "doc_id", *KINDS, "size"), "toxic-sums")
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -281,20 +282,17 @@ def _features(kind: str) -> list[Column]:
     return [clip(F.col(kind) * 100 / size, 20.0), clip(F.col(kind) / F.sqrt(size), 10.0)]
 
 
-def _scored(rows: DataFrame, labels: DataFrame, trains: Column, calibrates: Column, doc_id: str, text: str) -> DataFrame:
-    """row_no, doc_id and score of written rows (``row``, ``row_no``)."""
-    named = rows.select("row_no", F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"row.`{text}`").alias("text"))
+def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Column) -> DataFrame:
+    """row_no, doc_id and score of rows (row_no, doc_id, text)."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("long").alias("toxic"))
     learn = known.where(trains & ~calibrates)
     # Only texts that may have a label are moved to it.
-    labelled = named.where(trains & ~calibrates).where(key_filter(learn, ["doc_id"])).join(learn.hint("merge"), "doc_id")
+    labelled = named.select("doc_id", "text").where(trains & ~calibrates).where(key_filter(learn, ["doc_id"])).join(learn.hint("merge"), "doc_id")
     table = ratios(cut(count_expressions(labelled), "kn-counts"))
     if table is not None:
         table = cut(table, "kn-ratios")
-    ids = named.select("row_no", "doc_id")
-    found = ids.join(sums(named.select("row_no", "text"), table).hint("merge"), "row_no")
-    found = cut(found, "toxic-features")
+    found = sums(named, table)
     curve_ids = known.where(calibrates)
     n = curve_ids.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < -(-(CURVE_ROWS << 20) // max(n, 1))
@@ -331,8 +329,8 @@ def score(
     every score is the share of toxic labels. Repeated rows give repeated rows;
     further columns play no part.
     """
-    rows = numbered(docs.select(doc_id, text), "toxic-rows")
-    scored = _scored(rows, labels, trains, calibrates, doc_id, text)
+    named = docs.select(F.monotonically_increasing_id().alias("row_no"), docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    scored = _scored(named, labels, trains, calibrates)
     return scored.select("doc_id", "score").withColumn("predicted", (F.col("score") >= limit).cast("int"))
 
 
@@ -347,7 +345,8 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with all their columns: each row by itself, whatever its id."""
     rows = numbered(docs, "toxic-rows")
-    rejected = _scored(rows, labels, trains, calibrates, doc_id, text).where(F.col("score") >= limit).select("row_no")
+    named = rows.select("row_no", F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"row.`{text}`").alias("text"))
+    rejected = _scored(named, labels, trains, calibrates).where(F.col("score") >= limit).select("row_no")
     return rows.join(rejected, "row_no", "left_anti").select("row.*")
 
 
