@@ -35,13 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import cut, fold, in_arrow, mix, numbered, text_slices, word_hashes
 from tableflow.operators.joins import key_filter
 
-HELD = 1 << 20  # expressions whose ratios the scoring tasks hold: 16 MB
+HELD = 1 << 22  # expressions whose ratios the scoring tasks hold: 64 MB
 FILTER_BITS = 1 << 26  # of the filter of all others: 8 MB
 CURVE_ROWS = 20_000
 EXACT = 64  # counts above are put together, within 1/32 of them, where the share of telling expressions is fitted
@@ -130,21 +130,24 @@ def ratios(counts: DataFrame) -> DataFrame | None:
     toxic texts. None if one of the classes has no document."""
     t, o, n = F.col("t"), F.col("o"), F.col("t") + F.col("o")
     pair = F.col("key").bitwiseAND(F.lit(1)) == 1
-    parts = []
+    # What the discounts need is summed while the counts are written; pairs of one document go into these sums only.
+    watch, measures = Observation(), []
     for kind, own in zip(KINDS, (~pair, pair)):
-        mine = counts.where(own)
-        measures = [F.sum(n).alias("all_n")]
         for c in "to":
-            measures += [F.sum(c).alias(f"all_{c}"), *[F.count_if(F.col(c) == k).alias(f"n{k}_{c}") for k in (1, 2)]]
-            measures.append(F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))
-        seen = mine.agg(*measures).first()
-        if kind == "word" and not (seen.all_t and seen.all_o):
+            count = F.when(own, F.col(c)).otherwise(0)
+            measures += [F.sum(count).alias(f"{kind}_all_{c}"), F.count_if(count > 0).alias(f"{kind}_kinds_{c}")]
+            measures += [F.count_if(count == k).alias(f"{kind}_n{k}_{c}") for k in (1, 2)]
+    counts = cut(counts.observe(watch, *measures).where(~pair | (n > 1)), "kn-counts")
+    seen_of = {k: v or 0 for k, v in watch.get.items()}
+    parts = []
+    for kind, own in zip(KINDS, (~pair, pair)):
+        mine, seen = counts.where(own), {k.removeprefix(f"{kind}_"): v for k, v in seen_of.items() if k.startswith(kind)}
+        all_n = seen["all_t"] + seen["all_o"]
+        if kind == "word" and not (seen["all_t"] and seen["all_o"]):
             return None
-        if not (seen.all_t and seen.all_o):
+        if not (seen["all_t"] and seen["all_o"]):
             continue
-        if kind == "pair":
-            mine = mine.where(n > 1)
-        q = seen.all_t / seen.all_n
+        q = seen["all_t"] / all_n
 
         def put_together(x: Column) -> Column:
             step = F.greatest(F.pow(F.lit(2.0), F.floor(F.log2(x)) - 5), F.lit(1.0))
@@ -164,7 +167,7 @@ def ratios(counts: DataFrame) -> DataFrame | None:
             own_part = F.greatest(F.col(c) - d, F.lit(0.0))
             if kind == "pair":
                 own_part = F.when(F.col(c) > 1, own_part).otherwise(0.0)
-            held[c] = own_part * seen.all_n / (n * whole) + free
+            held[c] = own_part * all_n / (n * whole) + free
         ratio = F.log((1 - chance + chance * held["t"]) / (1 - chance + chance * held["o"]))
         parts.append(mine.select("key", n.alias("n"), ratio.alias("ratio")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -289,7 +292,7 @@ def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Col
     learn = known.where(trains & ~calibrates)
     # Only texts that may have a label are moved to it.
     labelled = named.select("doc_id", "text").where(trains & ~calibrates).where(key_filter(learn, ["doc_id"])).join(learn.hint("merge"), "doc_id")
-    table = ratios(cut(count_expressions(labelled), "kn-counts"))
+    table = ratios(count_expressions(labelled))
     if table is not None:
         table = cut(table, "kn-ratios")
     found = sums(named, table)
