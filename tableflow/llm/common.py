@@ -112,8 +112,8 @@ BORDER, LETTER, ALONE = 0, 1, 2
 @lru_cache(1)
 def letter_classes() -> np.ndarray:
     """For every code point whether it is a border, a letter (or digit or mark), or a letter that stands alone."""
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every, place = "".join(map(chr, points)), np.array(points)
+    place = np.concatenate([np.arange(0xD800, dtype=np.uint32), np.arange(0xE000, 0x110000, dtype=np.uint32)])
+    every = place.astype("<u4").tobytes().decode("utf-32-le")
     out = np.zeros(0x110000, np.uint8)
     scripts = "".join(rf"\p{{Script={name}}}" for name in UNSPACED)
     for value, pattern in ((LETTER, r"[\p{L}\p{N}\p{M}]+"), (ALONE, rf"[[{scripts}]&&[\p{{L}}\p{{N}}\p{{M}}]]+")):

@@ -24,11 +24,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import cut, in_arrow, mix, numbered, text_slices, word_hashes
-from tableflow.session import new_path, write_counted
+from tableflow.session import new_path
 
 K, TUPLE, SKETCHES = 5, 3, 16
 PIVOTS = 3
@@ -321,11 +321,22 @@ def _links_between(members: DataFrame, parts: DataFrame, words: DataFrame, simil
     return cut(good.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "omh-links-between")
 
 
+def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Written edges (a, b), and their number and the sum of their hashes, from the same pass."""
+    watch, path = Observation(), new_path(edges.sparkSession, "star")
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    edges.observe(watch, F.count(F.lit(1)).alias("rows"), mark.alias("mark")).write.parquet(path)
+    seen = watch.get
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), (seen["rows"], seen["mark"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b): node, least node of its component. Alternating star contraction, in written rounds."""
-    spark = edges.sparkSession
-    state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-0")
-    while True:
+    """Connected components of (a, b): node, least node of its component. Alternating star contraction, in written rounds.
+
+    A round that leaves as many edges with the same sum of hashes has changed nothing.
+    """
+    state, mark = _stored_edges(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while mark[0]:
         # Large star: every neighbour above a node is linked to the least one around it.
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
@@ -335,12 +346,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "star-low")
         small = large.join(low.hint("merge"), "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        path = new_path(spark, "star")
-        n = write_counted(small.distinct(), path)["rows"]
-        after = spark.read.schema(state.schema).parquet(path)
-        if n == state.count() and not after.exceptAll(state).limit(1).count():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = after
+        before = mark
+        state, mark = _stored_edges(small.distinct())
+        if mark == before:
+            break
+    return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,13 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tableflow.llm.common import cut, fold, in_arrow, mix, numbered, text_slices, word_hashes
+from tableflow.llm.common import cut, fold, in_arrow, mix, text_slices, word_hashes
 from tableflow.operators.joins import key_filter
 
 HELD = 1 << 22  # expressions whose ratios the scoring tasks hold: 64 MB
 FILTER_BITS = 1 << 26  # of the filter of all others: 8 MB
 CURVE_ROWS = 20_000
+SLICE = 1 << 20  # bytes of text that a task works on at once
 EXACT = 64  # counts above are put together, within 1/32 of them, where the share of telling expressions is fitted
 SPREAD = 1 / 16  # of the class shares of telling expressions: the smaller, the nearer each is to 0 or 1
 KINDS = ("word", "pair")
@@ -81,7 +83,7 @@ def count_expressions(labelled: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, texts in text_slices(batch):
+            for start, end, texts in text_slices(batch, most=SLICE):
                 toxic = batch.column("toxic").slice(start, end - start).to_numpy(zero_copy_only=False).astype(np.int64)
                 keys, own, _ = expressions(texts)
                 kinds, place, first = _once(keys, own)
@@ -223,16 +225,17 @@ def _hold(table: DataFrame) -> tuple[Held, DataFrame | None]:
     return Held(rows.column("key").to_numpy(), rows.column("ratio").to_numpy(), masks), rest
 
 
-def sums(rows: DataFrame, table: DataFrame | None) -> DataFrame:
-    """Per row of ``rows`` (row_no, doc_id, text): row_no, doc_id, the ratios of its words and of its pairs added up, and
-    its size. The numbers are those of this one scan, and they are written with the sums."""
-    schema = "row_no long, doc_id long, word double, pair double, size long, rest array<long>, times array<int>"
+def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame:
+    """Per row of ``rows`` (row_no, text and more): the columns ``keep``, the ratios of its words and of its pairs added
+    up, and its size. The numbers are those of this one scan, and they are written with the sums."""
+    found_fields = T.StructType.fromDDL("word double, pair double, size long, rest array<long>, times array<int>").fields
+    schema = T.StructType([rows.schema[c] for c in keep] + found_fields)
     held, rest = (Held(np.zeros(0, np.int64), np.zeros(0), None), None) if table is None else _hold(table)
     handed = rows.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
         for batch in batches:
-            for start, end, texts in text_slices(batch):
+            for start, end, texts in text_slices(batch, most=SLICE):
                 keys, own, size = expressions(texts)
                 found = pa.array(keys).dictionary_encode()
                 kinds, place = found.dictionary.to_numpy(), found.indices.to_numpy()
@@ -245,10 +248,10 @@ def sums(rows: DataFrame, table: DataFrame | None) -> DataFrame:
                 lists = [pa.array(kinds[once % max(len(kinds), 1)]), pa.array(times, pa.int32())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch.column(c).slice(start, end - start) for c in ("row_no", "doc_id")],
+                        *[batch.column(c).slice(start, end - start) for c in keep],
                         *map(pa.array, both), pa.array(size, pa.int64()), *[pa.ListArray.from_arrays(ends, x) for x in lists],
                     ],
-                    ["row_no", "doc_id", "word", "pair", "size", "rest", "times"],
+                    [*keep, "word", "pair", "size", "rest", "times"],
                 )
 
     part = in_arrow(rows, run, schema)
@@ -262,7 +265,7 @@ def sums(rows: DataFrame, table: DataFrame | None) -> DataFrame:
     more = found.groupBy("row_no").agg(*[F.sum(F.when(c, F.col("value"))).alias(f"more_{k}") for k, c in zip(KINDS, (~is_pair, is_pair))])
     whole = part.drop("rest", "times").join(more.hint("merge"), "row_no", "left")
     added = {k: F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0)) for k in KINDS}
-    return cut(whole.withColumns(added).select("row_no", "doc_id", *KINDS, "size"), "toxic-sums")
+    return cut(whole.withColumns(added).select(*keep, *KINDS, "size"), "toxic-sums")
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -285,8 +288,8 @@ def _features(kind: str) -> list[Column]:
     return [clip(F.col(kind) * 100 / size, 20.0), clip(F.col(kind) / F.sqrt(size), 10.0)]
 
 
-def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Column) -> DataFrame:
-    """row_no, doc_id and score of rows (row_no, doc_id, text)."""
+def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Column, more: list[str]) -> DataFrame:
+    """The columns doc_id, score and ``more`` of rows (row_no, doc_id, text and more)."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).cast("long").alias("toxic"))
     learn = known.where(trains & ~calibrates)
@@ -295,7 +298,7 @@ def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Col
     table = ratios(count_expressions(labelled))
     if table is not None:
         table = cut(table, "kn-ratios")
-    found = sums(named, table)
+    found = sums(named, table, ["row_no", "doc_id", *more])
     curve_ids = known.where(calibrates)
     n = curve_ids.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < -(-(CURVE_ROWS << 20) // max(n, 1))
@@ -305,12 +308,12 @@ def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Col
     y = np.array([r[0] for r in seen], float)
     if table is None or len(set(y)) < 2:
         share = known.where(trains | calibrates).agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("p")).first().p
-        return found.select("row_no", "doc_id", F.lit(float(share)).alias("score"))
+        return found.select("doc_id", *more, F.lit(float(share)).alias("score"))
     w = _fit_curve(np.array([r[1:] for r in seen], float), y)
     line = F.lit(float(w[-1]))
     for c, x in zip(lines, w):
         line = line + c * float(x)
-    return found.select("row_no", "doc_id", (1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+    return found.select("doc_id", *more, (1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 
 def score(
@@ -333,7 +336,7 @@ def score(
     further columns play no part.
     """
     named = docs.select(F.monotonically_increasing_id().alias("row_no"), docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    scored = _scored(named, labels, trains, calibrates)
+    scored = _scored(named, labels, trains, calibrates, [])
     return scored.select("doc_id", "score").withColumn("predicted", (F.col("score") >= limit).cast("int"))
 
 
@@ -347,10 +350,15 @@ def accepted(
     text: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with all their columns: each row by itself, whatever its id."""
-    rows = numbered(docs, "toxic-rows")
-    named = rows.select("row_no", F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"row.`{text}`").alias("text"))
-    rejected = _scored(named, labels, trains, calibrates).where(F.col("score") >= limit).select("row_no")
-    return rows.join(rejected, "row_no", "left_anti").select("row.*")
+    others = [c for c in docs.columns if c != text]
+    named = docs.select(
+        F.monotonically_increasing_id().alias("row_no"),
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+        F.col(f"`{text}`").alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"),
+    )
+    scored = _scored(named, labels, trains, calibrates, ["text", "others"]).where(F.col("score") < limit)
+    return scored.select(*[F.col("text").alias(text) if c == text else F.col(f"others.`{c}`") for c in docs.columns])
 
 
 def default_folds() -> tuple[Column, Column]:
