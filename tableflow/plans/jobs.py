@@ -13,13 +13,14 @@ from tableflow.operators.clean import clean_positive, drop_null, exclude_values,
 from tableflow.operators.joins import with_zone
 from tableflow.operators.windows import rolling_mean
 from tableflow.plans import fixtures as fx
-from tableflow.session import new_path
+from tableflow.session import list_names, new_path
 from tableflow.sources import (
     export_extract,
     materialize,
     partition_manifest,
     read_csv,
     read_table,
+    read_union,
     replace_table,
     rows_to_json,
     write_csv,
@@ -160,7 +161,7 @@ def three_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def borough_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A year of files to borough × day."""
+    """Trips of the whole table to borough × day."""
     trips = clean_positive(fx.trips(spark, sf_dir), ["fare_amount", "trip_distance"])
     return agg.borough_day(drop_null(trips, ["pu_location_id"]), fx.zones(spark, sf_dir))
 
@@ -170,7 +171,12 @@ def borough_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Borough × day comes down to boroughs first, then to the one row.
     """
-    per_borough = borough_days(spark, sf_dir).groupBy("borough").agg(
+    return report_of(borough_days(spark, sf_dir))
+
+
+def report_of(days: DataFrame) -> DataFrame:
+    """The one row of a borough × day table."""
+    per_borough = days.groupBy("borough").agg(
         agg.n_rows().alias("n"),
         F.sum("trips").alias("trips"),
         total(F.col("revenue")).alias("revenue"),
@@ -183,6 +189,17 @@ def borough_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def year_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borough × day over many files read as one table, reported with the number of files: one file for each month."""
+    trips = fx.trips(spark, sf_dir).withColumn("month", F.month("pickup_ts"))
+    root = new_path(spark, "months")
+    trips.repartition("month").write.partitionBy("month").parquet(root)
+    paths = [f"{root}/{name}" for name in list_names(spark, root)]
+    cleaned = clean_positive(read_union(spark, paths), ["fare_amount", "trip_distance"])
+    days = agg.borough_day(drop_null(cleaned, ["pu_location_id"]), fx.zones(spark, sf_dir))
+    return report_of(days).withColumn("sources", F.lit(len(paths)))
+
+
 def extract_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a period, a fixed sample of them, copied to a file and read again."""
     orders = fx.table(spark, sf_dir, "orders")

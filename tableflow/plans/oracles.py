@@ -295,6 +295,13 @@ ORACLES: dict[str, str] = {
                (SELECT borough FROM daily GROUP BY borough ORDER BY {exact('revenue')} DESC, borough LIMIT 1)
                  AS top_borough_by_revenue
         FROM daily""",
+    "z10_year_of_files": f"""WITH {BOROUGH_DAY}
+        SELECT count(*) AS day_borough_rows, CAST(sum(trips) AS BIGINT) AS total_trips,
+               {cents('revenue')} AS total_revenue,
+               (SELECT borough FROM daily GROUP BY borough ORDER BY {exact('revenue')} DESC, borough LIMIT 1)
+                 AS top_borough_by_revenue,
+               (SELECT CAST(count(DISTINCT month(l_shipdate)) AS INT) FROM lineitem) AS sources
+        FROM daily""",
     "z11_extract": """SELECT * FROM orders
         WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'
         ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 2000""",

@@ -641,6 +641,7 @@ QUERIES: dict[str, Query] = {
     "z9_measures": jobs.three_measures,
     "z10_borough_day": jobs.borough_days,
     "z10_report": jobs.borough_report,
+    "z10_year_of_files": jobs.year_of_files,
     "z11_extract": jobs.extract_file,
     **{
         f.__name__: f

@@ -6,6 +6,8 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +24,21 @@ def read_union(
 ) -> DataFrame:
     """Many Parquet files as one table, by column name; a missing column is NULL.
 
-    Files of one schema are one scan. Types that differ between files widen
-    (bigint and double to double); with a schema each file is cast to it.
+    Files whose columns agree in type are one scan. Types that differ between
+    files widen (bigint and double to double), with one scan per schema; the
+    schema of each path is then read by itself. With a schema each file is cast
+    to it.
     """
-    kinds: dict[str, list[str]] = {}
-    for path in paths:
-        kinds.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
-    parts = [spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(*same) for kind, same in kinds.items()]
+    try:
+        # One job reads all footers on the executors, however many files there are.
+        parts = [spark.read.option("mergeSchema", True).parquet(*paths)]
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE" not in str(error):
+            raise
+        kinds: dict[str, list[str]] = {}
+        for path in paths:
+            kinds.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+        parts = [spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(*same) for kind, same in kinds.items()]
     if schema is not None:
         fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
         parts = [
