@@ -21,10 +21,10 @@ from tableflow.session import new_path
 SLICE_BYTES = 4 << 20  # text that a task works on at once; a longer document makes a slice of its own
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends there."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -225,14 +225,72 @@ def test_packing(docs, none):
     assert packing.pack(none, BYTE).count() == 0
 
 
-def test_rare_sources_take_their_share_of_rounds():
-    import numpy as np
-
-    rounds = packing.Rounds(np.array([3_000_000_000, 40, 7, 500_000]), 2048, 16)
-    for queue, size in enumerate((0, 40, 7, 300)):
-        found = rounds.pieces(queue, 0, size) if size else []
-        assert sum(n for _, n, _ in found) == size
-        assert all(place % 2048 + n <= 2048 for _, n, place in found)
+def test_rounds_against_a_plain_round_robin():
+    from fractions import Fraction
+
+    totals, packet, window = [30011, 4001, 40, 7, 1, 997], 16, 2048
+    ties = np.array([3, 1 << 19, 77_777, 5, 1_000_003, 2**40 + 12_345])
+    whole = sum(totals)
+    rounds = packing.Rounds([(whole, float(whole))], window, packet)
+    n = np.array(totals)
+    row, begin, length, round_ = rounds.runs(np.zeros(len(n), np.int64), n, n, n.astype(float), ties)
+    found = {(q, r): (a, k) for q, a, k, r in zip(row.tolist(), begin.tolist(), length.tolist(), round_.tolist())}
+    credit = [Fraction(int(t) & 0xFFFFF, 1 << 20) * min(m, packet) for t, m in zip(ties, totals)]
+    sent, expected = [0] * len(totals), {}
+    for r in range(-(-whole // window)):
+        for q, m in enumerate(totals):
+            credit[q] += Fraction(m * min(window, whole - r * window), whole)
+            start = sent[q]
+            while sent[q] < m and (size := min(packet, m - sent[q])) < credit[q]:
+                sent[q], credit[q] = sent[q] + size, credit[q] - size
+            if sent[q] > start:
+                expected[q, r] = (start, sent[q] - start)
+    for q, m in enumerate(totals):  # a queue without a credit ends with the last round, at its very end
+        if sent[q] < m:
+            start, k = expected.get((q, r), (sent[q], 0))
+            expected[q, r] = (start, k + m - sent[q])
+    assert found == expected
+
+
+def test_a_thousand_sources_keep_the_mixture_in_every_window(spark):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(50) + F.col("id") % 200), lambda x: F.concat(F.lit("word "), x)))
+    # A third of all rows are of one source, the others of 1,000 more.
+    source = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") * 7919) % 1000))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), source.alias("source"))
+    rows = packing.pack(docs, BYTE).collect()
+    total = sum(r.length for r in rows)
+    places = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(places[-1]) == total
+    assert len({r.queue for r in rows}) == 1001
+    share = sum(r.length for r in rows if r.queue == "hot") / total
+    hot, last = {}, max(r.sequence_id for r in rows)
+    for r in rows:
+        if r.queue == "hot":
+            hot[r.sequence_id] = hot.get(r.sequence_id, 0) + r.length
+    # The packets of the others do not come evenly, and a sequence may begin within a round's run of the hot source.
+    off = [abs(hot.get(k, 0) / 2048 - share) for k in range(last)]
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.02
+    # Each of the others moves in step: halfway through all windows, half of its tokens are sent.
+    half, whole = {}, {}
+    for r in rows:
+        whole[r.queue] = whole.get(r.queue, 0) + r.length
+        half[r.queue] = half.get(r.queue, 0) + r.length * (r.sequence_id < last / 2)
+    assert all(abs(half[q] - n / 2) < 40 + 0.01 * n for q, n in whole.items())
+
+
+def test_targets_hold_until_a_source_runs_dry(spark):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(120)), lambda x: F.concat(F.lit("word "), x)))
+    source = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None), F.lit("c"), F.lit("d")), (F.col("id") % 5 + 1).cast("int"))
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), text.alias("text"), source.alias("source"))
+    rows = packing.pack(docs, BYTE, targets={"a": 4.0, "b": 1.0, None: 1.0}).collect()
+    # a : b : none : c and d together are 4 : 1 : 1 : 4.
+    for k in range(2, 20):
+        own = {}
+        for r in rows:
+            if r.sequence_id == k:
+                own[r.queue] = own.get(r.queue, 0) + r.length
+        assert all(abs(own.get(q, 0) / 2048 - w / 10) < 0.04 for q, w in (("a", 4), ("b", 1), (None, 1), ("c", 2), ("d", 2)))
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
 
 
 def test_fingerprints(spark, docs, none):
