@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from contextvars import ContextVar
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tableflow.session import new_path
+from tableflow.session import drop_path, new_path
 
 SLICE_BYTES = 4 << 20  # text that a task works on at once; a longer document makes a slice of its own
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+_LEFT: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, noted for the stage that is running, if one is."""
+    path = new_path(spark, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+def frees_scratch(stage: Callable) -> Callable:
+    """A stage (spark, docs, sf_dir) that first deletes the scratch tables of the stages before it in this session.
+
+    Their results are written by then, so nothing reads those tables any more;
+    one that ``docs`` itself still reads stays. Whoever wants a stage's result
+    after another stage has begun has to write it first, as the pipeline does.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        read = {part for file in docs.inputFiles() for part in file.split("/")}
+        left, made = _LEFT.pop(app, []), []
+        for path in left:
+            if path.rsplit("/", 1)[1] in read:
+                made.append(path)
+            else:
+                drop_path(spark, path)
+        token = _MADE.set(made)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _MADE.reset(token)
+            _LEFT[app] = made
+
+    return run
+
+
 def cut(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends there."""
-    path = new_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

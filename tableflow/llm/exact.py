@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import cut, numbered
-from tableflow.session import new_path, write_counted
+from tableflow.llm.common import cut, numbered, scratch
+from tableflow.session import write_counted
 
 SPACE = " \t\n\x0b\x0c\r"
 FIRST_DIGIT, GROWTH, LARGEST_DIGIT = 32, 16, 1 << 20
@@ -64,7 +64,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             "doc_id", "row_no", "points", "sha", "n", "best",
             F.when(~ended, F.expr(f"substring(rest, {digit + 1})")).alias("rest"),
         )
-        path = new_path(docs.sparkSession, "radix-level")
+        path = scratch(docs.sparkSession, "radix-level")
         alive = write_counted(level, path, alive=F.col("rest").isNotNull())["alive"]
         stored = docs.sparkSession.read.schema(level.schema).parquet(path)
         done.append(stored.where("rest IS NULL"))

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import cut, in_arrow, mix, numbered, text_slices, word_hashes
-from tableflow.session import new_path
+from tableflow.llm.common import cut, in_arrow, mix, numbered, scratch, text_slices, word_hashes
 
 K, TUPLE, SKETCHES = 5, 3, 16
 PIVOTS = 3
@@ -323,7 +322,7 @@ def _links_between(members: DataFrame, parts: DataFrame, words: DataFrame, simil
 
 def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """Written edges (a, b), and their number and the sum of their hashes, from the same pass."""
-    watch, path = Observation(), new_path(edges.sparkSession, "star")
+    watch, path = Observation(), scratch(edges.sparkSession, "star")
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     edges.observe(watch, F.count(F.lit(1)).alias("rows"), mark.alias("mark")).write.parquet(path)
     seen = watch.get

@@ -383,3 +383,23 @@ def test_alignment_against_the_longest_common_subsequence_of_kmers(seed):
     exact_similarity = n / (len(left) + len(right) - n)
     found = neardup.aligned_similarity(a, b)
     assert found == pytest.approx(exact_similarity if exact_similarity >= 0.8 else 0.0)
+
+
+def test_a_stage_frees_the_scratch_of_the_one_before_and_nothing_that_is_read(spark):
+    from tableflow.llm import common
+    from tableflow.session import path_exists
+
+    made = []
+
+    @common.frees_scratch
+    def stage(spark, docs, sf_dir):
+        made.append(common.scratch(spark, "stage"))
+        docs.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    first = stage(spark, spark.range(3).toDF("doc_id"), "")
+    lazy = stage(spark, first, "")  # reads the first one's scratch, which stays
+    assert [path_exists(spark, p) for p in made] == [True, True]
+    stored = common.cut(lazy, "stored")
+    assert stage(spark, stored, "").count() == 3
+    assert [path_exists(spark, p) for p in made] == [False, False, True]
