@@ -247,6 +247,9 @@ TIER = "CASE " + " ".join(
 
 SCENARIOS = "scenarios AS (SELECT * FROM (VALUES ('hyperscale', 1.09::DOUBLE), ('industry avg', 1.54::DOUBLE)) t(scenario, pue))"
 
+NOTES = """SELECT doc_id, length(note) AS n, md5(note) AS digest
+        FROM (SELECT doc_id, 'say "' || text || '", ok' || chr(10) || source AS note FROM documents)"""
+
 ORACLES: dict[str, str] = {
     "z1_daily_fares": f"""WITH {TRIPS}
         SELECT CAST(pickup_ts AS DATE) AS trip_date, count(*) AS trip_count,
@@ -317,8 +320,8 @@ ORACLES: dict[str, str] = {
     "io_union_types": """SELECT l_linenumber, count(*) AS n,
                sum(CASE WHEN l_linenumber <= 3 THEN trunc(l_quantity) ELSE l_quantity END) AS quantity
         FROM lineitem GROUP BY 1""",
-    "io_csv_text": """SELECT doc_id, length(note) AS n, md5(note) AS digest
-        FROM (SELECT doc_id, 'say "' || text || '", ok' || chr(10) || source AS note FROM documents)""",
+    "io_csv_text": NOTES,
+    "io_csv_split": NOTES,
     "io_materialize": "SELECT count(*) AS n_rows, true AS same, true AS sized FROM orders",
     "json_rows": f"WITH {PAYMENT_DAYS} SELECT trip_date, trip_count, total_revenue FROM daily",
     "json_codec": """SELECT event_id, '[{"k":' || json_extract_string(props, '$.k') || ',"id":'

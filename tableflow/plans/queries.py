@@ -52,10 +52,23 @@ def io_csv(spark, sf_dir):
 
 def io_csv_text(spark, sf_dir):
     """Whole documents with quotes and a line break through CSV."""
+    docs = _notes(spark, sf_dir)
+    return _digests(read_csv(spark, write_csv(docs, new_path(spark, "notes")), docs.schema))
+
+
+def io_csv_split(spark, sf_dir):
+    """The same through files that are read by byte range."""
+    docs = _notes(spark, sf_dir)
+    return _digests(read_csv(spark, write_csv(docs, new_path(spark, "notes")), docs.schema, split_bytes=0))
+
+
+def _notes(spark, sf_dir):
     noted = F.concat(F.lit('say "'), F.col("text"), F.lit('", ok\n'), F.col("source"))
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", noted.alias("note"))
-    back = read_csv(spark, write_csv(docs, new_path(spark, "notes")), docs.schema)
-    return back.select("doc_id", F.length("note").cast("bigint").alias("n"), F.md5("note").alias("digest"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", noted.alias("note"))
+
+
+def _digests(notes):
+    return notes.select("doc_id", F.length("note").cast("bigint").alias("n"), F.md5("note").alias("digest"))
 
 
 def io_any(spark, sf_dir):
@@ -646,7 +659,7 @@ QUERIES: dict[str, Query] = {
     **{
         f.__name__: f
         for f in (
-            io_parquet, io_csv, io_csv_text, io_any, io_replaced_table, io_union, io_union_types, io_materialize,
+            io_parquet, io_csv, io_csv_text, io_csv_split, io_any, io_replaced_table, io_union, io_union_types, io_materialize,
             json_rows, json_codec, literal_join,
             filter_chain, derived_orders, matching_orders, distinct_rows, bucket_sums, bucket_filter, bucket_union,
             array_ops, borough_totals, best_payment_day, rolling_events,

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableflow.sources.split_csv import largest_file, read_split
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Lazy Parquet scan; with ``columns`` only those reach the reader."""
@@ -48,23 +50,33 @@ def read_union(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, line_breaks: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, line_breaks: bool = True, split_bytes: int | None = None
+) -> DataFrame:
     """CSV with a header and doubled quotes. The schema is given, so the file is read once.
 
-    Fields may hold line breaks; a file without any is split among tasks when
-    ``line_breaks`` is off.
+    Fields may hold line breaks. Spark then reads a file with one task, so a
+    folder with a file above ``split_bytes`` (by default the most a task reads
+    of other formats) is read by byte range instead, with the same rows; one
+    with partition folders is not. Files without such breaks are split by
+    Spark itself when ``line_breaks`` is off.
     """
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", line_breaks)
-    return reader.csv(path)
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    plain = spark.read.schema(fields).option("header", True).option("escape", '"').option("multiLine", line_breaks).csv(path)
+    if not line_breaks or len(plain.columns) > len(fields):
+        return plain
+    if split_bytes is None:
+        split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return read_split(spark, path, fields) if largest_file(spark, path) > split_bytes else plain
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Pick the reader by the ending of the path. The cells of a CSV without a schema are text."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        if schema is not None:
-            return read_csv(spark, path, schema)
-        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        if schema is None:  # the names come from the first row of one file
+            schema = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).schema
+        return read_csv(spark, path, schema)
     if kind in ("parquet", "json", "orc"):
         reader = spark.read.format(kind)
         return (reader.schema(schema) if schema is not None else reader).load(path)

@@ -41,6 +41,58 @@ def test_csv_keeps_quotes_line_breaks_and_blanks(spark):
     assert [r.t for r in back.orderBy("id").collect()] == texts
 
 
+ODD_TEXTS = [
+    'say "hi", ok', "two\nlines", " blank ", "back\\slash", "a,b", '"', '""', "\n", "\n\n\n", "", None, 'x"\ny,"z', "end\r\nof\r\nline",
+    "é,ü\n日本", 'a line\n"of" quotes\n\n', "long " * 40 + "\n" + "longer " * 60, "plain", "plain too", "1,2,3", "N/A",
+]
+
+
+@pytest.fixture
+def tiny_ranges(spark):
+    """Byte ranges of some dozens of bytes, so that rows span several of them."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    yield lambda n: [spark.conf.set(name, str(n if name == names[0] else 1)) for name in names]
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("size", [17, 64, 500, 1 << 20])
+def test_split_csv_equals_the_written_rows(spark, tiny_ranges, size):
+    texts = [ODD_TEXTS[i * 7 % len(ODD_TEXTS)] for i in range(60)]
+    rows = [(i, t, None if i % 9 == 0 else i / 4) for i, t in enumerate(texts)]
+    df = literal_rows(spark, rows, "id int, `a b` string, v double")
+    path = write_csv(df.repartition(2, "id"), new_path(spark, "odd"))
+    want = [tuple(r) for r in read_csv(spark, path, df.schema, split_bytes=1 << 40).orderBy("id").collect()]
+    tiny_ranges(size)
+    got = read_csv(spark, path, df.schema, split_bytes=0)
+    assert got.schema.names == df.columns
+    assert [tuple(r) for r in got.orderBy("id").collect()] == want
+    assert [r[1] for r in want if r[1] is not None] == [t for t in texts if t]
+
+
+def test_one_large_csv_is_read_by_many_tasks(spark, tiny_ranges):
+    df = spark.range(400).selectExpr("id", "concat('first \"', id, '\"\nsecond') AS t")
+    path = write_csv(df.coalesce(1), new_path(spark, "one"))
+    tiny_ranges(1000)
+    assert spark.read.text(path).rdd.getNumPartitions() > 8
+    got = read_csv(spark, path, df.schema)  # above the most a task reads, so it is split unasked
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan and "csv-lines" in plan
+    assert sorted(got.collect()) == sorted(df.collect())
+
+
+def test_split_csv_by_hand(spark, tmp_path, tiny_ranges):
+    """Line feeds after carriage returns, empty lines, a header of two lines, no line feed at the end; an empty file."""
+    (tmp_path / "a.csv").write_bytes(b'\r\n"i\r\nd",t\r\n1,"x\r\ny"\r\n\r\n2,\r\n3,"said ""so"""')
+    (tmp_path / "b.csv").write_bytes(b"id,t\n4,z\n")
+    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_bytes(b"id,t\n")
+    for size in (3, 10, 1000):
+        tiny_ranges(size)
+        got = read_csv(spark, str(tmp_path), "id int, t string", split_bytes=0)
+        assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, "x\r\ny"), (2, None), (3, 'said "so"'), (4, "z")]
+
+
 def test_manifest_names_the_folder_on_disk(spark):
     df = spark.createDataFrame([("a b/c", 1), ("x+y", 2), (None, 3)], "z string, v int")
     path = write_partitions(df, "z", new_path(spark, "odd"))
