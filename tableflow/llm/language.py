@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableflow.llm.common import _LETTER, in_arrow, text_slices, utf8
@@ -120,31 +120,38 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, sample_rows: int = 3000, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fit on about ``sample_rows`` labelled rows, as many of each language as possible.
+    """Fit on at most ``sample_rows`` distinct labelled texts (or one per language), as many of each language as possible.
 
-    Which rows are taken depends on a hash of their text, so copies come and
-    go together; rows without a language or a text are left out. The sample is
-    the only part of the corpus that reaches the driver, as vectors of a fixed
-    length.
+    Taken are the texts of each language whose hashes are lowest, so a text
+    that many rows share counts once and every language with a text has one.
+    Rows without a language or a text are left out. The sample is the only
+    part of the corpus that reaches the driver, as vectors of a fixed length.
     """
-    labelled = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    labelled = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), F.xxhash64(docs[text]).alias("h"))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    distinct = labelled.select("lang", "h").distinct()  # combined within each task, so a hot text costs no more
+    lowest = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= sample_rows)
+    found = lowest.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("hashes")).collect()
+    each = max(1, sample_rows // max(1, len(found)))
+    keys = [(row.lang, h) for row in found for h in row.hashes[:each]]
+    if not keys:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), np.array([], dtype=object))
-    each = max(1, sample_rows // len(counts))
-    whole = 1 << 20
-    share = F.coalesce(*[F.when(F.col("lang") == v, F.lit(-(-whole * each // n))) for v, n in sorted(counts.items())])
-    taken = labelled.where(F.pmod(F.xxhash64("text"), F.lit(whole)) < share)
+    chosen = docs.sparkSession.createDataFrame(keys, "lang string, h long")
+    taken = labelled.join(F.broadcast(chosen), ["lang", "h"])
 
     def run(batches):
+        seen = set()  # a task describes each of the chosen texts once
         for batch in batches:
+            fresh = []
+            for key in zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist()):
+                fresh.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for start, end, texts in text_slices(batch):
-                rows = describe(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(start, end - start), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "x"]
-                )
+                found = [batch.column(c).slice(start, end - start) for c in ("lang", "h")]
+                yield pa.RecordBatch.from_arrays([*found, pa.array([r.tobytes() for r in describe(texts)], pa.binary())], ["lang", "h", "x"])
 
-    held = in_arrow(taken, run, "lang string, x binary").collect()
+    held = in_arrow(taken, run, "lang string, h long, x binary").groupBy("lang", "h").agg(F.min("x").alias("x")).collect()
     held.sort(key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float32) for r in held]).reshape(-1, DIMENSIONS)
     return LanguageModel(x, np.array([r.lang for r in held], dtype=object))

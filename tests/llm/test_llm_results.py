@@ -39,6 +39,29 @@ def test_query_equals_sql(spark, small, name):
     assert ours == theirs
 
 
+def test_language_sample_is_bounded_and_holds_every_language(spark, monkeypatch):
+    """Copies count once, a language with one much repeated text is learned, and the bound is kept."""
+    from tableflow.llm import language
+
+    held = []
+
+    class Seen(language.LanguageModel):
+        def __init__(self, x, langs):
+            held.append((len(x), sorted(langs.tolist())))
+            super().__init__(x, langs)
+
+    monkeypatch.setattr(language, "LanguageModel", Seen)
+    rows = [("en", f"some words of number {i} and more") for i in range(300)]
+    rows += [("xx", "zo qua vel mip tor")] * 200 + [("en", "the hot text that many rows share")] * 400 + [("fr", f"des mots {i}") for i in range(5)]
+    rows += [(None, "no language"), ("yy", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    first = language.fit(docs, sample_rows=30)
+    assert first.langs == ["en", "fr", "xx"]
+    language.fit(docs.repartition(5), sample_rows=30)
+    language.fit(docs, sample_rows=1)
+    assert held == [(16, ["en"] * 10 + ["fr"] * 5 + ["xx"])] * 2 + [(3, ["en", "fr", "xx"])]
+
+
 def test_language_is_right_on_held_out_rows(spark, small, docs):
     rows = QUERIES["op1_language"](spark, small).collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
