@@ -89,5 +89,5 @@ def _ranges(lines: DataFrame) -> DataFrame:
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
