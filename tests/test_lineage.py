@@ -109,6 +109,17 @@ def test_a_long_chain_takes_few_rounds_over_fewer_and_fewer_pairs(spark, monkeyp
     assert got == {i: i + 1 for i in range(2000)} and len(rounds) <= 15
 
 
+def test_the_driver_gets_no_large_side_of_a_preview_or_walk(spark, tmp_path):
+    rows = spark.range(40000).selectExpr("concat('t', id) AS task_name", "sha2(cast(id AS string), 256) AS fingerprint")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    preview = refresh.refresh_preview(rows.withColumn("cacheable", F.lit(True)), rows, rows)
+    walk = lineage._look_up(rows, rows.select("task_name"), ["task_name"], "left_semi")
+    for df in (preview, walk):
+        assert len(df.collect()) == 40000  # so that the plan is the final one
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def combine(*parts):
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()
 
