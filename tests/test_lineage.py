@@ -109,6 +109,44 @@ def test_a_long_chain_takes_few_rounds_over_fewer_and_fewer_pairs(spark, monkeyp
     assert got == {i: i + 1 for i in range(2000)} and len(rounds) <= 15
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_below_the_peeled_waves(spark, monkeypatch, seed):
+    monkeypatch.setattr(lineage, "WAVES", 3)
+    rng = random.Random(seed)
+    pairs = [(f"n{i:02}", f"n{rng.randrange(max(0, i - 4), i):02}") for i in range(1, 30) for _ in range(3)]
+    if seed > 1:
+        pairs += [("n10", "n20"), ("loop", "loop")]
+    level, stuck, _ = plain_walks(pairs, [], [])
+    assert max(level.values()) > 4
+    edges = edges_of(spark, pairs + pairs[:5])
+    assert {r.task_name: r.level for r in lineage.levels(edges).collect()} == level
+    assert {r.task_name for r in lineage.cycle_members(edges).collect()} == stuck
+
+
+def test_levels_of_a_branching_graph_make_no_pairs_and_touch_a_task_when_an_upstream_goes(spark, monkeypatch):
+    n = 600
+    pairs = {(i, j) for i in range(1, n) for j in (i // 2, i // 3) if j}
+    edges = spark.createDataFrame(sorted(pairs), "task_name long, upstream_task_name long")
+    sizes, rows = [], []
+    materialize, add = lineage.materialize, lineage.Rounds.add
+
+    def counted(df, *a):
+        table, seen = materialize(df, *a)
+        sizes.append(seen["rows"])
+        return table, seen
+
+    def noted(self, *a, **k):
+        seen = add(self, *a, **k)
+        rows.append(seen["rows"])
+        return seen
+
+    monkeypatch.setattr(lineage, "materialize", counted)
+    monkeypatch.setattr(lineage.Rounds, "add", noted)
+    got = {r.task_name: r.level for r in lineage.levels(edges).collect()}
+    assert got == plain_walks(pairs, [], [])[0]
+    assert max(sizes) <= len(pairs) and sum(rows) <= n + 2 * len(pairs)
+
+
 def test_the_driver_gets_no_large_side_of_a_preview_or_walk(spark, tmp_path):
     rows = spark.range(40000).selectExpr("concat('t', id) AS task_name", "sha2(cast(id AS string), 256) AS fingerprint")
     rows.write.parquet(str(tmp_path / "rows"))
