@@ -198,7 +198,8 @@ def _words_table(named: DataFrame, reps: DataFrame) -> str:
 
     wanted = named.select(F.col("row_no").alias("rep"), "text").join(reps.hint("merge"), "rep", "left_semi")
     name = f"omh_words_{uuid.uuid4().hex}"
-    in_arrow(wanted, run, "rep long, words binary").repartition(n, "rep").write.bucketBy(n, "rep").sortBy("rep").saveAsTable(name)
+    # The merge join has dealt the rows by rep already, so a task holds whole buckets.
+    in_arrow(wanted, run, "rep long, words binary").write.bucketBy(n, "rep").sortBy("rep").saveAsTable(name)
     return name
 
 
@@ -251,22 +252,17 @@ def _pivot_links(members: DataFrame, words: DataFrame, similarity: float) -> Dat
     order = Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("rep"), "rep")
     pivots = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
     pivots = cut(pivots.select("bucket", F.col("rep").alias("pivot"), "place"), "omh-pivots")
-    found, left, first = [], members.select("bucket", "rep"), 1
-    while first <= PIVOTS:
-        some = pivots.where(F.col("place").between(first, 2 * first - 1)).select("bucket", "pivot")
-        joined = left.join(some.hint("merge"), "bucket").where("rep <> pivot")
+    found, left = [], members.select("bucket", "rep")
+    for some in (pivots.where("place = 1"), pivots.where("place > 1")):
+        joined = left.join(some.select("bucket", "pivot").hint("merge"), "bucket").where("rep <> pivot")
         joined = cut(joined.select("bucket", "rep", "pivot"), "omh-joined")
         pairs = cut(joined.select("rep", "pivot").distinct(), "omh-pairs")
         good = cut(_aligned(pairs, words, similarity).where("similar").select("rep", "pivot"), "omh-similar")
         found.append(good.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")))
-        first *= 2
-        if first <= PIVOTS:
-            done = cut(joined.join(good.hint("merge"), ["rep", "pivot"]).select("bucket", "rep").distinct(), "omh-done")
-            left = cut(left.join(done.hint("merge"), ["bucket", "rep"], "left_anti"), "omh-left")
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return cut(whole.distinct(), "omh-links")
+        # A member met one pivot, the first; that pivot itself goes on with those that are not similar to it.
+        apart = joined.join(good.hint("merge"), ["rep", "pivot"], "left_anti").select("bucket", "rep")
+        left = apart.unionByName(some.select("bucket", F.col("pivot").alias("rep")))
+    return cut(found[0].unionByName(found[1]).distinct(), "omh-links")
 
 
 def _text_kmers(words: DataFrame) -> DataFrame:
@@ -292,10 +288,10 @@ def _links_between(members: DataFrame, parts: DataFrame, words: DataFrame, simil
     With the k-mers in one order, rare ones first, two texts whose similarity
     is reached share a k-mer of their first ``n - ceil(similarity * n) + 1``.
     """
-    named = members.join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    named = cut(named.select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part")), "omh-named-members")
     # In a bucket of up to PIVOTS members all pairs between parts are tried by now.
-    several = named.where(F.col("n") > PIVOTS).groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    named = members.where(F.col("n") > PIVOTS).join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    named = cut(named.select("bucket", "rep", F.coalesce("root", "rep").alias("part")), "omh-named-members")
+    several = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     several = cut(several.where("low < high").select("bucket"), "omh-unsettled")
     texts = cut(named.join(several.hint("merge"), "bucket").select("rep", "part").distinct(), "omh-unsettled-texts")
     kmers = cut(_text_kmers(texts.select("rep").hint("merge").join(words, "rep")), "omh-kmers")
@@ -320,36 +316,40 @@ def _links_between(members: DataFrame, parts: DataFrame, words: DataFrame, simil
     return cut(good.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "omh-links-between")
 
 
-def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """Written edges (a, b), and their number and the sum of their hashes, from the same pass."""
-    watch, path = Observation(), scratch(edges.sparkSession, "star")
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    edges.observe(watch, F.count(F.lit(1)).alias("rows"), mark.alias("mark")).write.parquet(path)
-    seen = watch.get
-    return edges.sparkSession.read.schema(edges.schema).parquet(path), (seen["rows"], seen["mark"])
+def _neighbours(state: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Edges (a, b) in both directions; per node its least neighbour ``m``, written; and how many nodes are not yet in a star.
+
+    In a star the centre has neighbours above it only, and every other node has the centre alone.
+    """
+    both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    below = F.max(F.when(F.col("b") < F.col("a"), F.col("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), below.alias("below"), F.max("b").alias("most"))
+    watch, path = Observation(), scratch(state.sparkSession, "star-least")
+    several = (F.col("below") != F.col("m")) | (F.col("most") > F.col("a"))
+    stray = F.count_if(F.col("below").isNotNull() & several).alias("stray")
+    least.observe(watch, stray).write.parquet(path)
+    return both, state.sparkSession.read.schema(least.schema).parquet(path), watch.get["stray"]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): node, least node of its component. Alternating star contraction, in written rounds.
 
-    A round that leaves as many edges with the same sum of hashes has changed nothing.
+    The aggregate that a round begins with also tells whether only stars are left, so no round is spent on finding no change.
     """
-    state, mark = _stored_edges(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while mark[0]:
+    state = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state = cut(state, "star")
+    while True:
+        both, least, stray = _neighbours(state)
+        if not stray:
+            return least.where("m < a").select(F.col("a").alias("node"), F.col("m").alias("root"))
         # Large star: every neighbour above a node is linked to the least one around it.
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.distinct(), "star-large")
-        # Small star: a node and its lower neighbours are linked to the least of them.
+        large = both.join(least.select("a", F.least("a", "m").alias("m")).hint("merge"), "a").where("b > a")
+        large = cut(large.select(F.col("b").alias("a"), F.col("m").alias("b")), "star-large")
+        # Small star: a node and its lower neighbours are linked to the least of them. An edge makes one edge in each
+        # step, so there are never more than at the start, repeated ones included.
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "star-low")
         small = large.join(low.hint("merge"), "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        before = mark
-        state, mark = _stored_edges(small.distinct())
-        if mark == before:
-            break
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        state = cut(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")), "star")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,7 +383,7 @@ def _classes(written: DataFrame, similarity: float, doc_id: str, text: str) -> D
     members = cut(members.withColumn("root", F.coalesce("root", "rep")).withColumn("n_links", F.coalesce("n_links", F.lit(0))), "omh-roots")
     whole = members.groupBy("root").agg(F.min(F.struct("key", "rep")).alias("best"), F.sum("n").alias("class_size"))
     of = members.join(cut(whole, "omh-classes").hint("merge"), "root")
-    of = cut(of.select("digest", "n_links", "class_size", F.col("best.key").alias("class_id"), F.col("best.rep").alias("keep")), "omh-named")
+    of = of.select("digest", "n_links", "class_size", F.col("best.key").alias("class_id"), F.col("best.rep").alias("keep"))
     out = rows.select("row_no", "doc_id", "digest").join(of.hint("merge"), "digest")
     return out.select("row_no", "doc_id", "class_id", "class_size", "n_links", (F.col("row_no") == F.col("keep")).alias("kept"))
 

@@ -358,6 +358,38 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(1, 201)) and got[501] == 500
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    made, cut = [], neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name, **k: made.append(name) or cut(df, name, **k))
+    edges = [(i % 7, i) for i in range(7, 300)]
+    got = neardup.components(spark.createDataFrame(edges + edges[:9] + [(3, 3)], "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {b: a for a, b in edges} and len(got) == len(edges)
+    assert made == ["star"]
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_brute_force_without_more_edges(spark, monkeypatch, seed):
+    import random
+
+    rng, made, cut = random.Random(seed), [], neardup.cut
+
+    def counted(df, name, **k):
+        out = cut(df, name, **k)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "cut", counted)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    root = list(range(400))
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    got = neardup.components(spark.createDataFrame(edges + edges[:20], "a long, b long").repartition(3)).collect()
+    assert {r.node: r.root for r in got} == {i: r for i, r in enumerate(root) if r != i} and len(got) == len({r.node for r in got})
+    assert max(n for name, n in made if name in ("star", "star-large")) <= 320
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_alignment_against_the_longest_common_subsequence_of_kmers(seed):
     import numpy as np
