@@ -32,6 +32,7 @@ from tableflow.llm.common import cut, in_arrow, mix, numbered, scratch, text_sli
 K, TUPLE, SKETCHES = 5, 3, 16
 PIVOTS = 3
 SIMILARITY = 0.8
+SLICE = 1 << 20  # bytes of text hashed at once: the arrays of its letters take many times that
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 
 
@@ -164,7 +165,7 @@ def _sketched(named: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start, end, texts in text_slices(batch):
+            for start, end, texts in text_slices(batch, most=SLICE):
                 words, ends = word_hashes(texts)
                 some = np.flatnonzero(np.diff(ends))
                 found = sketches(words, np.append(ends[some], ends[-1])) + SEEDS if len(some) else np.zeros((0, SKETCHES), np.uint64)
@@ -190,7 +191,7 @@ def _words_table(named: DataFrame, reps: DataFrame) -> str:
 
     def run(batches):
         for batch in batches:
-            for start, end, texts in text_slices(batch):
+            for start, end, texts in text_slices(batch, most=SLICE):
                 words, ends = word_hashes(texts)
                 held = (words >> np.uint64(32)).astype("<u4").tobytes()
                 packed = pa.array([held[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
