@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableflow.llm import exact, neardup, packing, pii, toxicity
-from tableflow.llm.common import cut, frees_scratch
+from tableflow.llm.common import cut, frees_scratch, gathered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,32 +25,32 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models accept, row by row."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.accepted(docs.select(*COLUMNS), labels, *toxicity.default_folds())
+    return gathered(toxicity.accepted(docs.select(*COLUMNS), labels, *toxicity.default_folds()))
 
 
 @frees_scratch
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact.distinct(docs).select(*COLUMNS)
+    return gathered(exact.distinct(docs).select(*COLUMNS))
 
 
 @frees_scratch
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return neardup.distinct(docs).select(*COLUMNS)
+    return gathered(neardup.distinct(docs).select(*COLUMNS))
 
 
 @frees_scratch
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced and ``n_chars`` counted anew."""
-    masked = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
+    masked = gathered(pii.redact(docs.select(*COLUMNS), pii.fit(docs)))
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 @frees_scratch
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens, with the mixture of sources of what is left."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048)
+    return gathered(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, window=2048))
 
 
 STAGES = [

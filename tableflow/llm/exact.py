@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import cut, numbered, scratch
+from tableflow.llm.common import gathered, gathered_cut, numbered, scratch
 from tableflow.session import write_counted
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -57,7 +57,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         keyed = state.withColumn("digit", F.substring("rest", 1, digit))
         best = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))
         found = keyed.groupBy("parent", "digit").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
-        several = cut(found.where("n > 1"), "radix-groups").hint("merge")
+        several = gathered_cut(found.where("n > 1"), "radix-groups").hint("merge")
         joined = keyed.join(several, ["parent", "digit"], "left")
         ended = F.col("n").isNull() | (F.octet_length("rest") <= digit)
         level = joined.select(
@@ -65,7 +65,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             F.when(~ended, F.expr(f"substring(rest, {digit + 1})")).alias("rest"),
         )
         path = scratch(docs.sparkSession, "radix-level")
-        alive = write_counted(level, path, alive=F.col("rest").isNotNull())["alive"]
+        alive = write_counted(gathered(level), path, alive=F.col("rest").isNotNull())["alive"]
         stored = docs.sparkSession.read.schema(level.schema).parquet(path)
         done.append(stored.where("rest IS NULL"))
         if not alive:

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tableflow.llm.common import cut, in_arrow, mix, numbered, scratch, text_slices, word_hashes
+from tableflow.llm.common import NO_MARKER, gathered, in_arrow, mix, numbered, scratch, text_slices, word_hashes
+from tableflow.llm.common import gathered_cut as cut
 
 K, TUPLE, SKETCHES = 5, 3, 16
 PIVOTS = 3
@@ -328,7 +329,7 @@ def _neighbours(state: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     watch, path = Observation(), scratch(state.sparkSession, "star-least")
     several = (F.col("below") != F.col("m")) | (F.col("most") > F.col("a"))
     stray = F.count_if(F.col("below").isNotNull() & several).alias("stray")
-    least.observe(watch, stray).write.parquet(path)
+    gathered(least.observe(watch, stray)).write.options(**NO_MARKER).parquet(path)
     return both, state.sparkSession.read.schema(least.schema).parquet(path), watch.get["stray"]
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableflow.llm.common import cut, fold, in_arrow, mix, text_slices, word_hashes
+from tableflow.llm.common import fold, gathered_cut, in_arrow, mix, text_slices, word_hashes
 from tableflow.operators.joins import key_filter
 
 HELD = 1 << 22  # expressions whose ratios the scoring tasks hold: 64 MB
@@ -139,7 +139,7 @@ def ratios(counts: DataFrame) -> DataFrame | None:
             count = F.when(own, F.col(c)).otherwise(0)
             measures += [F.sum(count).alias(f"{kind}_all_{c}"), F.count_if(count > 0).alias(f"{kind}_kinds_{c}")]
             measures += [F.count_if(count == k).alias(f"{kind}_n{k}_{c}") for k in (1, 2)]
-    counts = cut(counts.observe(watch, *measures).where(~pair | (n > 1)), "kn-counts")
+    counts = gathered_cut(counts.observe(watch, *measures).where(~pair | (n > 1)), "kn-counts")
     seen_of = {k: v or 0 for k, v in watch.get.items()}
     parts = []
     for kind, own in zip(KINDS, (~pair, pair)):
@@ -256,8 +256,8 @@ def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame
 
     part = in_arrow(rows, run, schema)
     if rest is None:
-        return cut(part.drop("rest", "times"), "toxic-sums")
-    part = cut(part, "toxic-parts")
+        return gathered_cut(part.drop("rest", "times"), "toxic-sums")
+    part = gathered_cut(part, "toxic-parts")
     asked = part.select("row_no", F.inline(F.arrays_zip("rest", "times"))).withColumnRenamed("rest", "key")
     # An expression may stand in very many texts, but then it is held; what is joined is rare.
     found = asked.join(rest.select("key", "ratio").hint("merge"), "key").withColumn("value", F.col("ratio") * F.col("times"))
@@ -265,7 +265,7 @@ def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame
     more = found.groupBy("row_no").agg(*[F.sum(F.when(c, F.col("value"))).alias(f"more_{k}") for k, c in zip(KINDS, (~is_pair, is_pair))])
     whole = part.drop("rest", "times").join(more.hint("merge"), "row_no", "left")
     added = {k: F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0)) for k in KINDS}
-    return cut(whole.withColumns(added).select(*keep, *KINDS, "size"), "toxic-sums")
+    return gathered_cut(whole.withColumns(added).select(*keep, *KINDS, "size"), "toxic-sums")
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -297,7 +297,7 @@ def _scored(named: DataFrame, labels: DataFrame, trains: Column, calibrates: Col
     labelled = named.select("doc_id", "text").where(trains & ~calibrates).where(key_filter(learn, ["doc_id"])).join(learn.hint("merge"), "doc_id")
     table = ratios(count_expressions(labelled))
     if table is not None:
-        table = cut(table, "kn-ratios")
+        table = gathered_cut(table, "kn-ratios")
     found = sums(named, table, ["row_no", "doc_id", *more])
     curve_ids = known.where(calibrates)
     n = curve_ids.count()

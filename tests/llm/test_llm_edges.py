@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableflow.llm import binary, digest, exact, language, neardup, packing, pieces, pii, toxicity, urls
+from tableflow.llm.common import cut, gathered
+from tableflow.session import list_names, new_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon "
 SCHEMA = T.StructType(
@@ -435,3 +437,31 @@ def test_a_stage_frees_the_scratch_of_the_one_before_and_nothing_that_is_read(sp
     stored = common.cut(lazy, "stored")
     assert stage(spark, stored, "").count() == 3
     assert [path_exists(spark, p) for p in made] == [False, False, True]
+
+
+def test_many_shuffle_partitions_do_not_make_a_file_each_of_small_tables(spark, monkeypatch):
+    """A written file costs the executor's JVM a process where Hadoop has no native code, however little it holds."""
+    texts = [f"{WORDS} row {i} {i * 7919} {i * 104729} " * 3 for i in range(60)] + [WORDS + f"copy {i % 5}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(cut(docs.repartition(40), "many-files").inputFiles()[0].rsplit("/", 1)[0])
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    made = []
+    monkeypatch.setattr("tableflow.llm.common.new_path", lambda s, name: made.append(new_path(s, name)) or made[-1])
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        neardup.classes(docs).collect()
+        exact.groups(docs).collect()
+        pieces_ = packing.pack(docs, BYTE).collect()
+        assert gathered(exact.distinct(docs)).rdd.getNumPartitions() <= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {path.rsplit("/", 1)[1].rsplit("-", 1)[0]: [n for n in list_names(spark, path) if n.startswith("part-")] for path in made}
+    assert {"omh-rows", "omh-members", "star-least", "radix-rows", "radix-groups", "packing-ids"} <= set(files)
+    assert {name: len(found) for name, found in files.items() if len(found) > 4} == {}
+    ends = {}
+    for r in pieces_:
+        ends.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert len(ends) == len(texts) and all(sum(n for _, n, _ in rows) == rows[0][2] for rows in ends.values())
