@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
             "spark__sql__warehouse__dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark__sql__shuffle__partitions": "2",
             "spark__default__parallelism": "2",
+            "spark__sql__maxMetadataStringLength": "2000",  # a plan names its folders whole, however long the path
         },
     )
     session.sparkContext.setLogLevel("ERROR")
