@@ -1,6 +1,7 @@
 """The queries of the language-model operators against plain Python and the libraries themselves."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -295,6 +296,22 @@ def test_chunks_give_the_ids_of_whole_texts(name):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == expected
 
 
+def test_simple_words_go_to_the_model_at_once_with_the_ids_of_whole_texts():
+    from tableflow.llm.chunks import ChunkTable, ODD_SPACE, WordEncoder, cuts_at_words
+
+    rng = random.Random(5)
+    kinds = ["abcXYZ", "äßÀÖØöøÿéĀπ", "!/:@[`{~'$%&#*\\^_|", "×÷½²ªº", " \n\t", "019"]
+    texts = ["".join(rng.choice(rng.choice(kinds[: rng.randint(1, 6)])) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += [" Straße%%%", " don't", " it''s", " über|<|endoftext|>", " a'", " a's", "ab"]
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, ends = ChunkTable(cuts_at_words, encoder, encoder.whole, ODD_SPACE)(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    expected = [x.ids for x in encoder.library.encode_batch([" Straße%%%", " a", " Ton!?"], add_special_tokens=False)]
+    encoder.library = None  # neither splits nor rewrites these
+    ids, lengths = encoder([" Straße%%%", " a", " Ton!?"])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected
+
+
 def test_chunks_give_the_pieces_of_whole_texts():
     from tableflow.llm.pieces import codec
 
