@@ -148,7 +148,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id:
     key = F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63)))
     ordered = docs.select(key.alias("doc_id"), docs[text].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     schema = "part long, file string, n_docs long, n_tokens long"
-    in_arrow(ordered, run, schema).write.parquet(f"{path}/manifest")
+    in_arrow(ordered, run, schema, keeps=tokenizer).write.parquet(f"{path}/manifest")
     return spark.read.schema(schema).parquet(f"{path}/manifest")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tableflow.llm.chunks import ChunkTable, cuts_at_markers, flat_ids
-from tableflow.llm.common import in_arrow, text_slices
-
-_CODECS: dict[str, PieceCodec] = {}
-
+from tableflow.llm.common import in_arrow, kept, text_slices
 
 class PieceCodec:
     """Exact ids of a SentencePiece BPE model, and the way back."""
@@ -63,10 +61,8 @@ class PieceCodec:
 
 
 def codec(path: str) -> PieceCodec:
-    """This worker's codec for a model file."""
-    if path not in _CODECS:
-        _CODECS[path] = PieceCodec(path)
-    return _CODECS[path]
+    """This worker's codec for a model file; its tasks keep ``path``."""
+    return kept(path, partial(PieceCodec, path))
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,7 +80,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), held.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     named = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return in_arrow(named, run, "doc_id long, ids array<int>")
+    return in_arrow(named, run, "doc_id long, ids array<int>", keeps=model)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -97,7 +93,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 texts = [codec(model).model.decode(x) if x else "" for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    return in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string", keeps=model)
 
 
 def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,4 +119,4 @@ def digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
                 )
 
     named = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return in_arrow(named, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(named, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=model)

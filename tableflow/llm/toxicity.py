@@ -232,6 +232,7 @@ def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame
     schema = T.StructType([rows.schema[c] for c in keep] + found_fields)
     held, rest = (Held(np.zeros(0, np.int64), np.zeros(0), None), None) if table is None else _hold(table)
     handed = rows.sparkSession.sparkContext.broadcast(held)
+    del held  # the driver has written it to a file
 
     def run(batches):
         for batch in batches:
@@ -241,7 +242,7 @@ def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame
                 kinds, place = found.dictionary.to_numpy(), found.indices.to_numpy()
                 value, maybe = handed.value.look_up(kinds)
                 pair = (kinds & 1)[place] == 1
-                both = [np.bincount(own[m], weights=value[place[m]], minlength=len(texts)) for m in (~pair, pair)]
+                both = [np.bincount(own[m], weights=value[place[m]], minlength=len(texts)).astype(float) for m in (~pair, pair)]  # whole numbers, if no text has any
                 open_ = np.flatnonzero(maybe[place])
                 once, times = np.unique(own[open_] * max(len(kinds), 1) + place[open_], return_counts=True)
                 ends = pa.array(np.searchsorted(once, np.arange(len(texts) + 1) * max(len(kinds), 1)), pa.int32())
@@ -255,9 +256,10 @@ def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame
                 )
 
     part = in_arrow(rows, run, schema)
+    part = gathered_cut(part.drop("rest", "times"), "toxic-sums") if rest is None else gathered_cut(part, "toxic-parts")
+    handed.destroy()  # the sums are written: no executor needs it any more
     if rest is None:
-        return gathered_cut(part.drop("rest", "times"), "toxic-sums")
-    part = gathered_cut(part, "toxic-parts")
+        return part
     asked = part.select("row_no", F.inline(F.arrays_zip("rest", "times"))).withColumnRenamed("rest", "key")
     # An expression may stand in very many texts, but then it is held; what is joined is rare.
     found = asked.join(rest.select("key", "ratio").hint("merge"), "key").withColumn("value", F.col("ratio") * F.col("times"))

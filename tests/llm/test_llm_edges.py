@@ -465,3 +465,67 @@ def test_many_shuffle_partitions_do_not_make_a_file_each_of_small_tables(spark,
     for r in pieces_:
         ends.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
     assert len(ends) == len(texts) and all(sum(n for _, n, _ in rows) == rows[0][2] for rows in ends.values())
+
+
+def test_words_of_a_large_slice_are_hashed_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    from tableflow.llm import common
+
+    texts = pa.array(["", "ein Wort, " * 400, "日本語 ", "été"] * 500, pa.large_string())
+    words, ends = common.word_hashes(texts)  # 2 MB, in runs
+    monkeypatch.setattr(common, "HASH_BYTES", 1 << 40)
+    whole, whole_ends = common.word_hashes(texts)
+    assert (words == whole).all() and (ends == whole_ends).all()
+    monkeypatch.undo()
+    tracemalloc.start()
+    common.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * texts.nbytes
+
+
+def test_a_worker_keeps_what_its_task_uses_and_nothing_else(spark):
+    from tableflow.llm.common import in_arrow
+
+    def run(batches):
+        from tableflow.llm import common
+
+        for batch in batches:
+            common.kept("table", list)
+            yield pa.RecordBatch.from_pydict({"n": [len(common._KEPT)]})
+
+    def look(batches):
+        from tableflow.llm import common
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(common._KEPT)]})
+
+    df = spark.range(4).coalesce(1)
+    assert [r.n for r in in_arrow(df, run, "n long", keeps="table").collect()] == [1]
+    assert [r.n for r in in_arrow(df, look, "n long", keeps="table").collect()] == [1]
+    assert [r.n for r in in_arrow(df, look, "n long").collect()] == [0]
+
+
+def test_white_space_goes_without_an_object_for_every_character(spark):
+    from tableflow.llm.exact import normalised
+
+    texts = [None, "", " \t\n\x0b\x0c\r", "a b\tc\nd\x0be\x0cf\rg", "\xa0ä  日 本", "\x1c x \x85"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", normalised(F.col("t")).alias("t"))
+    assert [r.t for r in got.orderBy("i").collect()] == ["".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r") for t in texts]
+    assert "translate" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_held_ratios_leave_the_executors_once_sums_are_written(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    from tableflow.llm import toxicity
+
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **k: (gone.append(self), destroy(self, *a, **k)))
+    rows = spark.createDataFrame([(0, "a b"), (1, None)], "row_no long, text string")
+    table = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.25)], "key long, n long, ratio double")
+    for held in (1, 100):  # some are joined; all are held
+        monkeypatch.setattr(toxicity, "HELD", held)
+        assert toxicity.sums(rows, table, ["row_no"]).count() == 2
+    assert len(gone) == 2
