@@ -222,7 +222,10 @@ def _hold(table: DataFrame) -> tuple[Held, DataFrame | None]:
         words = set_.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(mask).alias("mask")).toArrow()
         masks = np.zeros(FILTER_BITS // 64, np.uint64)
         masks[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    return Held(rows.column("key").to_numpy(), rows.column("ratio").to_numpy(), masks), rest
+    keys, values = (rows.column(c).to_numpy() for c in ("key", "ratio"))
+    del rows  # the arrays are copies
+    pa.default_memory_pool().release_unused()
+    return Held(keys, values, masks), rest
 
 
 def sums(rows: DataFrame, table: DataFrame | None, keep: list[str]) -> DataFrame:
